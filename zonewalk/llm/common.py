@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
     """Slices of the batches with their `text` column as UTF-8 bytes (null: empty), at most `limit` bytes or one row each."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
-        ends = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64))
+        ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
