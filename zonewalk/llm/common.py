@@ -43,7 +43,7 @@ def fold(doc_id: Column, m: int) -> Column:
 
 
 def sample_by_label(df: DataFrame, label: str, cap: int, seed: int = 1) -> DataFrame:
-    """Rows with a label, about `cap` of each label at most, picked by a hash of doc_id; the bound does not grow with the input."""
+    """Rows with a label, about `cap` of each label at most, picked by a hash of doc_id: so few that they can be broadcast, however large the input."""
     counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     keep = F.lit(False)

@@ -20,7 +20,7 @@ from zonewalk.llm.common import chunks, fold, sample_by_label
 from zonewalk.llm.linear import Rows, sigmoid, svm
 
 #: Documents of each language that the fit takes, about; it does not grow with the input.
-MAX_PER_LANGUAGE = 900
+MAX_PER_LANGUAGE = 600
 #: Margins of texts of so many bytes count half: the fewer n-grams, the noisier their mean.
 DOUBT_BYTES = 150
 #: Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -62,6 +62,7 @@ def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
     raw = Rows.of([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.val, np.float32)) for r in got], grams.DIMS)
     scale = raw.scale()
     x, lang = raw.scaled(scale), np.array([r.lang for r in got], dtype=object)
+    del got, raw
     langs = sorted(set(lang))
     of = np.array([family(v) for v in lang], dtype=object)
     tasks = [("family", a, b, of) for a, b in combinations(sorted(set(of)), 2)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+BLOCK = 1 << 20
+
 
 @dataclass
 class Rows:
@@ -25,20 +28,35 @@ class Rows:
     def pick(self, which: np.ndarray) -> Rows:
         return Rows.of([(self.at[a:b], self.values[a:b]) for a, b in zip(self.begins[which], self.begins[which + 1])], self.dims)
 
+    def _blocks(self) -> Iterator[tuple[int, int, slice]]:
+        """Runs of rows [a, b) with their values, about BLOCK values each, so that nothing as large as the rows is copied."""
+        a, n = 0, len(self.begins) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(self.begins, self.begins[a] + BLOCK, side="right")) - 1)
+            yield a, b, slice(int(self.begins[a]), int(self.begins[b]))
+            a = b
+
     def times(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(w[self.at] * self.values, dtype=np.float64)))
-        return total[self.begins[1:]] - total[self.begins[:-1]]
+        out = np.zeros(len(self.begins) - 1)
+        for a, b, own in self._blocks():
+            total = np.concatenate(([0.0], np.cumsum(w[self.at[own]] * self.values[own], dtype=np.float64)))
+            edges = self.begins[a : b + 1] - self.begins[a]
+            out[a:b] = total[edges[1:]] - total[edges[:-1]]
+        return out
 
     def transposed(self, per_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=np.repeat(per_row, np.diff(self.begins)) * self.values, minlength=self.dims)
+        out = np.zeros(self.dims)
+        for a, b, own in self._blocks():
+            out += np.bincount(self.at[own], weights=np.repeat(per_row[a:b], np.diff(self.begins[a : b + 1])) * self.values[own], minlength=self.dims)
+        return out
 
     def scale(self) -> np.ndarray:
         """Per column 1 / sqrt(mean value), so that rare columns weigh in; 0 for columns without values."""
-        mean = np.bincount(self.at, weights=self.values, minlength=self.dims) / max(len(self.begins) - 1, 1)
+        mean = self.transposed(np.ones(len(self.begins) - 1)) / max(len(self.begins) - 1, 1)
         return np.divide(1.0, np.sqrt(mean), out=np.zeros(self.dims), where=mean > 0)
 
     def scaled(self, by: np.ndarray) -> Rows:
-        return Rows(self.begins, self.at, (self.values * by[self.at]).astype(np.float32), self.dims)
+        return Rows(self.begins, self.at, self.values * by.astype(np.float32)[self.at], self.dims)
 
 
 def adam(grad, size: int, steps: int, rate: float) -> np.ndarray:

@@ -19,7 +19,7 @@ from zonewalk.llm.common import chunks, fold, sample_by_label, segment_sums, sta
 from zonewalk.llm.linear import Rows, ordinal, sigmoid
 
 #: Labelled documents of each grade that the fit takes, about; it does not grow with the input.
-MAX_PER_GRADE = 1500
+MAX_PER_GRADE = 900
 GRADES = 3
 #: Further slots beside the hashed n-grams: share of words equal to the one before, whether it is over a quarter, share of repeated lines.
 PATTERNS = 3
@@ -60,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE)
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0. Raises ValueError if there are none."""
     rated = labels.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
     few = sample_by_label(rated.dropDuplicates(["doc_id"]), "grade", max_per_grade)
-    rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "grade", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -74,9 +74,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE)
     if not got:
         raise ValueError("no labelled documents to learn from")
     raw = Rows.of([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.val, np.float32)) for r in got], grams.DIMS + PATTERNS)
+    grades = np.array([r.grade for r in got])
+    del got
     scale = raw.scale()
     scale[grams.DIMS :] *= 4  # few and telling, among many slots
-    w, thresholds = ordinal(raw.scaled(scale), np.array([r.grade for r in got]), GRADES)
+    w, thresholds = ordinal(raw.scaled(scale), grades, GRADES)
     return Model((w * scale)[: grams.DIMS].astype(np.float32), (w * scale)[grams.DIMS :], thresholds)
 
 

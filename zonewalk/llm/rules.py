@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["doc_id", "quality", *names])
 
     schema = "doc_id long, quality int, " + ", ".join(f"{c} double" for c in names)
-    got = sorted(docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "quality", "text").mapInArrow(run, schema).collect(), key=lambda r: r.doc_id)
+    got = sorted(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, schema).collect(), key=lambda r: r.doc_id)
     if not got:
         return None
     x = np.array([r[2:] for r in got], dtype=float)

@@ -184,7 +184,7 @@ def _scored(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model | None:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; None without labels of both classes."""
     marked = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    few = docs.select("doc_id", "text").join(sample_by_label(marked, "toxic", max_per_class), "doc_id").select("doc_id", "text", "toxic")
+    few = docs.select("doc_id", "text").join(F.broadcast(sample_by_label(marked, "toxic", max_per_class)), "doc_id").select("doc_id", "text", "toxic")
     part = fold(F.col("doc_id"), 3)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
