@@ -46,6 +46,11 @@ class Model:
     calibration: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Words in lower case, letters outside ASCII too."""
+    return (text if text.isascii() else text.decode("utf-8", "replace").lower().encode()).lower().split()
+
+
 def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marked words end to end; for each byte but the begin marks, its place and its depth in the word."""
     data = np.frombuffer(b"".join(BEGIN + w + END for w in words), dtype=np.uint8)
@@ -145,7 +150,7 @@ def word_ratios(words: list[bytes], model: Model) -> np.ndarray:
 
 def ratios(texts: list[bytes], model: Model, known: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood ratio of each text's distinct words, by the root of their number, and that root; 0 without words. `known` remembers words."""
-    words = [set(t.lower().split()) for t in texts]
+    words = [set(_words(t)) for t in texts]
     flat = [w for x in words for w in x]
     if len(known) > REMEMBERED:
         known.clear()
@@ -191,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
         for rows, texts in chunks(batches):
             own: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(texts, rows.column(2).to_pylist()):
-                own[y].update(t.lower().split())
+                own[y].update(_words(t))
             words = list(own[0].keys() | own[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([own[1][w] for w in words], pa.int64()), pa.array([own[0][w] for w in words], pa.int64())], names=["word", "toxic", "ordinary"])
 
