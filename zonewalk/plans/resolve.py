@@ -35,6 +35,7 @@ class Resolution:
     found: DataFrame
     used: DataFrame
     needs: DataFrame
+    compat: bool
 
 
 def _walks(origins: DataFrame, suffixes: DataFrame | Rules) -> DataFrame:
@@ -64,13 +65,13 @@ def resolve(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules,
     origins = hosts.select(names.norm_host(F.col("query")).alias("origin")).where("origin is not null and origin <> '.'").distinct()
     walks, asked, used, auth, needs = (Growing(hosts.sparkSession, n) for n in ("walks", "asked", "used", "auth", "needs"))
     new_walks = walks.add(_walks(origins.select("origin", F.lit(False).alias("ps"), F.lit(not compat).alias("is_ns")), suffixes))
-    root = roots.orderBy("ns").limit(1).withColumn("ns", F.lower("ns"))  # the choice of a root server is the first by name
+    root = roots.orderBy("ns", "ip").first()  # the choice of a root server is the first by name
     hints = roots.select(F.lower("ns").alias("ns"), "ip")
     new_auth = None
     for _ in range(MAX_ROUNDS):
         every = walks.all()
         # Servers to ask: a root server at the top, those of the name above in pass 0, those found by pass 0 in pass 1.
-        servers = new_walks.where("depth = 1").select("origin", "ps", "depth", F.lit(0).alias("pass")).crossJoin(F.broadcast(root))
+        servers = new_walks.where("depth = 1").select("origin", "ps", "depth", F.lit(0).alias("pass"), F.lit(root.ns.lower()).alias("ns"), F.lit(root.ip).alias("ip"))
         if new_auth is not None:
             second = new_auth.where("pass = 0").withColumn("pass", F.lit(1))
             deeper = new_auth.where("pass = 1").withColumns({"pass": F.lit(0), "depth": F.col("depth") + 1})
@@ -104,7 +105,7 @@ def resolve(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules,
         starts = wanted.select(F.col("ns").alias("origin"), "ps", F.lit(True).alias("is_ns")).distinct().join(begun, ["origin", "ps"], "left_anti")
         new_walks = walks.add(_walks(starts, suffixes))
         if new_walks.isEmpty() and new_auth.isEmpty():
-            return Resolution(walks.all(), asked.all(), auth.all(), _found(used.all(), compat), used.all(), needs.all())
+            return Resolution(walks.all(), asked.all(), auth.all(), _found(used.all(), compat), used.all(), needs.all(), compat)
     raise RuntimeError(f"no fixed point in {MAX_ROUNDS} rounds")
 
 
@@ -138,7 +139,7 @@ def facts(done: Resolution, suffixes: DataFrame | Rules, trouble: DataFrame) ->
     """
     used = done.used.where("depth > 1")
     here = ["origin", "ps", "mark"]
-    ns = records.nameservers(used, "current").select(*here, F.lit("ns").alias("category"), F.col("ns").alias("value"))
+    ns = records.nameservers(used, "current", not done.compat).select(*here, F.lit("ns").alias("category"), F.col("ns").alias("value"))
     ips = records.addresses(used).select(*here, F.col("kind").alias("category"), F.col("ip").alias("value"))
     found = done.found.where("depth > 1")
     target = found.select(*here, "ns").union(found.join(done.walks.select("origin", "ps", "depth", "name"), ["origin", "ps", "depth"]).select(*here, "name"))

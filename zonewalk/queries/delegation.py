@@ -124,8 +124,8 @@ def root_hints(spark, d):
 
 @query("SELECT DISTINCT host, 'a.root-servers.net.' AS ns FROM hosts")
 def root_pick(spark, d):
-    first = readers.root_hints(spark).agg(F.min("ns").alias("ns"))
-    return world.pages(spark, d).select("host").distinct().crossJoin(F.broadcast(first))
+    first = readers.root_hints(spark).agg(F.min("ns")).first()[0]
+    return world.pages(spark, d).select("host").distinct().withColumn("ns", F.lit(first))
 
 
 # Analyses
