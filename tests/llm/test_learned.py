@@ -163,3 +163,14 @@ def test_language_model_of_nothing(spark):
     got = lm.score(helpers.documents(spark), model, vocabulary).collect()
     assert len(got) == len(helpers.rows()) and all(r.n_known == 0 and r.base_score == 0 for r in got)
     assert lm.score(helpers.empty(spark), model, vocabulary).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 5, 100])
+def test_frequent_words_are_the_most_frequent_and_bounded(spark, monkeypatch, most):
+    monkeypatch.setattr(lm, "MAX_FREQUENT", most)
+    counts = [7, 8, 9, 9, 300, 301, 5000]
+    vocabulary = spark.createDataFrame([(bytes([i]), c) for i, c in enumerate(counts)], "word binary, c long")
+    least = lm._least(vocabulary)
+    taken = sum(c >= least for c in counts)
+    assert taken < most or most == 1 and taken == 0
+    assert least >= lm.LEAST_COUNT and (most < 100 or taken == 6)

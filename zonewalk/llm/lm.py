@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonewalk.llm.common import chunks, materialise, segment_sums, starts_of
+from zonewalk.llm.packing import cell
 
-#: Frequent words of the model: so many at most, each counted so often at least.
+#: Frequent words of the model: so many at most with the end, each counted so often at least.
 MAX_FREQUENT, LEAST_COUNT = 65536, 8
 GROUPS, CUTS = 6, 5
 CLASSES = GROUPS * CUTS + 2
@@ -206,12 +207,27 @@ def _train(docs: DataFrame, model: Model, ids: dict[bytes, int], rate: float) ->
     return theta
 
 
+def _least(vocabulary: DataFrame) -> int:
+    """The count that at most MAX_FREQUENT words reach, from a histogram of counts of bounded size; LEAST_COUNT at least.
+
+    Only words that reach it are brought together, however many tasks hold the vocabulary.
+    """
+    cells = vocabulary.where(F.col("c") >= LEAST_COUNT).groupBy(cell(F.col("c")).alias("low")).agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("high")).collect()
+    least, words = LEAST_COUNT, 0
+    for r in sorted(cells, key=lambda r: -r.low):
+        words += r.n
+        if words >= MAX_FREQUENT:
+            return max(least, r.high + 1)
+    return least
+
+
 def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model and the word counts of `train` (doc_id, text); null text counts as empty. No texts give a model of `unknown` alone."""
     vocabulary = count_words(train)
     other = F.when(F.col("c") == 1, 1).otherwise(0)
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum(other), F.lit(0)).alias("once"), F.coalesce(F.sum(F.when(F.col("c") == 2, 1).otherwise(0)), F.lit(0)).alias("twice")).first()
-    top = vocabulary.where((F.col("c") >= LEAST_COUNT) | (F.col("word") == F.lit(END))).orderBy(F.col("c").desc(), "word").limit(MAX_FREQUENT).collect()
+    top = vocabulary.where((F.col("c") >= _least(vocabulary)) | (F.col("word") == F.lit(END))).collect()
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     words, counts = [bytes(r.word) for r in top], np.array([r.c for r in top], dtype=np.int64)
     ids = {w: i for i, w in enumerate(words)}
     model = Model(sums.total, sums.distinct, words, counts, np.zeros(len(words), np.int64), np.zeros((FEATURES * SLOTS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
