@@ -1,0 +1,9 @@
+from zonewalk.llm import lm
+
+
+def test_company_of_words_is_counted_over_all_training_texts(spark, monkeypatch):
+    seen, groups = [], lm._groups
+    monkeypatch.setattr(lm, "_groups", lambda docs, ids, size: seen.append(docs.count()) or groups(docs, ids, size))
+    train = spark.createDataFrame([(i, f"the w{i % 9} of a w{i % 7}") for i in range(9000)], "doc_id long, text string")
+    lm.fit(train, rounds=0)
+    assert seen == [9000]

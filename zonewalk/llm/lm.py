@@ -6,7 +6,7 @@ groups of frequent words that keep the same company, each cut by frequency, one
 other words. Within a class, tokens share its probability by their counts in all training texts; within the last, counts
 are discounted and unknown words get what that frees, so the model is a distribution over the vocabulary and `unknown`.
 
-Word counts cover all training texts. The feature rows are trained by rounds of distributed gradient updates: in each,
+Word counts and the words' company cover all training texts. The feature rows are trained by rounds of distributed gradient updates: in each,
 tasks update the rows on their texts of that round's slice, and the rows are averaged by how often each was used.
 """
 
@@ -37,8 +37,6 @@ FEATURES, SLOTS = 4, 4096
 KINDS = 256
 ROUNDS = 3
 BATCH_TOKENS = 16384
-#: Training texts, about, whose words' company gives the groups; it does not grow with the input.
-GROUP_TEXTS = 4000
 ANCHORS = 64
 #: Words that a task counts before it passes the counts on.
 COUNTED = 500_000
@@ -234,9 +232,7 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     model.other_total, model.other_distinct = int(sums.total - counts.sum()), int(sums.distinct - len(words))
     model.discount = min(max(sums.once / max(sums.once + 2 * sums.twice, 1), 0.1), 0.9)
     if words:
-        n_texts = int(counts[ids[END]]) if END in ids else 1
-        draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, GROUP_TEXTS / n_texts))
-        group = _groups(train.where(draw), ids, len(words))
+        group = _groups(train, ids, len(words))
         for g in range(GROUPS):
             own = np.flatnonzero(group == g)
             if len(own):
