@@ -126,51 +126,3 @@ def test_trees_are_monotonic_where_asked():
         line[:, j] = np.linspace(0, 1, 200)
         assert (sign * np.diff(forest.predict(line)) >= -1e-9).all()
     assert (((forest.predict(x) > 0) == (y == 1)).mean()) > 0.75
-
-
-def test_language_model(spark):
-    docs = helpers.documents(spark)
-    train = docs.where(fold(F.col("doc_id"), 7) != 2)
-    model, vocabulary = lm.fit(train)
-    got = {r.doc_id: r for r in lm.score(docs, model, vocabulary).collect()}
-    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None] for i, t, *_ in helpers.rows()}
-    counts = Counter(w for i, t in tokens.items() if crc(i, 7) != 2 for w in t)
-    n, v = sum(counts.values()), len(counts)
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in counts for w in t), n)
-        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert r.score < 0
-    held = [i for i in tokens if crc(i, 7) == 2 and i < 5000]
-    assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
-
-
-def test_language_model_sums_to_one(spark):
-    docs = helpers.documents(spark)
-    model, vocabulary = lm.fit(docs.where("doc_id < 100"), rounds=2)
-    ids = lm.Ids({w: i for i, w in enumerate(model.words)})
-    at, doc, _ = lm._sequence([b"the and other words"], ids)
-    classes = np.exp(lm._log_softmax(lm._slots(at, doc), model.theta, model.bias))
-    inside = np.bincount(model.classes, weights=10**model.within, minlength=lm.CLASSES)
-    rare = [r.c for r in vocabulary.collect() if bytes(r.word) not in ids]
-    inside[lm.OTHER] = (sum(c - model.discount for c in rare) + model.discount * len(rare)) / model.other_total
-    filled = inside > 0
-    assert np.allclose(inside[filled], 1) and np.allclose(classes.sum(axis=1), 1, atol=1e-4)
-
-
-def test_language_model_of_nothing(spark):
-    model, vocabulary = lm.fit(helpers.empty(spark))
-    got = lm.score(helpers.documents(spark), model, vocabulary).collect()
-    assert len(got) == len(helpers.rows()) and all(r.n_known == 0 and r.base_score == 0 for r in got)
-    assert lm.score(helpers.empty(spark), model, vocabulary).count() == 0
-
-
-@pytest.mark.parametrize("most", [1, 2, 3, 5, 100])
-def test_frequent_words_are_the_most_frequent_and_bounded(spark, monkeypatch, most):
-    monkeypatch.setattr(lm, "MAX_FREQUENT", most)
-    counts = [7, 8, 9, 9, 300, 301, 5000]
-    vocabulary = spark.createDataFrame([(bytes([i]), c) for i, c in enumerate(counts)], "word binary, c long")
-    least = lm._least(vocabulary)
-    taken = sum(c >= least for c in counts)
-    assert taken < most or most == 1 and taken == 0
-    assert least >= lm.LEAST_COUNT and (most < 100 or taken == 6)

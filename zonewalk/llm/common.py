@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,3 +74,70 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values[starts[i]:starts[i+1]]; empty segments give 0."""
     total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
     return total[starts[1:]] - total[starts[:-1]]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 * CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with their `text` column as large strings (null: empty), at most `limit` bytes or one row each."""
+    for batch in batches:
+        column = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(at, to - at), column.slice(at, to - at)
+            at = to
+
+
+def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words [^\\x20\\x09-\\x0D]+ of all texts end to end, A-Z in lower case, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.not_equal(pc.binary_length(flat), 0)
+    if not pc.all(full, min_count=0).as_py():  # white space at an end of a text gives an empty word there
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[full.to_numpy(zero_copy_only=False)], minlength=len(counts))
+        flat = flat.filter(full)
+    return flat.cast(pa.large_binary()), counts
+
+
+def values_of(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def flat_values(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column end to end, and how many each row holds; a null holds none."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    width = np.dtype(dtype).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    if data is None or ends[0] == ends[-1]:
+        return np.zeros(0, dtype), np.diff(ends) // width
+    return np.frombuffer(data, dtype, (ends[-1] - ends[0]) // width, ends[0]), np.diff(ends) // width
+
+
+def sum_blocks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], blocks: int) -> dict[int, np.ndarray]:
+    """Sums of arrays by block: `run` gives (block, numbers) of one task's rows of `df`; the sums of `blocks` blocks come to the driver.
+
+    Arrays travel as they are and are added in as many tasks as there are blocks, so what the driver gets does not grow with `df`.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, numbers in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.astype("<f4").tobytes()], pa.binary())], names=["block", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(part.as_buffer(), "<f4")
+                total[block] = total[block] + own if block in total else own.astype(np.float64)
+        for block, numbers in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.tobytes()], pa.binary())], names=["block", "part"])
+
+    schema = "block long, part binary"
+    return {r.block: np.frombuffer(r.part, "<f8") for r in df.mapInArrow(emit, schema).repartition(blocks, "block").mapInArrow(add, schema).toLocalIterator()}

@@ -1,121 +1,270 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) P(token | class). The first factor is a softmax over the sums of hashed feature
-rows: the word before (bigram), the two before together (trigram), and the words two and three back (skips). Classes are
-groups of frequent words that keep the same company, each cut by frequency, one for the end of a text, and one for all
-other words. Within a class, tokens share its probability by their counts in all training texts; within the last, counts
-are discounted and unknown words get what that frees, so the model is a distribution over the vocabulary and `unknown`.
-
-Word counts and the words' company cover all training texts. The feature rows are trained by rounds of distributed gradient updates: in each,
-tasks update the rows on their texts of that round's slice, and the rows are averaged by how often each was used.
+P(token | history) = P(class | history) P(cell | class, history) P(token | cell). The first two factors are softmaxes over
+the sums of hashed feature rows: the word before (bigram), the two before together (trigram), and the words two and three
+back (skips); rows of the second are hashed together with the class. Classes are groups of frequent words that keep the
+same company, each cut by frequency, one for the end of a text, and one for all other words. The words of a class are
+dealt to its cells by count, so that a frequent word has a cell to itself and its history alone decides; other words
+have their cell by how they end. Within a cell, tokens share its probability by their counts in all training texts. Counts
+of other words are discounted and unknown words that end alike get what that frees, so the model is a distribution over
+the vocabulary and, for each such ending, `unknown`.
+
+Counts and company cover all training texts. Each text is encoded once as word ids and the rounds and the scoring read
+those. The feature rows are trained by rounds of distributed gradient updates: in each, tasks update the rows on their
+texts of that round's slice, and the rows are averaged by how often each was used.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonewalk.llm.common import chunks, materialise, segment_sums, starts_of
-from zonewalk.llm.packing import cell
+from zonewalk.llm.common import flat_values, lower_words, materialise, pieces, segment_sums, starts_of, sum_blocks, values_of
+from zonewalk.llm.packing import cell as leading
 
-#: Frequent words of the model: so many at most with the end, each counted so often at least.
-MAX_FREQUENT, LEAST_COUNT = 65536, 8
+#: Kinds of words without an id of their own, by their last two bytes.
+KINDS = 256
+#: Words with an id of their own: the most frequent ones, so many at most, so that ids and kinds fit in 16 bits.
+WORDS = 65536 - KINDS - 1
+#: Words whose counts are broadcast, by hash: 16 bytes each. Counts of all others come by a join.
+COUNTED = 1 << 20
 GROUPS, CUTS = 6, 5
 CLASSES = GROUPS * CUTS + 2
 ENDING, OTHER = CLASSES - 2, CLASSES - 1
-#: Hashed rows of each feature.
-FEATURES, SLOTS = 4, 4096
-#: Kinds of other words as context, by their last two bytes.
-KINDS = 256
+CELLS = 32
+#: Hashed rows of each feature: of the class factor, and of the cell factor.
+FEATURES, SLOT_BITS = 4, 12
+INNER, INNER_BITS = 3, 13
 ROUNDS = 3
 BATCH_TOKENS = 16384
 ANCHORS = 64
-#: Words that a task counts before it passes the counts on.
-COUNTED = 500_000
+#: Distinct words that a task holds before it passes their counts on.
+HELD_WORDS = 500_000
 #: Feature rows that are averaged together.
 AVERAGED = 1024
+#: Words whose company is added up together.
+BLOCK_WORDS = 4096
 END = b"\n"  # no word holds it
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Ids(dict):
-    """Ids of frequent words; other words get one of KINDS ids after them."""
+def word_hash(word: bytes) -> int:
+    """The same as Spark's xxhash64 of the word, unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)
 
-    def __missing__(self, word: bytes) -> int:
-        return len(self) + (zlib.crc32(word[-2:]) & (KINDS - 1))
+
+def kind_of(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % KINDS
 
 
 @dataclass
-class Model:
+class Lexicon:
+    """What is known of the training words: `hashes` (sorted) with their `counts` and `ids` (-1: none); `frequent`: counts by id.
+
+    other_total and other_distinct: sums over the words without an id, by cell.
+    """
+
     total: int
     distinct: int
-    words: list[bytes]
+    hashes: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
-    theta: np.ndarray
-    bias: np.ndarray
-    within: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    other_total: int = 0
-    other_distinct: int = 0
-    discount: float = 0.5
-
-    def base(self, count: np.ndarray) -> np.ndarray:
+    ids: np.ndarray
+    frequent: np.ndarray
+    other_total: np.ndarray
+    other_distinct: np.ndarray
+    discount: float
+    end: int
+
+    def base(self, count: np.ndarray | int) -> np.ndarray:
         return np.log10((count + 1) / (self.total + self.distinct + 1))
 
+    def inside(self, count: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """log10 P(token | cell) of words without an id; of an unknown one (count 0) that of `unknown`."""
+        freed = np.maximum(self.discount * self.other_distinct[cells], 1e-9)
+        return np.log10(np.where(count > 0, count - self.discount, freed) / np.where(self.other_total[cells] > 0, self.other_total[cells], freed))
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+
+@dataclass
+class Model:
+    """classes, cells, within: of each id and each kind; outer and inner: the feature rows of the two softmaxes."""
+
+    classes: np.ndarray
+    cells: np.ndarray
+    within: np.ndarray
+    bias: np.ndarray
+    cell_bias: np.ndarray
+    outer: np.ndarray
+    inner: np.ndarray
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all texts of `docs`, ends included; written to the shared folder."""
+    """(word, c) over all texts of `docs` (text), ends included; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(own: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["word", "c"])
-
-        own: Counter = Counter()
-        for _, texts in chunks(batches):
-            for t in texts:
-                own.update(t.lower().split())
-            own[END] += len(texts)
-            if len(own) > COUNTED:
-                yield out(own)
-                own = Counter()
-        yield out(own)
+        def merged() -> pa.Table:
+            return pa.Table.from_batches(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+        held, size, texts = [], 0, 0
+        for part, column in pieces(batches):
+            found = pc.value_counts(lower_words(column)[0])
+            held.append(pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "c"]))
+            size, texts = size + len(found), texts + part.num_rows
+            if size > HELD_WORDS:
+                now = merged()
+                if now.num_rows > HELD_WORDS // 2:
+                    yield from now.to_batches(1 << 16)
+                    now = now.slice(0, 0)
+                held, size = now.combine_chunks().to_batches(), now.num_rows
+        if held:
+            yield from merged().to_batches(1 << 16)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], names=["word", "c"])
 
     return materialise(docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
-def _groups(docs: DataFrame, ids: dict[bytes, int], size: int) -> np.ndarray:
-    """A group for each frequent word by its company: a mixture of word distributions over the most frequent words nearby."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+def least_count(vocabulary: DataFrame, most: int) -> int:
+    """The smallest count, 2 at least, that no more than `most` words reach: words of equal count are all taken or none.
+
+    A histogram by leading bits finds the range in which it lies, an exact one over that range the count itself.
+    """
+    often = vocabulary.where("c > 1")
+    above, last = 0, None
+    for r in sorted(often.groupBy(leading(F.col("c")).alias("low")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.low):
+        if above + r.n > most:
+            break
+        above, last = above + r.n, r.low
+    else:
+        return 2
+    least = last
+    for r in sorted(often.where(leading(F.col("c")) == r.low).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.c):
+        if above + r.n > most:
+            return r.c + 1
+        above, least = above + r.n, r.c
+    return least or 2
+
+
+def lexicon(vocabulary: DataFrame, words: int = WORDS, counted: int = COUNTED) -> Lexicon:
+    """From `vocabulary` (word, c). Only the hashes and counts of its `counted` most frequent words come to the driver."""
+    c = F.col("c")
+    floor, least = least_count(vocabulary, counted), least_count(vocabulary, words)
+    is_end = F.col("word") == F.lit(END)
+    got = vocabulary.where((c >= floor) | is_end).select(F.xxhash64("word").alias("h"), "c").toPandas()
+    h, count = got.h.to_numpy(np.int64).view(np.uint64), got.c.to_numpy(np.int64)
+    order = np.lexsort((h, -count))
+    h, count = h[order], count[order]
+    end = np.uint64(word_hash(END))
+    own = np.flatnonzero((count >= least) | (h == end))
+    ids = np.full(len(h), -1)
+    ids[own] = np.arange(len(own))
+    cell = F.crc32(F.substring("word", -2, 2)) % KINDS % CELLS
+    others = vocabulary.where((c < least) & ~is_end).groupBy(cell.alias("cell")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n")).collect()
+    total, distinct = np.zeros(CELLS), np.zeros(CELLS)
+    for r in others:
+        total[r.cell], distinct[r.cell] = r.total, r.n
+    sums = vocabulary.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (c, F.lit(1), (c == 1).cast("int"), (c == 2).cast("int")))).first()
+    discount = min(max(sums[2] / max(sums[2] + 2 * sums[3], 1), 0.1), 0.9)
+    sort = np.argsort(h)
+    at_end = ids[h == end]
+    return Lexicon(sums[0], sums[1], h[sort], count[sort], ids[sort], count[own], total, distinct, discount, int(at_end[0]) if len(at_end) else -1)
+
+
+ENCODED = "row long, doc_id long, train boolean, slice int, n long, known long, base double, inside double, ids binary, word binary"
+
+
+def encode(docs: DataFrame, lex: Lexicon, train: Column) -> tuple[DataFrame, DataFrame]:
+    """Each text as ids, and (row, word, n) for the words whose count is not in the lexicon; both in the shared folder.
+
+    Texts are (row, doc_id, train, slice, n, known, base, inside, ids): n tokens, known ones, log10 sums over those whose
+    count the lexicon has. A word without an id is WORDS and its kind.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Ids(shared.value)
-        for _, texts in chunks(batches):
-            words = [tokens(t) for t in texts]
-            at = np.array([own[w] for x in words for w in x], dtype=np.int64)
-            doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
-            pairs = []
-            for d in (1, 2, 3):
-                same = doc[d:] == doc[:-d]
-                pairs += [(at[d:][same], at[:-d][same]), (at[:-d][same], at[d:][same])]
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            use = (a < size) & (b < ANCHORS)
-            key, n = np.unique(a[use] * ANCHORS + b[use], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    met = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    near = np.zeros((size, ANCHORS))
-    near.flat[met.key.to_numpy(np.int64)] = met.n.to_numpy(float)
+        lex = shared.value
+        row = TaskContext.get().partitionId() << 40
+        end = lex.end if lex.end >= 0 else WORDS + kind_of(END)
+        end_base = float(lex.base(lex.frequent[lex.end] if lex.end >= 0 else 0))
+        end_inside = 0.0 if lex.end >= 0 else float(lex.inside(np.zeros(1), np.array([kind_of(END) % CELLS]))[0])
+        for part, texts in pieces(batches):
+            flat, sizes = lower_words(texts)
+            held = flat.dictionary_encode()
+            words, at = values_of(held.dictionary), held.indices.to_numpy()
+            hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
+            kinds = np.fromiter(map(kind_of, words), np.int64, len(words))
+            place = np.minimum(np.searchsorted(lex.hashes, hashes), len(lex.hashes) - 1)
+            found = lex.hashes[place] == hashes if len(lex.hashes) else np.zeros(len(words), bool)
+            count = np.where(found, lex.counts[place], 0) if len(lex.hashes) else np.zeros(len(words), np.int64)
+            ids = np.where(found, lex.ids[place], -1) if len(lex.hashes) else np.full(len(words), -1)
+            base = np.where(found, lex.base(count), 0.0)
+            inside = np.where(found & (ids < 0), lex.inside(count, kinds % CELLS), 0.0)
+            starts = starts_of(sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            tokens = np.full(len(at) + len(sizes), end, dtype="<u2")
+            tokens[np.arange(len(at)) + doc] = np.where(ids < 0, WORDS + kinds, ids)[at]
+            known, base, inside = (segment_sums(v[at], starts) for v in (found, base, inside))
+            rare = np.flatnonzero(~found[at])
+            pair, times = np.unique(doc[rare] * (len(words) + 1) + at[rare], return_counts=True)
+            n, bytes_of = part.num_rows, tokens.tobytes()
+            cuts = ((starts + np.arange(n + 1)) * 2).tolist()
+            none = [None] * n
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(row, row + n)), part.column(0).cast(pa.int64()), part.column(2), part.column(3).cast(pa.int32()), pa.array(sizes + 1),
+                pa.array(known.astype(np.int64) + (lex.end >= 0)), pa.array(base + end_base), pa.array(inside + end_inside), pa.array([bytes_of[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array(none, pa.binary()),
+            ], names=names)
+            if len(pair):
+                void = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.bool_(), pa.int32())]
+                more = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                of = pair % (len(words) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair // (len(words) + 1) + row), *void, pa.array(times), *more, held.dictionary.take(pa.array(of)).cast(pa.binary())], names=names)
+            row += n
+
+    names = [c.split()[0] for c in ENCODED.split(", ")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ROUNDS)).cast("int").alias("slice"))
+    both = materialise(rows.mapInArrow(run, ENCODED), "encoded")
+    return both.where("word is null").drop("word"), both.where("word is not null").select("row", "word", "n")
+
+
+def _company(encoded: DataFrame, size: int) -> np.ndarray:
+    """words x ANCHORS: how often each frequent word stands within three words of each of the most frequent ones."""
+    blocks = -(-size // BLOCK_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        near = np.zeros(blocks * BLOCK_WORDS * ANCHORS, dtype=np.int64)
+        for batch in batches:
+            at, sizes = flat_values(batch.column(0), "<u2")
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            for i in range(0, len(at), 1 << 20):
+                own, of, keys = at[i : i + (1 << 20) + 3].astype(np.int64), doc[i : i + (1 << 20) + 3], []
+                for d in (1, 2, 3):
+                    a, b = own[d : d + (1 << 20)], own[: len(own) - d][: 1 << 20]
+                    same = of[d : d + (1 << 20)] == of[: len(own) - d][: 1 << 20]
+                    for x, y in ((a, b), (b, a)):
+                        use = np.flatnonzero(same & (x < size) & (y < ANCHORS))
+                        keys.append(x[use] * ANCHORS + y[use])
+                near += np.bincount(np.concatenate(keys), minlength=len(near))
+        for b in range(blocks):
+            part = near[b * BLOCK_WORDS * ANCHORS : (b + 1) * BLOCK_WORDS * ANCHORS]
+            if part.any():
+                yield b, part
+
+    out = np.zeros((blocks * BLOCK_WORDS, ANCHORS), dtype=np.float32)
+    for b, part in sum_blocks(encoded.select("ids"), run, blocks).items():
+        out[b * BLOCK_WORDS : (b + 1) * BLOCK_WORDS] = part.reshape(-1, ANCHORS)
+    return out[:size]
+
+
+def _groups(near: np.ndarray) -> np.ndarray:
+    """A group for each frequent word by its company: a mixture of word distributions over the most frequent words nearby."""
     heard = near.sum(axis=1)
     unit = near / np.maximum(np.linalg.norm(near, axis=1), 1e-9)[:, None]
     seeds = [0]
@@ -131,173 +280,195 @@ def _groups(docs: DataFrame, ids: dict[bytes, int], size: int) -> np.ndarray:
     return of
 
 
-def _slots(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """tokens x FEATURES: the feature rows of each token's history; before a text's first word stands 0."""
+def _dealt(counts: np.ndarray) -> np.ndarray:
+    """A cell for each word of a class, by falling count: a cell is closed when it has its share of what is left."""
+    out, cell, held, left = np.zeros(len(counts), np.int64), 0, 0, int(counts.sum())
+    for i, n in enumerate(counts.tolist()):
+        out[i], held = cell, held + n
+        if cell < CELLS - 1 and held * (CELLS - cell) >= left:
+            left, held, cell = left - held, 0, cell + 1
+    return out
 
-    def back(d: int) -> np.ndarray:
-        out = np.zeros(len(at), dtype=np.uint64)
-        out[d:] = np.where(doc[d:] == doc[:-d], at[:-d] + 1, 0) if len(at) > d else 0
-        return out
 
-    w1, w2, w3 = back(1), back(2), back(3)
-    keys = (w1, w2, w3, w1 * np.uint64(1_000_003) + w2)
-    mixed = [((k + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12) for k in keys]
-    return np.stack([m.astype(np.int64) + f * SLOTS for f, m in enumerate(mixed)], axis=1)
-
-
-def _log_softmax(slots: np.ndarray, theta: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = theta[slots[:, 0]]
-    for f in range(1, FEATURES):
-        z += theta[slots[:, f]]
+def _begin(encoded: DataFrame, lex: Lexicon) -> Model:
+    """The model before training: classes and cells with their shares of all tokens."""
+    size = len(lex.frequent)
+    classes, cells = np.full(WORDS + KINDS, OTHER), np.zeros(WORDS + KINDS, np.int64)
+    cells[WORDS:] = np.arange(KINDS) % CELLS
+    if size:
+        group = _groups(_company(encoded, size))
+        for g in range(GROUPS):
+            own = np.flatnonzero(group == g)
+            if len(own):
+                share = np.cumsum(lex.frequent[own]) / lex.frequent[own].sum()
+                classes[own] = g * CUTS + np.minimum((share * CUTS - 1e-9).astype(int), CUTS - 1)
+        if lex.end >= 0:
+            classes[lex.end] = ENDING
+        for k in range(OTHER):
+            own = np.flatnonzero(classes[:size] == k)
+            cells[own] = _dealt(lex.frequent[own])
+    mass = np.bincount(classes[:size] * CELLS + cells[:size], weights=lex.frequent, minlength=CLASSES * CELLS).reshape(CLASSES, CELLS)
+    within = np.zeros(WORDS + KINDS)
+    within[:size] = np.log10(lex.frequent / mass[classes[:size], cells[:size]])
+    mass[OTHER] = lex.other_total
+    # Empty cells stay empty, but a word that ends as no other does may come in the last class.
+    open_cells = np.where(np.arange(CLASSES)[:, None] == OTHER, mass + 0.5, mass)
+    cell_bias = np.log(np.maximum(open_cells, 1e-12) / np.maximum(open_cells.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    cell_bias[open_cells.sum(axis=1) == 0] = 0
+    of = mass.sum(axis=1)
+    bias = np.log((of + 0.5) / (of.sum() + 0.5 * CLASSES)).astype(np.float32)
+    return Model(classes, cells, within, bias, np.maximum(cell_bias, -30), np.zeros((FEATURES << SLOT_BITS, CLASSES), np.float32), np.zeros((INNER << INNER_BITS, CELLS), np.float32))
+
+
+def _histories(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the ids and one of the tokens one, two and three back; 0 before a text's first."""
+    first = starts_of(sizes)[:-1][sizes > 0]
+    out, last = [], at + np.uint16(1)
+    for _ in range(3):
+        last = np.concatenate((last[:0], [0], last[:-1])).astype(np.uint16)[: len(at)] if len(at) else last
+        last[first] = 0
+        out.append(last)
+    return out[0], out[1], out[2]
+
+
+def _hashed(keys: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    return [(((k + np.uint64(1)) * FACTOR) >> np.uint64(64 - bits)).astype(np.uint16) for k in keys]
+
+
+def _slots(back: tuple[np.ndarray, np.ndarray, np.ndarray], of: slice, classes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The feature rows of the tokens `of`, by feature: for the class, and for the cell in the token's class."""
+    w1, w2, w3 = (w[of].astype(np.uint64) for w in back)
+    both, kind = w1 * np.uint64(1_000_003) + w2, classes.astype(np.uint64) << np.uint64(40)
+    return _hashed([w1, w2, w3, both], SLOT_BITS), _hashed([w1 + kind, w2 + kind, both + kind], INNER_BITS)
+
+
+def _softmax(rows: np.ndarray, slots: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the feature rows, their exponentials, and the sums of those."""
+    size = len(rows) // len(slots)
+    z = rows[:size].take(slots[0], axis=0)
+    for f in range(1, len(slots)):
+        z += rows[f * size : (f + 1) * size].take(slots[f], axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _sequence(texts: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    words = [tokens(t) for t in texts]
-    at = np.fromiter((ids[w] for x in words for w in x), np.int64, sum(map(len, words)))
-    return at, np.repeat(np.arange(len(words)), [len(x) for x in words]), words
-
-
-def _train(docs: DataFrame, model: Model, ids: dict[bytes, int], rate: float) -> np.ndarray:
+    np.clip(z, -40, 40, out=z)
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def _log_share(rows: np.ndarray, slots: list[np.ndarray], bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    z, _, total = _softmax(rows, slots, bias)
+    return z[np.arange(len(target)), target] - np.log(total)
+
+
+def _update(rows: np.ndarray, used: np.ndarray, slots: list[np.ndarray], bias: np.ndarray, target: np.ndarray, counts: np.ndarray | None, rate: float) -> None:
+    """One gradient step for the feature rows that the batch uses."""
+    _, step, total = _softmax(rows, slots, bias)
+    step *= (-1 / total)[:, None]
+    step[np.arange(len(target)), target] += 1
+    if counts is not None:
+        step *= counts[:, None]
+    size = len(rows) // len(slots)
+    for f, own in enumerate(slots):
+        order = np.argsort(own, kind="stable")
+        sorted_own = own[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_own[1:] != sorted_own[:-1])))
+        at = sorted_own[first].astype(np.int64) + f * size
+        n = np.diff(np.append(first, len(order))).astype(np.float32)
+        rows[at] += np.float32(rate) * np.add.reduceat(step.take(order, axis=0), first, axis=0) / (n + 10)[:, None]
+        used[at] += n
+
+
+def _train(encoded: DataFrame, model: Model, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """One round: each task's updates on its texts, averaged by use."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, ids))
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    split = len(model.outer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
-        own, theta, used = Ids(known), m.theta.copy(), np.zeros(FEATURES * SLOTS, dtype=np.float32)
-        classes = np.concatenate((m.classes, np.full(KINDS, OTHER)))
-        for _, texts in chunks(batches):
-            at, doc, _ = _sequence(texts, own)
-            slots, target = _slots(at, doc), classes[at]
+        m = shared.value
+        rows = (m.outer.copy(), m.inner.copy())
+        used = tuple(np.zeros(len(r), dtype=np.float32) for r in rows)
+        for batch in batches:
+            at, sizes = flat_values(batch.column(0), "<u2")
+            back = _histories(at, sizes)
             for i in range(0, len(at), BATCH_TOKENS):
-                s, y = slots[i : i + BATCH_TOKENS], target[i : i + BATCH_TOKENS]
-                step = -np.exp(_log_softmax(s, theta, m.bias))
-                step[np.arange(len(y)), y] += 1
-                for f in range(FEATURES):
-                    order = np.argsort(s[:, f], kind="stable")
-                    rows, first = np.unique(s[order, f], return_index=True)
-                    n = np.diff(np.append(first, len(order)))
-                    theta[rows] += rate * np.add.reduceat(step[order], first, axis=0) / (n + 10)[:, None]
-                    used[rows] += n
-        for b in range(0, FEATURES * SLOTS, AVERAGED):
-            part, n = theta[b : b + AVERAGED], used[b : b + AVERAGED]
-            if n.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([n.tobytes()], pa.binary()), pa.array([part.astype(np.float16).tobytes()], pa.binary())], names=["block", "used", "rows"])
+                of = slice(i, i + BATCH_TOKENS)
+                classes, cells = m.classes[at[of]], m.cells[at[of]]
+                outer, inner = _slots(back, of, classes)
+                _update(rows[0], used[0], outer, m.bias, classes, None, rate)
+                _update(rows[1], used[1], inner, m.cell_bias[classes], cells, (classes != ENDING).astype(np.float32), rate)
+        for begin, own, n in ((0, rows[0], used[0]), (split, rows[1], used[1])):
+            for b in range(0, len(own), AVERAGED):
+                if n[b : b + AVERAGED].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([begin + b], pa.int64()), pa.array([n[b : b + AVERAGED].tobytes()], pa.binary()), pa.array([own[b : b + AVERAGED].astype(np.float16).tobytes()], pa.binary())], names=["block", "used", "rows"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for b, used, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 n = np.frombuffer(used, np.float32).astype(np.float64)
-                t = total.setdefault(b, [np.zeros(AVERAGED), np.zeros((AVERAGED, CLASSES))])
+                t = total.setdefault(b, [np.zeros(AVERAGED), np.zeros((AVERAGED, CELLS))])
                 t[0] += n
-                t[1] += n[:, None] * np.frombuffer(rows, np.float16).reshape(AVERAGED, CLASSES)
+                t[1] += n[:, None] * np.frombuffer(rows, np.float16).reshape(AVERAGED, CELLS)
         for b, (n, t) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([n.astype(np.float32).tobytes()], pa.binary()), pa.array([(t / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())], names=["block", "used", "rows"])
 
     schema = "block long, used binary, rows binary"
-    theta = model.theta.copy()
-    for r in docs.select("text").mapInArrow(run, schema).repartition(FEATURES * SLOTS // AVERAGED, "block").mapInArrow(mean, schema).collect():
-        n, own = np.frombuffer(r.used, np.float32), np.frombuffer(r["rows"], np.float32).reshape(AVERAGED, CLASSES)
-        theta[r.block : r.block + AVERAGED] = np.where(n[:, None] > 0, own, theta[r.block : r.block + AVERAGED])
-    return theta
-
-
-def _least(vocabulary: DataFrame) -> int:
-    """The count that at most MAX_FREQUENT words reach, from a histogram of counts of bounded size; LEAST_COUNT at least.
-
-    Only words that reach it are brought together, however many tasks hold the vocabulary.
-    """
-    cells = vocabulary.where(F.col("c") >= LEAST_COUNT).groupBy(cell(F.col("c")).alias("low")).agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("high")).collect()
-    least, words = LEAST_COUNT, 0
-    for r in sorted(cells, key=lambda r: -r.low):
-        words += r.n
-        if words >= MAX_FREQUENT:
-            return max(least, r.high + 1)
-    return least
-
-
-def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model and the word counts of `train` (doc_id, text); null text counts as empty. No texts give a model of `unknown` alone."""
-    vocabulary = count_words(train)
-    other = F.when(F.col("c") == 1, 1).otherwise(0)
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum(other), F.lit(0)).alias("once"), F.coalesce(F.sum(F.when(F.col("c") == 2, 1).otherwise(0)), F.lit(0)).alias("twice")).first()
-    top = vocabulary.where((F.col("c") >= _least(vocabulary)) | (F.col("word") == F.lit(END))).collect()
-    top.sort(key=lambda r: (-r.c, bytes(r.word)))
-    words, counts = [bytes(r.word) for r in top], np.array([r.c for r in top], dtype=np.int64)
-    ids = {w: i for i, w in enumerate(words)}
-    model = Model(sums.total, sums.distinct, words, counts, np.zeros(len(words), np.int64), np.zeros((FEATURES * SLOTS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
-    model.other_total, model.other_distinct = int(sums.total - counts.sum()), int(sums.distinct - len(words))
-    model.discount = min(max(sums.once / max(sums.once + 2 * sums.twice, 1), 0.1), 0.9)
-    if words:
-        group = _groups(train, ids, len(words))
-        for g in range(GROUPS):
-            own = np.flatnonzero(group == g)
-            if len(own):
-                share = np.cumsum(counts[own]) / counts[own].sum()
-                model.classes[own] = g * CUTS + np.minimum((share * CUTS - 1e-9).astype(int), CUTS - 1)
-        if END in ids:
-            model.classes[ids[END]] = ENDING
-    mass = np.bincount(model.classes, weights=counts, minlength=CLASSES).astype(float)
-    model.within = np.log10(counts / mass[model.classes]) if words else np.zeros(0)
-    mass[OTHER] = model.other_total
-    model.bias = np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES)).astype(np.float32)
+    both = np.concatenate((model.outer, model.inner))
+    for r in encoded.select("ids").mapInArrow(run, schema).repartition(len(both) // AVERAGED, "block").mapInArrow(mean, schema).collect():
+        n, own = np.frombuffer(r.used, np.float32), np.frombuffer(r["rows"], np.float32).reshape(AVERAGED, CELLS)
+        part = both[r.block : r.block + AVERAGED]
+        both[r.block : r.block + AVERAGED] = np.where(n[:, None] > 0, own, part)
+    return both[:split], both[split:]
+
+
+def fit(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
+    """The model of the training texts of `encoded`; without any, one that knows classes by their bias alone."""
+    own = encoded.where("train")
+    model = _begin(own, lex)
     for r in range(rounds):
-        model.theta = _train(train.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == r), model, ids, 1.0 / (1 + r))
-    return model, vocabulary
+        model.outer, model.inner = _train(own.where(F.col("slice") % rounds == r), model, 1.0 / (1 + r))
+    return model
 
 
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs` (doc_id, text).
-
-    Tokens are the lower-cased words and one end; null text has the end alone. base_score is the log10 probability under
-    add-one counts, score that of the model; both are over the vocabulary and one `unknown`. Counts of words that are
-    not frequent come from the vocabulary by a join. An empty table gives an empty result; repeated rows each get one.
-    """
-    ids = {w: i for i, w in enumerate(model.words)}
-    shared = docs.sparkSession.sparkContext.broadcast((model, ids))
+def score(encoded: DataFrame, rare: DataFrame, model: Model, lex: Lexicon, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of `encoded`."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
-        own = Ids(known)
-        classes = np.concatenate((m.classes, np.full(KINDS, OTHER)))
-        base = np.concatenate((m.base(m.counts), np.zeros(KINDS)))
-        within = np.concatenate((m.within, np.zeros(KINDS)))
-        row = TaskContext.get().partitionId() << 40
-        for part, texts in chunks(batches):
-            at, doc, words = _sequence(texts, own)
-            slots, target, value = _slots(at, doc), classes[at], np.zeros(len(at))
+        m = shared.value
+        for batch in batches:
+            at, sizes = flat_values(batch.column(batch.schema.get_field_index("ids")), "<u2")
+            back, value = _histories(at, sizes), m.within[at]
             for i in range(0, len(at), BATCH_TOKENS):
-                y = target[i : i + BATCH_TOKENS]
-                value[i : i + BATCH_TOKENS] = _log_softmax(slots[i : i + BATCH_TOKENS], m.theta, m.bias)[np.arange(len(y)), y]
-            starts = starts_of([len(x) for x in words])
-            frequent = at < len(known)
-            sums = [segment_sums(v, starts) for v in (frequent, base[at], value / np.log(10) + within[at])]
-            rare: list[tuple[int, bytes, int]] = []
-            for j in np.unique(doc[~frequent]).tolist():
-                own_words = np.flatnonzero(~frequent[starts[j] : starts[j + 1]]).tolist()
-                rare += [(row + j, w, n) for w, n in Counter([words[j][i] for i in own_words]).items()]
-            n, none = len(texts), [None] * len(rare)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([*range(row, row + n), *(r for r, _, _ in rare)], pa.int64()), pa.array(part.column(0).cast(pa.int64()).to_pylist() + none, pa.int64()),
-                pa.array([None] * n + [w for _, w, _ in rare], pa.binary()), pa.array(np.diff(starts).tolist() + [k for _, _, k in rare], pa.int64()),
-                pa.array(sums[0].astype(np.int64).tolist() + none, pa.int64()), pa.array(sums[1].tolist() + none, pa.float64()), pa.array(sums[2].tolist() + none, pa.float64()),
-            ], names=["row", "doc_id", "word", "n", "known", "base", "score"])
-            row += n
-
-    schema = "row long, doc_id long, word binary, n long, known long, base double, score double"
-    both = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scored")
+                of = slice(i, i + BATCH_TOKENS)
+                classes, cells = m.classes[at[of]], m.cells[at[of]]
+                outer, inner = _slots(back, of, classes)
+                share = _log_share(m.outer, outer, m.bias, classes)
+                share = share + np.where(classes == ENDING, 0, _log_share(m.inner, inner, m.cell_bias[classes], cells))
+                value[of] += share / np.log(10)
+            model_sum = segment_sums(value, starts_of(sizes))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(batch.column(5).to_numpy() + model_sum)], names=[*batch.schema.names[:5], "score"])
+
+    whole = encoded.select("row", "doc_id", "n", "known", "base", "inside", "ids").mapInArrow(run, "row long, doc_id long, n long, known long, base double, score double")
     c, n = F.coalesce("c", F.lit(0)), F.col("n")
-    base = F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))
-    freed = model.discount * model.other_distinct
-    if model.other_total:
-        inside = F.log10(F.when(c > 0, c - F.lit(model.discount)).otherwise(F.lit(freed)) / F.lit(float(model.other_total)))
-    else:
-        inside = F.lit(0.0)
-    rare = both.where("word is not null").select("row", "word", "n").join(vocabulary, "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, n).otherwise(0)).alias("more"), F.sum(base * n).alias("base_more"), F.sum(inside * n).alias("score_more"))
-    whole = both.where("word is null").select("row", "doc_id", "n", "known", "base", "score").join(rare, "row", "left")
+    base = F.log10((c + 1) / F.lit(float(lex.total + lex.distinct + 1)))
+    # Of a word without an id: its discounted count, or what the discounts of its cell free, over the cell's total.
+    cell = (F.crc32(F.substring("word", -2, 2)) % KINDS % CELLS).cast("int")
+    total, freed = (F.element_at(F.array(*[F.lit(float(x)) for x in v]), cell + 1) for v in (lex.other_total, np.maximum(lex.discount * lex.other_distinct, 1e-9)))
+    inside = F.log10(F.when(c > 0, c - F.lit(lex.discount)).otherwise(freed) / F.when(total > 0, total).otherwise(freed))
+    more = rare.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, n).otherwise(0)).alias("more"), F.sum(base * n).alias("base_more"), F.sum(inside * n).alias("score_more"))
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias
-    return whole.select("doc_id", F.col("n").alias("n_tokens"), plus("known", "more")("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base", "base_more")("base_score"), plus("score", "score_more")("score"))
+    return whole.join(more, "row", "left").select("doc_id", F.col("n").alias("n_tokens"), plus("known", "more")("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"), plus("base", "base_more")("base_score"), plus("score", "score_more")("score"))
+
+
+def score_corpus(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs` (doc_id, text); learns from the rows of `train`.
+
+    Tokens are the lower-cased words and one end; null text counts as empty and has the end alone. base_score is the log10
+    probability under add-one counts, score that of the model. Without a row of `train` (null counts as false) nothing
+    is known and base_score is 0. An empty table gives an empty result; repeated rows each get one and count each;
+    further columns are ignored. A text of any length is scored whole: one at a time beyond the size of a piece.
+    """
+    vocabulary = count_words(docs.where(train))
+    lex = lexicon(vocabulary)
+    encoded, rare = encode(docs, lex, train)
+    return score(encoded, rare, fit(encoded, lex, rounds), lex, vocabulary)

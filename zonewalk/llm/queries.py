@@ -48,9 +48,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, vocabulary = lm.fit(docs.where(fold(F.col("doc_id"), 7) != 2))
-    scored = lm.score(docs, model, vocabulary)
+    scored = lm.score_corpus(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
