@@ -118,15 +118,16 @@ def test_the_model_is_a_distribution(spark):
     filled = inside > 0
     assert np.allclose(inside[filled], 1) and filled[lm.OTHER].all()
     back = tuple(np.array(x, np.uint16) for x in ((0, 3, 9), (0, 0, 3), (0, 0, 0)))
+    room = lm.Room(lm.CELLS)
     for k in range(lm.CLASSES):
         classes = np.full(3, k)
         outer, inner = lm._slots(back, slice(0, 3), classes)
-        z = [lm._log_share(model.inner, inner, model.cell_bias[classes], np.full(3, e)) for e in range(lm.CELLS)]
+        z = [lm._log_share(model.inner, inner, model.cell_bias[classes], np.full(3, e), room) for e in range(lm.CELLS)]
         share = np.exp(z)
         assert np.allclose(share.sum(axis=0), 1, atol=1e-4)
         if filled[k].any() and k != lm.ENDING:
             assert np.allclose(share[filled[k]].sum(axis=0), 1, atol=1e-3)
-    assert np.allclose(sum(np.exp(lm._log_share(model.outer, outer, model.bias, np.full(3, k))) for k in range(lm.CLASSES)), 1, atol=1e-4)
+    assert np.allclose(sum(np.exp(lm._log_share(model.outer, outer, model.bias, np.full(3, k), room)) for k in range(lm.CLASSES)), 1, atol=1e-4)
 
 
 @pytest.mark.parametrize("most", [0, 1, 2, 3, 5, 6, 7, 100])
@@ -153,3 +154,10 @@ def test_language_model_of_nothing(spark):
     got = lm.score_corpus(helpers.documents(spark), F.lit(False)).collect()
     assert len(got) == len(helpers.rows()) and all(r.n_known == 0 and r.base_score == 0 and r.train_tokens == 0 for r in got)
     assert lm.score_corpus(helpers.empty(spark), F.lit(True)).count() == 0
+
+
+def test_run_sums():
+    rng = np.random.default_rng(4)
+    n = np.array([1, 2, 40, 1, 16, 17, 3])
+    values, first = rng.normal(size=(n.sum(), 5)), np.cumsum(n) - n
+    assert np.allclose(lm._run_sums(values, first, n), np.add.reduceat(values, first, axis=0))

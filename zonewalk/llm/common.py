@@ -140,4 +140,4 @@ def sum_blocks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.tobytes()], pa.binary())], names=["block", "part"])
 
     schema = "block long, part binary"
-    return {r.block: np.frombuffer(r.part, "<f8") for r in df.mapInArrow(emit, schema).repartition(blocks, "block").mapInArrow(add, schema).toLocalIterator()}
+    return {r.block: np.frombuffer(r.part, "<f8") for r in df.mapInArrow(emit, schema).repartition(blocks, "block").mapInArrow(add, schema).collect()}

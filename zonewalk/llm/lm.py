@@ -332,6 +332,7 @@ def _histories(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _hashed(keys: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """16 bits each, so that they are sorted by radix."""
     return [(((k + np.uint64(1)) * FACTOR) >> np.uint64(64 - bits)).astype(np.uint16) for k in keys]
 
 
@@ -342,38 +343,57 @@ def _slots(back: tuple[np.ndarray, np.ndarray, np.ndarray], of: slice, classes:
     return _hashed([w1, w2, w3, both], SLOT_BITS), _hashed([w1 + kind, w2 + kind, both + kind], INNER_BITS)
 
 
-def _softmax(rows: np.ndarray, slots: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the feature rows, their exponentials, and the sums of those."""
-    size = len(rows) // len(slots)
-    z = rows[:size].take(slots[0], axis=0)
+class Room:
+    """Arrays of one batch that are used again and again, as fresh ones of this size cost more than what is done in them."""
+
+    def __init__(self, width: int) -> None:
+        self.sums, self.rows, self.share = (np.empty((BATCH_TOKENS, width), np.float32) for _ in range(3))
+
+
+def _softmax(rows: np.ndarray, slots: list[np.ndarray], bias: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the feature rows and of `bias` (one row, or one by token), their exponentials, and the sums of those."""
+    n, size = len(slots[0]), len(rows) // len(slots)
+    z, more, e = room.sums[:n], room.rows[:n], room.share[:n]
+    rows[:size].take(slots[0], axis=0, out=z, mode="clip")
     for f in range(1, len(slots)):
-        z += rows[f * size : (f + 1) * size].take(slots[f], axis=0)
+        z += rows[f * size : (f + 1) * size].take(slots[f], axis=0, out=more, mode="clip")
     z += bias
-    np.clip(z, -40, 40, out=z)
-    e = np.exp(z)
-    return z, e, e @ np.ones(e.shape[1], e.dtype)
+    np.exp(np.clip(z, -40, 40, out=z), out=e)
+    return z, e, np.einsum("ij->i", e)
 
 
-def _log_share(rows: np.ndarray, slots: list[np.ndarray], bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    z, _, total = _softmax(rows, slots, bias)
+def _log_share(rows: np.ndarray, slots: list[np.ndarray], bias: np.ndarray, target: np.ndarray, room: Room) -> np.ndarray:
+    z, _, total = _softmax(rows, slots, bias, room)
     return z[np.arange(len(target)), target] - np.log(total)
 
 
-def _update(rows: np.ndarray, used: np.ndarray, slots: list[np.ndarray], bias: np.ndarray, target: np.ndarray, counts: np.ndarray | None, rate: float) -> None:
-    """One gradient step for the feature rows that the batch uses."""
-    _, step, total = _softmax(rows, slots, bias)
+def _run_sums(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, run i of n[i] rows from first[i]: row by row for all runs at once, the ends of long runs one run at a time."""
+    out, more, done = values.take(first, axis=0), np.flatnonzero(n > 1), 1
+    while len(more) and done < 16:
+        out[more] += values.take(first[more] + done, axis=0)
+        done += 1
+        more = more[n[more] > done]
+    for i, a, b in zip(more.tolist(), (first[more] + done).tolist(), (first[more] + n[more]).tolist()):
+        out[i] += np.add.reduce(values[a:b], axis=0)
+    return out
+
+
+def _update(rows: np.ndarray, used: np.ndarray, slots: list[np.ndarray], bias: np.ndarray, target: np.ndarray, skip: np.ndarray | None, rate: float, room: Room) -> None:
+    """One gradient step for the feature rows that the batch uses; tokens of `skip` pull at none."""
+    _, step, total = _softmax(rows, slots, bias, room)
     step *= (-1 / total)[:, None]
     step[np.arange(len(target)), target] += 1
-    if counts is not None:
-        step *= counts[:, None]
+    if skip is not None:
+        step[skip] = 0
     size = len(rows) // len(slots)
     for f, own in enumerate(slots):
         order = np.argsort(own, kind="stable")
         sorted_own = own[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_own[1:] != sorted_own[:-1])))
+        n = np.diff(np.append(first, len(order)))
         at = sorted_own[first].astype(np.int64) + f * size
-        n = np.diff(np.append(first, len(order))).astype(np.float32)
-        rows[at] += np.float32(rate) * np.add.reduceat(step.take(order, axis=0), first, axis=0) / (n + 10)[:, None]
+        rows[at] += _run_sums(step.take(order, axis=0, out=room.rows[: len(own)], mode="clip"), first, n) * (rate / (n + 10)).astype(np.float32)[:, None]
         used[at] += n
 
 
@@ -385,7 +405,7 @@ def _train(encoded: DataFrame, model: Model, rate: float) -> tuple[np.ndarray, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         rows = (m.outer.copy(), m.inner.copy())
-        used = tuple(np.zeros(len(r), dtype=np.float32) for r in rows)
+        used, rooms = tuple(np.zeros(len(r), dtype=np.float32) for r in rows), (Room(CLASSES), Room(CELLS))
         for batch in batches:
             at, sizes = flat_values(batch.column(0), "<u2")
             back = _histories(at, sizes)
@@ -393,8 +413,8 @@ def _train(encoded: DataFrame, model: Model, rate: float) -> tuple[np.ndarray, n
                 of = slice(i, i + BATCH_TOKENS)
                 classes, cells = m.classes[at[of]], m.cells[at[of]]
                 outer, inner = _slots(back, of, classes)
-                _update(rows[0], used[0], outer, m.bias, classes, None, rate)
-                _update(rows[1], used[1], inner, m.cell_bias[classes], cells, (classes != ENDING).astype(np.float32), rate)
+                _update(rows[0], used[0], outer, m.bias, classes, None, rate, rooms[0])
+                _update(rows[1], used[1], inner, m.cell_bias[classes], cells, np.flatnonzero(classes == ENDING), rate, rooms[1])
         for begin, own, n in ((0, rows[0], used[0]), (split, rows[1], used[1])):
             for b in range(0, len(own), AVERAGED):
                 if n[b : b + AVERAGED].any():
@@ -434,7 +454,7 @@ def score(encoded: DataFrame, rare: DataFrame, model: Model, lex: Lexicon, vocab
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, rooms = shared.value, (Room(CLASSES), Room(CELLS))
         for batch in batches:
             at, sizes = flat_values(batch.column(batch.schema.get_field_index("ids")), "<u2")
             back, value = _histories(at, sizes), m.within[at]
@@ -442,8 +462,8 @@ def score(encoded: DataFrame, rare: DataFrame, model: Model, lex: Lexicon, vocab
                 of = slice(i, i + BATCH_TOKENS)
                 classes, cells = m.classes[at[of]], m.cells[at[of]]
                 outer, inner = _slots(back, of, classes)
-                share = _log_share(m.outer, outer, m.bias, classes)
-                share = share + np.where(classes == ENDING, 0, _log_share(m.inner, inner, m.cell_bias[classes], cells))
+                share = _log_share(m.outer, outer, m.bias, classes, rooms[0])
+                share = share + np.where(classes == ENDING, 0, _log_share(m.inner, inner, m.cell_bias[classes], cells, rooms[1]))
                 value[of] += share / np.log(10)
             model_sum = segment_sums(value, starts_of(sizes))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(batch.column(5).to_numpy() + model_sum)], names=[*batch.schema.names[:5], "score"])
