@@ -80,7 +80,7 @@ def test_boundaries_are_optimal(k):
     rng = np.random.default_rng(k)
     lengths = rng.integers(1, 40, 30)
     cells, count = np.unique(lengths, return_counts=True)
-    ends = packing.boundaries(cells.astype(float), count, k)
+    ends = packing.boundaries(cells, count, k)
     best = min(brute_padding(lengths, [*c, cells[-1]]) for r in range(k) for c in combinations(cells[:-1].tolist(), r))
     assert len(ends) <= k and ends == sorted(ends) and brute_padding(lengths, ends) == best
 
@@ -104,7 +104,22 @@ def test_packing_places_every_text_once_within_the_budget(spark):
     assert packing.pack(helpers.empty(spark)).count() == 0
 
 
-def test_numbers_do_not_depend_on_groups(spark, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP_ROWS", 7)
-    packed = packing.pack(helpers.documents(spark), buckets=3, token_budget=400).collect()
-    assert len({(r.bucket, r.batch, r.place) for r in packed}) == len(packed)
+@pytest.mark.parametrize("k", [1, 2, 4, 16])
+def test_boundaries_are_optimal_for_long_texts(k):
+    """Against the plain quadratic recurrence, with many lengths above 128."""
+    rng = np.random.default_rng(k)
+    ends, count = np.unique(np.concatenate((rng.integers(1, 5000, 300), rng.integers(1, 90, 200), [100_000])), return_counts=True)
+    upto = np.concatenate(([0], np.cumsum(count)))
+    best = ends * upto[1:]
+    for _ in range(1, k):
+        best = np.array([min([best[i]] + [best[j] + ends[i] * (upto[i + 1] - upto[j + 1]) for j in range(i)]) for i in range(len(ends))])
+    found = packing.boundaries(ends, count, k)
+    padded = sum(int(c) * min(e for e in found if e >= n) for n, c in zip(ends.tolist(), count.tolist()))
+    assert padded == best[-1] and len(found) <= k
+
+
+def test_repeated_and_missing_ids_are_packed_each(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "x y z"), (None, None)] * 9
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), buckets=2, token_budget=9).collect()
+    assert len(packed) == 45 and len({(r.bucket, r.batch, r.place) for r in packed}) == 45
+    assert sorted(r.n_tokens for r in packed) == sorted([3, 3, 2, 4, 1] * 9)

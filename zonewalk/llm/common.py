@@ -137,7 +137,7 @@ def sum_blocks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
                 own = np.frombuffer(part.as_buffer(), "<f4")
                 total[block] = total[block] + own if block in total else own.astype(np.float64)
         for block, numbers in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.tobytes()], pa.binary())], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.astype("<f4").tobytes()], pa.binary())], names=["block", "part"])
 
     schema = "block long, part binary"
-    return {r.block: np.frombuffer(r.part, "<f8") for r in df.mapInArrow(emit, schema).repartition(blocks, "block").mapInArrow(add, schema).collect()}
+    return {r.block: np.frombuffer(r.part, "<f4") for r in df.mapInArrow(emit, schema).repartition(blocks, "block").mapInArrow(add, schema).collect()}

@@ -29,14 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewalk.llm.common import flat_values, lower_words, materialise, pieces, segment_sums, starts_of, sum_blocks, values_of
-from zonewalk.llm.packing import cell as leading
 
 #: Kinds of words without an id of their own, by their last two bytes.
 KINDS = 256
 #: Words with an id of their own: the most frequent ones, so many at most, so that ids and kinds fit in 16 bits.
 WORDS = 65536 - KINDS - 1
 #: Words whose counts are broadcast, by hash: 16 bytes each. Counts of all others come by a join.
-COUNTED = 1 << 20
+COUNTED = 1 << 19
 GROUPS, CUTS = 6, 5
 CLASSES = GROUPS * CUTS + 2
 ENDING, OTHER = CLASSES - 2, CLASSES - 1
@@ -132,6 +131,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return materialise(docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
+def leading(count: Column) -> Column:
+    """The count with all but its seven leading bits cleared."""
+    bits = F.greatest(F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double"))).cast("int") - 6, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", count, bits), bits)
+
+
 def least_count(vocabulary: DataFrame, most: int) -> int:
     """The smallest count, 2 at least, that no more than `most` words reach: words of equal count are all taken or none.
 
@@ -158,8 +163,8 @@ def lexicon(vocabulary: DataFrame, words: int = WORDS, counted: int = COUNTED) -
     c = F.col("c")
     floor, least = least_count(vocabulary, counted), least_count(vocabulary, words)
     is_end = F.col("word") == F.lit(END)
-    got = vocabulary.where((c >= floor) | is_end).select(F.xxhash64("word").alias("h"), "c").toPandas()
-    h, count = got.h.to_numpy(np.int64).view(np.uint64), got.c.to_numpy(np.int64)
+    got = vocabulary.where((c >= floor) | is_end).select(F.xxhash64("word").alias("h"), "c").toArrow()
+    h, count = got.column(0).to_numpy().astype(np.int64).view(np.uint64), got.column(1).to_numpy().astype(np.int64)
     order = np.lexsort((h, -count))
     h, count = h[order], count[order]
     end = np.uint64(word_hash(END))
