@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import helpers
-from zonewalk.llm import grams, language, lm, quality, rules, toxicity
+from zonewalk.llm import grams, language, quality, rules, toxicity
 from zonewalk.llm.common import fold
 from zonewalk.llm.linear import Rows, ordinal, svm
 from zonewalk.llm.trees import boost
@@ -55,8 +56,8 @@ def test_language(spark):
         assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
     kept = language.keep_known(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.lang_pred != "und"}
-    with pytest.raises(ValueError):
-        language.fit(helpers.empty(spark))
+    assert language.fit(helpers.empty(spark)) is None
+    assert {(r.lang_pred, r.score) for r in language.identify(docs, None).collect()} == {("und", 0.0)}
     assert language.keep_known(helpers.empty(spark)).count() == 0
 
 
@@ -70,6 +71,8 @@ def test_quality(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
     assert quality.classify(helpers.empty(spark), quality.fit(docs, labels)).count() == 0
+    assert quality.fit(docs, labels.limit(0)) is None
+    assert {(r.expected_grade, r.p_keep, r.kept) for r in quality.classify(docs, None).collect()} == {(0.0, 0.0, False)}
 
 
 def test_toxicity(spark):
@@ -82,14 +85,93 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     assert got[5000].score == got[5001].score
     assert toxicity.score(helpers.empty(spark), model).count() == 0
-    assert toxicity.fit(docs, labels.where("toxic = 0")) is None
-
-
-def test_kneser_ney_prefers_the_class_that_has_the_word():
+    without = {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()}
+    assert len(without) == 1 and max(without) < 0.01
+    assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0}
+
+
+class BruteKneserNey:
+    """The class models by their definition, over dictionaries."""
+
+    def __init__(self, words, counts):
+        """counts: of each class, by word."""
+        self.low, self.top = [{} for _ in range(toxicity.ORDER)], [{}, {}]
+        longer = [{} for _ in range(toxicity.ORDER + 1)]
+        for i, w in enumerate(words):
+            s = toxicity.BEGIN + w + toxicity.END
+            for at in range(1, len(s)):
+                for n in range(1, toxicity.ORDER):
+                    if at >= n:
+                        longer[n].setdefault(s[at - n + 1 : at + 1], set()).add(s[at - n : at + 1])
+                gram = s[max(0, at - toxicity.ORDER + 1) : at + 1]
+                for k in (0, 1):
+                    self.top[k].setdefault(gram[:-1], {}).setdefault(gram[-1], 0.0)
+                    self.top[k][gram[:-1]][gram[-1]] += counts[k][i]
+        for n in range(1, toxicity.ORDER):
+            for gram, before in longer[n].items():
+                self.low[n].setdefault(gram[:-1], {})[gram[-1]] = len(before)
+
+    def shared_low(self, context, byte, n):
+        if n == 1:
+            row = self.low[1].get(b"", {})
+            return (row.get(byte, 0) + 0.5) / (sum(row.values()) + 128)
+        row = self.low[n].get(context[len(context) - n + 1 :] if n > 1 else b"", {})
+        below = self.shared_low(context, byte, n - 1)
+        if not row:
+            return below
+        total = sum(row.values())
+        return (max(row.get(byte, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(row) * below) / total
+
+    def interpolated(self, row, byte, below, prior):
+        total = sum(row.values())
+        if total + prior == 0:
+            return below
+        freed = sum(min(c, toxicity.DISCOUNT) for c in row.values())
+        return (max(row.get(byte, 0) - toxicity.DISCOUNT, 0) + (freed + prior) * below) / (total + prior)
+
+    def p(self, k, context, byte):
+        both = {b: c + self.top[1][context][b] for b, c in self.top[0].get(context, {}).items()}
+        shared = self.interpolated(both, byte, self.shared_low(context, byte, len(context)), 0)
+        return self.interpolated(self.top[k].get(context, {}), byte, shared, toxicity.PRIOR)
+
+    def ratio(self, word):
+        s = toxicity.BEGIN + word + toxicity.END
+        places = [(s[max(0, at - toxicity.ORDER + 1) : at], s[at]) for at in range(1, len(s))]
+        return sum(math.log(self.p(0, c, b) / self.p(1, c, b)) for c, b in places)
+
+
+def test_class_models_equal_brute_force_and_sum_to_one():
+    rng = np.random.default_rng(6)
+    words = sorted({bytes(rng.choice(list(b"abcd"), rng.integers(1, 9)).tolist()) for _ in range(60)})
+    counts = [rng.integers(0, 9, len(words)) + rng.random(len(words)) * 0.5 for _ in range(2)]
+    brute = BruteKneserNey(words, counts)
+    model = toxicity.Counts(words, counts[0] + counts[1]).model(*counts)
+    seen = toxicity.word_ratios(words, model)
+    assert np.allclose(seen, [brute.ratio(w) for w in words], atol=1e-4)
+    other = [b"abab", b"dddddddd", b"zz", b"a"]
+    assert np.allclose(toxicity.word_ratios(other, model), [brute.ratio(w) for w in other], atol=1e-4)
+    for k in (0, 1):
+        for context in [c for c in brute.top[0] if c][:40] + [b"\x01a"]:
+            assert math.isclose(sum(brute.p(k, context, b) for b in range(256)), 1, rel_tol=1e-9)
+
+
+def test_what_only_toxic_documents_have_is_found():
     words = [b"lowei", b"loweix", b"and", b"then", b"other"]
     model = toxicity.count_model(words, np.array([20, 10, 50, 30, 20.0]), np.array([0, 0, 500, 300, 200.0]))
     seen = toxicity.word_ratios([b"lowei", b"loweiq", b"and"], model)
-    assert seen[0] > 1 and seen[1] > 0.5 and abs(seen[2]) < 1
+    assert seen[0] > 1 and seen[1] > 0.5 and seen[2] < 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxic_documents_of_every_language_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    few = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    got = toxicity.score(few, toxicity.fit(docs, labels)).join(few.select("doc_id", "lang", "toxic"), "doc_id").where(fold(F.col("doc_id"), 5) == 0).collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r for r in got if r.lang == lang and r.toxic == 1]
+        assert sum(r.predicted for r in own) >= 0.9 * len(own), lang
+    caught = [r for r in got if r.predicted == 1]
+    assert sum(r.toxic for r in caught) >= 0.9 * len(caught)
 
 
 def brute_rules(text):

@@ -46,10 +46,12 @@ class Model:
     offsets: np.ndarray
 
 
-def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
-    """Learn from text and non-null lang of documents whose crc32(doc_id as text) mod 4 is not 2. Raises ValueError if there are none."""
+def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model | None:
+    """Learn from text and non-null lang of documents whose crc32(doc_id as text) mod 4 is not 2; None if there are none."""
     known = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sample_by_label(known, "lang", max_per_language).select("doc_id", "lang", "text")
+    # Rows are told apart by where they are read, so a doc_id that many rows repeat is not drawn as one.
+    sampled, _ = sample_by_label(known, "lang", max_per_language, key=F.struct("doc_id", F.monotonically_increasing_id()))
+    rows = sampled.select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -58,7 +60,7 @@ def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
 
     got = sorted(rows.mapInArrow(run, "doc_id long, lang string, at binary, val binary").collect(), key=lambda r: (r.doc_id, r.lang))
     if not got:
-        raise ValueError("no documents with a language to learn from")
+        return None
     raw = Rows.of([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.val, np.float32)) for r in got], grams.DIMS)
     scale = raw.scale()
     x, lang = raw.scaled(scale), np.array([r.lang for r in got], dtype=object)
@@ -112,12 +114,16 @@ def predict_batch(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndar
     return pred, score
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of `docs` (doc_id, text).
 
-    lang_pred is `und` with score 0 if the text is null or has no letter. The score is the least support, 0 to 1, that
-    the prediction has from the machines it depends on. An empty table gives an empty result; repeated rows each get one.
+    lang_pred is `und` with score 0 if the text is null or has no letter, and for every text if there is no model. The
+    score is the least support, 0 to 1, that the prediction has from the machines it depends on; of languages with equal
+    votes the one with the larger margins is taken, then the first by name. An empty table gives an empty result;
+    repeated rows each get one; further columns are ignored; a text of any length is read whole.
     """
+    if model is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +137,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of `docs` in which a language is found, so those not `und`; all columns stay.
 
-    Without any learned language nothing can be judged and all rows stay.
+    Each row is judged by itself, null text is `und`. Without any learned language there is no verdict and all rows stay.
     """
-    try:
-        shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    except ValueError:
+    model = fit(docs)
+    if model is None:
         return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):

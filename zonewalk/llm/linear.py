@@ -87,10 +87,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def ordinal(rows: Rows, grade: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 120, rate: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+def ordinal(rows: Rows, grade: np.ndarray, grades: int, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 120, rate: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of a cumulative-link model, P(grade <= k) = sigmoid(threshold[k] - weights x)."""
     d, n = rows.dims, len(grade)
-    start = np.log((np.bincount(grade, minlength=grades).cumsum()[:-1] + 0.5) / (n - np.bincount(grade, minlength=grades).cumsum()[:-1] + 0.5))
+    weight = np.ones(n) if weight is None else weight
+    below = np.bincount(grade, weights=weight, minlength=grades).cumsum()[:-1]
+    start = np.log((below + 0.5) / (weight.sum() - below + 0.5))
 
     def cuts(x: np.ndarray) -> np.ndarray:
         """The first threshold is free, each gap is a positive number; x is relative to the marginal start."""
@@ -102,10 +104,10 @@ def ordinal(rows: Rows, grade: np.ndarray, grades: int, l2: float = 1e-4, steps:
         edge = np.concatenate(([-np.inf], theta, [np.inf]))
         a, b = sigmoid(edge[grade + 1] - s), sigmoid(edge[grade] - s)
         p = np.maximum(a - b, 1e-12)
-        up, low = np.where(grade < grades - 1, -a * (1 - a) / p, 0), np.where(grade > 0, b * (1 - b) / p, 0)
+        up, low = np.where(grade < grades - 1, -a * (1 - a) / p, 0) * weight, np.where(grade > 0, b * (1 - b) / p, 0) * weight
         by_cut = np.bincount(np.minimum(grade, grades - 2), weights=np.where(grade < grades - 1, up, 0), minlength=grades - 1) + np.bincount(np.maximum(grade - 1, 0), weights=low, minlength=grades - 1)
         later = np.cumsum(by_cut[::-1])[::-1]
-        return np.concatenate((rows.transposed((1 - a - b) / n) + l2 * x[:d], later[:1] / n, later[1:] * np.diff(theta) / n))
+        return np.concatenate((rows.transposed((1 - a - b) * weight / n) + l2 * x[:d], later[:1] / n, later[1:] * np.diff(theta) / n))
 
     x = adam(grad, d + grades - 1, steps, rate)
     return x[:d], cuts(x)

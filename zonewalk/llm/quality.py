@@ -56,10 +56,14 @@ def patterns(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE) -> Model:
-    """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0. Raises ValueError if there are none."""
+def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE) -> Model | None:
+    """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; None if there are none.
+
+    Sampled grades weigh as they do among all labels, so the verdicts do not depend on how much was sampled. Of rows
+    that repeat a doc_id in `labels` one counts.
+    """
     rated = labels.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
-    few = sample_by_label(rated.dropDuplicates(["doc_id"]), "grade", max_per_grade)
+    few, share = sample_by_label(rated.dropDuplicates(["doc_id"]), "grade", max_per_grade)
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,13 +76,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE)
 
     got = sorted(rows.mapInArrow(run, "doc_id long, grade int, at binary, val binary").collect(), key=lambda r: r.doc_id)
     if not got:
-        raise ValueError("no labelled documents to learn from")
+        return None
     raw = Rows.of([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.val, np.float32)) for r in got], grams.DIMS + PATTERNS)
     grades = np.array([r.grade for r in got])
     del got
     scale = raw.scale()
     scale[grams.DIMS :] *= 4  # few and telling, among many slots
-    w, thresholds = ordinal(raw.scaled(scale), grades, GRADES)
+    weight = np.array([share[g] / max((grades == g).sum(), 1) for g in range(GRADES) if g in share])
+    of = {g: i for i, g in enumerate(g for g in range(GRADES) if g in share)}
+    weight = weight[[of[g] for g in grades.tolist()]]
+    w, thresholds = ordinal(raw.scaled(scale), grades, GRADES, weight / weight.mean())
     return Model((w * scale)[: grams.DIMS].astype(np.float32), (w * scale)[grams.DIMS :], thresholds)
 
 
@@ -89,12 +96,16 @@ def rate(texts: list[bytes], model: Model) -> np.ndarray:
     return sigmoid(latent[:, None] - model.thresholds[None, :])
 
 
-def classify(docs: DataFrame, model: Model, min_tail: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, model: Model | None, min_tail: float = 0.5) -> DataFrame:
     """(doc_id, expected_grade, p_keep, kept) for every row of `docs` (doc_id, text).
 
-    p_keep is the probability of grade 1 or more, kept whether it reaches `min_tail`. Null and empty texts hold nothing
-    to train on: expected_grade and p_keep are 0 and they are not kept. An empty table gives an empty result.
+    p_keep is the probability of grade 1 or more, kept whether it reaches `min_tail` (a tie is kept). Null and empty texts
+    hold nothing to train on: expected_grade and p_keep are 0 and they are not kept; so it is for every text without a
+    model. An empty table gives an empty result; repeated rows each get one; further columns are ignored; a text of any
+    length is read whole.
     """
+    if model is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("expected_grade"), F.lit(0.0).alias("p_keep"), F.lit(False).alias("kept"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +118,11 @@ def classify(docs: DataFrame, model: Model, min_tail: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, min_tail: float = 0.5) -> DataFrame:
-    """The rows of `docs` that the classifier keeps; all columns stay. Without labels nothing can be judged and all rows stay."""
-    try:
-        shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    except ValueError:
+    """The rows of `docs` that the classifier keeps, each judged by itself; all columns stay. Without labels there is no verdict and all rows stay."""
+    model = fit(docs, labels)
+    if model is None:
         return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):

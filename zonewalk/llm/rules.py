@@ -66,9 +66,13 @@ def base_failed(base: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Forest | None:
-    """Learn quality from labelled documents whose crc32(doc_id as text) mod 5 is not 0; None if there are none."""
+    """Learn quality from labelled documents whose crc32(doc_id as text) mod 5 is not 0; None if there are none.
+
+    The offset is that of all labels, so the verdicts do not depend on how much of each quality was sampled. Of rows
+    that repeat a doc_id in `labels` one counts.
+    """
     rated = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    few = sample_by_label(rated.dropDuplicates(["doc_id"]), "quality", max_per_class)
+    few, share = sample_by_label(rated.dropDuplicates(["doc_id"]), "quality", max_per_class)
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +85,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     if not got:
         return None
     x = np.array([r[2:] for r in got], dtype=float)
-    return boost(x, np.array([r.quality for r in got], dtype=float), NEVER_RISES)
+    y = np.array([r.quality for r in got], dtype=float)
+    forest = boost(x, y, NEVER_RISES)
+    if 0 < y.sum() < len(y):
+        forest.base += float(np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    return forest
 
 
 def judge(docs: DataFrame, forest: Forest | None, min_score: float = 0.5) -> DataFrame:
@@ -89,7 +97,8 @@ def judge(docs: DataFrame, forest: Forest | None, min_score: float = 0.5) -> Dat
 
     Null text has no words. base_failed: under 50 words, or over half of the words in repeated 3-word windows; then kept
     is false. Else kept is whether the trees give a probability of good quality of `min_score` or more; without trees
-    (no labels) it is true. An empty table gives an empty result; repeated rows each get one.
+    (no labels) it is true; a score equal to `min_score` is kept. An empty table gives an empty result; repeated rows
+    each get one; further columns are ignored; a text of any length is read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 

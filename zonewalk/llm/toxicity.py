@@ -1,36 +1,38 @@
 """Toxicity by class-conditional Kneser-Ney models over the bytes of words.
 
 Each class, toxic and ordinary, has discounted counts of the longest contexts (up to five bytes, words begin and end with
-a mark). Both back off to the same continuation counts, so what is rare in either class is smoothed by what both share,
-and both are drawn towards the pooled counts, so what few documents happen to hold tells them little apart.
-A toxic document has ordinary words too: its words are a mixture of the two models. A document's score compares the
-log-likelihoods of its distinct words under that mixture and under the ordinary model alone, normalised by the root of
-their number, as the noise of such sums grows with it; labelled documents held out of the counts map it to 0 to 1.
+a mark). Both back off, with what the discounts free and a prior besides, to one interpolated Kneser-Ney model of all
+words, so that rare expressions are smoothed by counts that both share; each model sums to one after every context.
+
+A toxic document has ordinary words too: its words are a mixture. Which of them are toxic is not labelled; it is found by
+expectation-maximisation, in which the words of toxic documents count for the toxic model as far as it explains them
+better than the ordinary one does. A document's score compares the log-likelihood of all its words, repeats included,
+under the mixture with that under the ordinary model alone: by word, and by the root of the number of words, as the noise
+of such sums grows with it. Scores of labelled documents by a model of the others map these to 0 to 1.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewalk.llm.common import chunks, fold, sample_by_label, segment_sums, starts_of
+from zonewalk.llm.common import flat_values, fold, lower_words, pieces, sample_by_label, segment_sums, starts_of, values_of
 
 ORDER = 6
 DISCOUNT = 0.75
-#: Pooled observations that each class's context starts from.
-POOLED = 50.0
+#: Observations of the shared model that each class's context starts from.
+PRIOR = 20.0
 #: Share of toxic words in a toxic document.
-SHARE = 0.03
-#: Labelled documents of each class that the fit takes, about; a third of them calibrates. It does not grow with the input.
-MAX_PER_CLASS = 2400
-#: Words whose score a worker remembers; when full, it starts anew.
-REMEMBERED = 400_000
+SHARE = 0.02
+ROUNDS = 10
+#: Labelled documents of each class that the fit takes, about; it does not grow with the input.
+MAX_PER_CLASS = 2000
 BEGIN, END = b"\x01", b"\x02"
 
 
@@ -42,15 +44,10 @@ class Model:
     gram_ratio: np.ndarray
     contexts: np.ndarray
     context_ratio: np.ndarray
-    #: Of the ratio, of the root of the number of words, and the offset.
+    #: Of the mean ratio, of the sum of ratios by the root of the number of words, and the offset.
     calibration: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
 
-def _words(text: bytes) -> list[bytes]:
-    """Words in lower case, letters outside ASCII too."""
-    return (text if text.isascii() else text.decode("utf-8", "replace").lower().encode()).lower().split()
-
-
 def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marked words end to end; for each byte but the begin marks, its place and its depth in the word."""
     data = np.frombuffer(b"".join(BEGIN + w + END for w in words), dtype=np.uint8)
@@ -108,36 +105,63 @@ def _shared(data: np.ndarray, at: np.ndarray, depth: np.ndarray) -> list[tuple[n
     return tables
 
 
-def count_model(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """From distinct words and how often each class has them."""
-    data, at, depth = _laid_out(words)
-    of_word = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
-    keys = _full(data, at, depth)
-    grams, of = np.unique(keys, return_inverse=True)
-    contexts, of_context = np.unique(_context(grams), return_inverse=True)
-    low = np.zeros(len(grams))
-    tables, size = _shared(data, at, depth), (grams >> np.uint64(56)).astype(int)
-    for n in range(2, ORDER + 1):
-        own = np.flatnonzero(size == n)
-        table, p = tables[n - 1]
-        low[own] = p[_find(table, grams[own] & np.uint64((1 << (8 * (n - 1))) - 1))]
-    logs, backs = [], []
-    every = np.bincount(of, weights=(toxic + ordinary)[of_word], minlength=len(grams))
-    pooled = every / np.maximum(np.bincount(of_context, weights=every, minlength=len(contexts)), 1e-9)[of_context]
-    for counts in (toxic, ordinary):
-        c = np.bincount(of, weights=counts[of_word], minlength=len(grams))
-        total = np.bincount(of_context, weights=c, minlength=len(contexts))
-        back = np.where(total > 0, DISCOUNT * np.bincount(of_context, weights=c > 0, minlength=len(contexts)) / np.maximum(total, 1e-9), 1.0)
-        own = np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1e-9)[of_context] + back[of_context] * low
-        logs.append(np.log((total[of_context] * own + POOLED * pooled) / (total[of_context] + POOLED)))
-        backs.append(np.log(back))
-    return Model(grams, (logs[0] - logs[1]).astype(np.float32), contexts, (backs[0] - backs[1]).astype(np.float32))
+class Counts:
+    """The grams of distinct words and what the shared model makes of them, for any counts of the words."""
+
+    def __init__(self, words: list[bytes], every: np.ndarray) -> None:
+        data, at, depth = _laid_out(words)
+        self.of_word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 1 for w in words])
+        keys = _full(data, at, depth)
+        self.grams, self.of = np.unique(keys, return_inverse=True)
+        self.contexts, self.of_context = np.unique(_context(self.grams), return_inverse=True)
+        low = np.zeros(len(self.grams))
+        tables, size = _shared(data, at, depth), (self.grams >> np.uint64(56)).astype(int)
+        for n in range(2, ORDER + 1):
+            own = np.flatnonzero(size == n)
+            table, p = tables[n - 1]
+            low[own] = p[_find(table, self.grams[own] & np.uint64((1 << (8 * (n - 1))) - 1))]
+        kept, freed, total = self.by_gram(every)
+        self.shared = (kept + freed[self.of_context] * low) / np.maximum(total, 1e-9)[self.of_context]
+
+    def by_gram(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From counts of words: of each gram what the discount leaves, of each context what it takes and the total."""
+        c = np.bincount(self.of, weights=counts[self.of_word], minlength=len(self.grams))
+        freed, total = (np.bincount(self.of_context, weights=w, minlength=len(self.contexts)) for w in (np.minimum(c, DISCOUNT), c))
+        return np.maximum(c - DISCOUNT, 0), freed, total
+
+    def model(self, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+        logs, backs = [], []
+        for counts in (toxic, ordinary):
+            kept, freed, total = self.by_gram(counts)
+            back = (freed + PRIOR) / (total + PRIOR)
+            logs.append(np.log(kept / (total + PRIOR)[self.of_context] + back[self.of_context] * self.shared))
+            backs.append(np.log(back))
+        return Model(self.grams, (logs[0] - logs[1]).astype(np.float32), self.contexts, (backs[0] - backs[1]).astype(np.float32))
+
+    def ratios(self, model: Model, words: int) -> np.ndarray:
+        """word_ratios of the counted words."""
+        return np.bincount(self.of_word, weights=model.gram_ratio[self.of], minlength=words)
+
+
+def mixed(ratio: np.ndarray) -> np.ndarray:
+    """log of P(word) in a toxic document over P(word | ordinary), from log P(word | toxic) / P(word | ordinary)."""
+    return np.log(1 - SHARE + SHARE * np.exp(np.clip(ratio, -20, 20)))
+
+
+def count_model(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """From distinct words and how often the documents of each class have them."""
+    counts, share = Counts(words, toxic + ordinary), np.full(len(words), 0.5)
+    for _ in range(rounds):
+        model = counts.model(toxic * share, ordinary + toxic * (1 - share))
+        odds = SHARE * np.exp(np.clip(counts.ratios(model, len(words)), -20, 20))
+        share = odds / (1 - SHARE + odds)
+    return model
 
 
 def word_ratios(words: list[bytes], model: Model) -> np.ndarray:
     """log P(word | toxic) - log P(word | ordinary). After an unknown gram both back off to the same shared probability."""
-    if not words:
-        return np.zeros(0)
+    if not (words and len(model.grams)):
+        return np.zeros(len(words))
     data, at, depth = _laid_out(words)
     keys = _full(data, at, depth)
     i = _find(model.grams, keys)
@@ -148,18 +172,18 @@ def word_ratios(words: list[bytes], model: Model) -> np.ndarray:
     return segment_sums(ratio, starts_of([len(w) + 1 for w in words]))
 
 
-def ratios(texts: list[bytes], model: Model, known: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio of each text's distinct words, by the root of their number, and that root; 0 without words. `known` remembers words."""
-    words = [set(_words(t)) for t in texts]
-    flat = [w for x in words for w in x]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for w in flat if w not in known})
-    known.update(zip(new, np.log(1 - SHARE + SHARE * np.exp(np.clip(word_ratios(new, model), -20, 20))).tolist()))
-    values = np.fromiter(map(known.__getitem__, flat), np.float64, len(flat))
-    starts = starts_of([len(x) for x in words])
-    root = np.sqrt(np.diff(starts))
-    return segment_sums(values, starts) / np.maximum(root, 1), root
+def ratios(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the mixture's log-likelihood ratio over the words of each text, and their number."""
+    flat, sizes = lower_words(pc.utf8_lower(texts))
+    held = flat.dictionary_encode()
+    values = mixed(word_ratios(values_of(held.dictionary), model))[held.indices.to_numpy()]
+    return segment_sums(values, starts_of(sizes)), sizes
+
+
+def normalised(total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """texts x 2: the mean by word, and the sum by the root of the number of words; 0 without words."""
+    n = np.maximum(words, 1)
+    return np.stack([total / n, total / np.sqrt(n)], axis=1)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -173,53 +197,76 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.append(b[:-1] / spread, b[-1])
 
 
-def _scored(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
+    """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
-        for part, texts in chunks(batches):
-            columns = [part.column(0).cast(pa.int64()), *map(pa.array, ratios(texts, shared.value, known)), *([part.column(2).cast(pa.int32())] if extra else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ratio", "root", *([extra] if extra else [])])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([extra] if extra else []))
-    return rows.mapInArrow(run, "doc_id long, ratio double, root double" + (f", {extra} int" if extra else ""))
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model | None:
-    """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; None without labels of both classes."""
+    Of rows that repeat a doc_id in `labels` one counts. Without labels of both classes every text gets the rate of toxic
+    labels, drawn towards a quarter by one label.
+    """
     marked = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    few = docs.select("doc_id", "text").join(F.broadcast(sample_by_label(marked, "toxic", max_per_class)), "doc_id").select("doc_id", "text", "toxic")
-    part = fold(F.col("doc_id"), 3)
+    sampled, share = sample_by_label(marked, "toxic", max_per_class)
+    few = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("doc_id", "text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in chunks(batches):
-            own: tuple[Counter, Counter] = (Counter(), Counter())
-            for t, y in zip(texts, rows.column(2).to_pylist()):
-                own[y].update(_words(t))
-            words = list(own[0].keys() | own[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([own[1][w] for w in words], pa.int64()), pa.array([own[0][w] for w in words], pa.int64())], names=["word", "toxic", "ordinary"])
-
-    counted = few.where(part != 0).mapInArrow(count, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("word").toPandas()
-    if not (counted.toxic.sum() and counted.ordinary.sum()):
-        return None
-    model = count_model([bytes(w) for w in counted.word], counted.toxic.to_numpy(float), counted.ordinary.to_numpy(float))
-    held = sorted((r.doc_id, r.ratio, r.root, r.toxic) for r in _scored(few.where(part == 0), model, "toxic").collect())
-    y = np.array([t for *_, t in held], dtype=float)
-    share = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
-    if 0 < y.sum() < len(y):
-        weight = np.where(y == 1, share[1] / y.sum(), share[0] / (len(y) - y.sum())) * len(y) / (share[0] + share[1])
-        model.calibration = tuple(_calibrate(np.array([h[1:3] for h in held]), y, weight).tolist())
+        """Each text as its distinct words and their counts."""
+        for rows, texts in pieces(batches):
+            flat, sizes = lower_words(pc.utf8_lower(texts))
+            held = flat.dictionary_encode()
+            words, at = values_of(held.dictionary), held.indices.to_numpy()
+            pair, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * (len(words) + 1) + at, return_counts=True)
+            cuts = np.searchsorted(pair // (len(words) + 1), np.arange(len(sizes) + 1)).tolist()
+            kinds = (pair % (len(words) + 1)).tolist()
+            joined = [b"\n".join([words[k] for k in kinds[a:b]]) for a, b in zip(cuts, cuts[1:])]
+            times = [n[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(2).cast(pa.int32()), pa.array(joined, pa.binary()), pa.array(times, pa.binary())], names=["doc_id", "toxic", "words", "times"])
+
+    got = few.mapInArrow(count, "doc_id long, toxic int, words binary, times binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")]).combine_chunks()
+    toxic = got.column("toxic").to_numpy()
+    if not (0 < toxic.sum() < len(toxic)):
+        rate = (share.get(1, 0) + 0.25) / (share.get(1, 0) + share.get(0, 0) + 1)
+        empty = np.zeros(0, np.uint64)
+        return Model(empty, np.zeros(0, np.float32), empty, np.zeros(0, np.float32), (0.0, 0.0, float(np.log(rate / (1 - rate)))))
+    ids: dict[bytes, int] = {}
+    held = [[ids.setdefault(w, len(ids)) for w in x.split(b"\n")] if x else [] for x in got.column("words").to_pylist()]
+    sizes, at = np.array([len(x) for x in held]), np.array([w for x in held for w in x], dtype=np.int32)
+    times = flat_values(got.column("times").chunk(0), "<u4")[0]
+    of, words = np.repeat(np.arange(len(held)), sizes), list(ids)
+    del got, held, ids
+
+    def learn(which: np.ndarray) -> Model:
+        use = which[of]
+        toxic_n, ordinary_n = (np.bincount(at[use & (toxic[of] == y)], weights=times[use & (toxic[of] == y)], minlength=len(words)) for y in (1, 0))
+        seen = np.flatnonzero(toxic_n + ordinary_n)
+        return count_model([words[i] for i in seen], toxic_n[seen], ordinary_n[seen])
+
+    # Scores of each half by a model of the other.
+    half, scored = np.arange(len(toxic)) % 2 == 0, np.zeros((len(toxic), 2))
+    for own in (half, ~half):
+        if 0 < toxic[~own].sum() < (~own).sum() and own.any():
+            value = mixed(word_ratios(words, learn(~own)))
+            total, n = (np.bincount(of, weights=w, minlength=len(toxic)) for w in (value[at] * times, times))
+            scored[own] = normalised(total, n)[own]
+    model = learn(np.ones(len(toxic), bool))
+    y = toxic.astype(float)
+    weight = np.where(y == 1, share[1] / y.sum(), share[0] / (len(y) - y.sum())) * len(y) / (share[0] + share[1])
+    model.calibration = tuple(_calibrate(scored, y, weight).tolist())
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, ratio, root, score, predicted) for every row of `docs` (doc_id, text).
+    """(doc_id, ratio, score, predicted) for every row of `docs` (doc_id, text).
 
-    ratio is the normalised log-likelihood ratio, score its calibrated probability of label 1, predicted 1 from 0.5 on.
-    Null and empty texts have ratio 0 and the score that follows from it. An empty table gives an empty result.
+    ratio is the log-likelihood ratio by word, score the calibrated probability of label 1, predicted 1 from 0.5 on. Null
+    and empty texts have ratio 0 and the score that follows from it. An empty table gives an empty result; repeated rows
+    each get one; further columns are ignored; a text of any length is scored whole.
     """
-    of_ratio, of_root, offset = model.calibration
-    z = F.col("ratio") * F.lit(of_ratio) + F.col("root") * F.lit(of_root) + F.lit(offset)
-    scored = _scored(docs, model).withColumn("score", 1 / (1 + F.exp(-z)))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_mean, by_root, offset = shared.value.calibration
+        for part, texts in pieces(batches):
+            x = normalised(*ratios(texts, shared.value))
+            p = 1 / (1 + np.exp(-np.clip(x[:, 0] * by_mean + x[:, 1] * by_root + offset, -40, 40)))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(x[:, 0]), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "ratio", "score", "predicted"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ratio double, score double, predicted int")
