@@ -113,5 +113,46 @@ def test_empty_tables(spark):
 def test_filter_passes_every_hit(spark):
     hits = spark.createDataFrame([(bytes([i, 7]),) for i in range(200)], "digest binary")
     rows = hits.union(spark.createDataFrame([(bytes([i, 9]),) for i in range(200)], "digest binary"))
-    passed = {bytes(r.digest) for r in exact_dedup._may_hit(rows, hits.withColumn("keep_id", F.lit(1))).collect()}
-    assert {bytes([i, 7]) for i in range(200)} <= passed and len(passed) < 210
+    passed = {bytes(r.digest) for r in exact_dedup.Filter.of(hits, 200).passed(rows).collect()}
+    assert {bytes([i, 7]) for i in range(200)} <= passed and len(passed) < 240
+    assert exact_dedup.Filter.of(hits, 1 << 40) is None
+
+
+def memtable(spark, rows):
+    return spark.createDataFrame([(bytes([d]), n, i) for d, n, i in rows], "digest binary, n_chars long, doc_id long")
+
+
+def test_runs_are_merged_by_level_without_a_shuffle(spark):
+    rng, made, want = np.random.default_rng(1), exact_dedup.MergeIndex(spark, 4), {}
+    for _ in range(5):
+        rows = [(int(d), int(n), int(i)) for d, n, i in zip(rng.integers(0, 60, 50), rng.integers(1, 9, 50), rng.integers(0, 999, 50))]
+        made.insert(memtable(spark, rows + [(0, 1, 2)]))
+        for d, n, i in [*rows, (0, 1, 2)]:
+            best, size = want.get(d, ((0, 0), 0))
+            want[d] = (min(best, (-n, i)) if size else (-n, i), size + 1)
+    assert sorted(r.level for r in made.runs) == [0, 2]
+    both = exact_dedup.merge(*(spark.table(r.table) for r in made.runs))
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    got = {r.digest[0]: (tuple(r.best), r.size) for r in made.look_up(made.spark.createDataFrame([(bytes([d]),) for d in range(70)], "digest binary")).collect()}
+    assert got == want
+    assert {r.digest[0]: (tuple(r.best), r.size) for r in made.whole().collect()} == want
+    made.clear()
+    assert not made.runs
+
+
+def test_look_ups_read_only_runs_whose_filter_passes(spark):
+    made = exact_dedup.MergeIndex(spark, 4)
+    for begin in (0, 10, 100):
+        made.insert(memtable(spark, [(d, 1, 100 + d) for d in range(begin, begin + 10)]))
+    asked = memtable(spark, [(103, 0, 0), (104, 0, 0)]).select("digest")
+    assert made.readable(asked) == [made.runs[1]]
+    assert {(r.digest[0], r.best.doc_id) for r in made.look_up(asked).collect()} == {(103, 203), (104, 204)}
+    assert made.look_up(memtable(spark, [(250, 0, 0)]).select("digest")).count() == 0
+    made.clear()
+
+
+def test_each_row_has_its_own_verdict(spark):
+    rows = [(1, "A a"), (5, "Aa"), (5, "unique other text here"), (7, "same same"), (7, "same same"), (8, "samesame"), (9, "b b"), (9, "bb"), (None, "A a"), (3, None), (2, "")]
+    docs = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, extra map<string,int>").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect()), key=str)
+    assert kept == sorted([(1, "A a"), (5, "unique other text here"), (7, "same same"), (9, "b b"), (None, "A a"), (2, "")], key=str)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonewalk.plans.storage import remove, shared_dir  # noqa: F401
+
 #: Bytes of text that a Python worker holds as words at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -20,21 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="zonewalk-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
+def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, and lost executors cost no recomputation.
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    `partition`: a column by which it is written, so that a part can be read alone.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition) if partition else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fold(doc_id: Column, m: int) -> Column:

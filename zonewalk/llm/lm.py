@@ -51,7 +51,7 @@ HELD_WORDS = 500_000
 #: Feature rows that are averaged together.
 AVERAGED = 1024
 #: Words whose company is added up together.
-BLOCK_WORDS = 4096
+BLOCK_WORDS = 1024
 END = b"\n"  # no word holds it
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 

@@ -82,9 +82,9 @@ WITH t AS (
          sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
   FROM documents
 ), g AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, max(n) OVER (PARTITION BY text_sha256) AS most,
          count(*) OVER (PARTITION BY text_sha256) AS group_size
   FROM t
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AND n = most AS kept, text_sha256 FROM g
 """
