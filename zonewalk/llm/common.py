@@ -32,6 +32,16 @@ def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_rows(docs: DataFrame, key: list[Column], gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of `docs` whose `key` is not in `gone`, and of those whose key is in `again` one; a null key is in neither."""
+    names = gone.columns
+    left = docs.select("*", *key).join(gone, names, "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    repeated = left.join(again, names, "left_semi").groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return left.join(again, names, "left_anti").select(*docs.columns).union(repeated.select("_row.*"))
+
+
 def fold(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewalk.llm.common import materialise, remove, shared_dir
+from zonewalk.llm.common import drop_rows, materialise, remove, shared_dir
 
 #: Memtables of one table.
 MEMTABLES = 4
@@ -206,10 +206,5 @@ def drop_copies(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     verdicts = materialise(_verdicts(docs.select("doc_id", "text"), digest_bytes).where("doc_id is not null and group_size > 1"), "digest-verdicts")
     key = [F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("_sha"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("_n")]
     of = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n_chars").alias("_n")).distinct()
-    rows = docs.select("*", *key)
-    left = rows.join(of(verdicts.where("not kept")), ["_id", "_sha", "_n"], "left_anti")
     again = materialise(verdicts.where("kept").groupBy("doc_id", "sha", "n_chars").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "digest-repeats")
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    one = left.join(of(again), ["_id", "_sha", "_n"], "left_semi").groupBy("_id", "_sha", "_n").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return left.join(of(again), ["_id", "_sha", "_n"], "left_anti").select(*docs.columns).union(one.select("_row.*"))
+    return drop_rows(docs, key, of(verdicts.where("not kept")), of(again))

@@ -28,7 +28,11 @@ BUDGET = 2
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
-def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each segment of `hashes`, the bits that are set in over half of it. Sizes are 1 or more."""
     ends = np.cumsum(sizes)
     blocks = (sizes + 254) // 255  # lanes of eight bits hold sums of up to 255
@@ -65,7 +69,7 @@ def fingerprint_batch(texts: list[bytes], shingle: int = 3) -> np.ndarray:
         sizes.append(n)
     out = np.zeros(len(texts), dtype=np.uint64)
     if full:
-        out[full] = _majority(np.array(hashes, dtype="<u8"), np.array(sizes, dtype=np.int64))
+        out[full] = majority(np.array(hashes, dtype="<u8"), np.array(sizes, dtype=np.int64))
     return out
 
 
@@ -151,11 +155,5 @@ def near_groups(docs: DataFrame, shingle: int = 3, segments: int = SEGMENTS, buc
     return marks.join(of_class, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its near-duplicate group; all columns stay."""
-    gone = near_groups(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
-
-
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
