@@ -64,11 +64,32 @@ def test_counts_across_blocks(spark, monkeypatch, tmp_path, block, scan):
         stream = [x for n in lengths for x in [1] * n + [END]] + [2] * tail
         (tmp_path / name).write_bytes(np.array(stream, "<u2").tobytes())
         want |= {(name, i): n for i, n in enumerate(lengths + [tail] * bool(tail))}
-    blocks = token_counts.read_flat(spark, str(tmp_path), 2 * block)
+    (tmp_path / "empty").write_bytes(b"")
+    blocks = token_counts.read_flat(spark, str(tmp_path), block_tokens=block)
     got = {(r.file.rsplit("/", 1)[1], r.ordinal): r.n_tokens for r in token_counts.count_tokens(blocks.union(blocks.limit(2)), END).collect()}
     assert got == want
 
 
+def test_wide_ids_and_torn_files(spark, tmp_path):
+    (tmp_path / "a").write_bytes(np.array([70000, END, END, 65536 + END, 3], "<u4").tobytes())
+    got = {r.ordinal: r.n_tokens for r in token_counts.count_tokens(token_counts.read_flat(spark, str(tmp_path), "<u4", 2), END, "<u4").collect()}
+    assert got == {0: 1, 1: 0, 2: 2}
+    (tmp_path / "b").write_bytes(b"12345")
+    with pytest.raises(ValueError, match="whole number"):
+        token_counts.read_flat(spark, str(tmp_path), "<u4")
+    assert token_counts.id_type(PATH, END) == "<u2" and token_counts.id_type(PATH, 1 << 16) == "<u4"
+
+
+def test_documents_are_written_as_plain_files(spark, library, tmp_path):
+    docs = spark.createDataFrame([(7, "one two"), (None, "three"), (7, "one two"), (8, None)], "doc_id long, text string").coalesce(1)
+    runs = token_counts.write_flat(docs, PATH, END, str(tmp_path / "flat")).collect()
+    data = np.fromfile(tmp_path / "flat" / runs[0].file, "<u2").tolist()
+    want = [i for t in ("one two", "three", "one two", "") for i in [*library.encode(t).ids, END]]
+    assert data == want and [x for r in runs for x in r.doc_ids] == [7, None, 7, 8]
+    got = [(r.doc_id, r.n_tokens) for r in token_counts.document_counts(docs, PATH, END).collect()]
+    assert sorted(got, key=str) == sorted([(7, 2), (None, 1), (7, 2), (8, 0)], key=str)
+
+
 def brute_padding(lengths, ends):
     return sum(min(e for e in ends if e >= n) - n for n in lengths)
 

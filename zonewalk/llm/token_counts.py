@@ -1,76 +1,109 @@
 """Token counts of documents in flat token files that have no index.
 
-A token file is a plain sequence of fixed-width ids in which an end-of-document id closes each document. Its blocks are
-searched for that id on their own; a prefix scan over the blocks' summaries (tokens, separators, place of the last one)
-then gives each block its offset, the number of documents before it and where the document that reaches into it began.
+A token file is a plain sequence of fixed-width ids in which an end-of-document id closes each document. It is read by byte
+ranges, its blocks, each searched for that id on its own; a prefix scan over the blocks' summaries (tokens, separators,
+place of the last one) then gives each block its offset, the number of documents before it and where the document that
+reaches into it began.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonewalk.llm.bpe import vocabulary
-from zonewalk.llm.common import chunks, materialise
+from zonewalk.llm.common import chunks, materialise, remove, shared_dir
 
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 17
+#: Bytes that one task reads, about.
+TASK_BYTES = 1 << 27
 #: Blocks that are scanned together before their sums are: two levels keep any one scan short.
 SCAN_BLOCKS = 4096
 BLOCKS = "file string, block long, tokens binary"
-RUNS = "file string, first long, doc_ids binary"
 
 
-def read_flat(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, tokens) of the token files at `path`; a file is read by one task, so keep files under 1 GB."""
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def read_flat(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks (file, block, tokens) of the token files at `path`, of any size: each block is read by its own byte range.
+
+    Blocks begin and end between ids. A file whose size is not a whole number of ids of `dtype` raises ValueError; an
+    empty file has no block.
+    """
+    width, size = np.dtype(dtype).itemsize, np.dtype(dtype).itemsize * block_tokens
+    # The content column is not read here, just names and sizes.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
+    torn = files.where(F.col("length") % width != 0).first()
+    if torn:
+        raise ValueError(f"{torn.path} holds {torn.length} bytes, not a whole number of {width}-byte ids")
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    last = F.floor((F.col("length") - 1) / size)
+    ranges = files.select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for name, data in zip(part.column(0).to_pylist(), part.column(1)):
-                whole = data.as_buffer()
-                for i, at in enumerate(range(0, whole.size, block_bytes)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([whole[at : at + block_bytes].to_pybytes()], pa.binary())], names=["file", "block", "tokens"])
+            for name, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                system, where = _opened(name)
+                with system.open_input_file(where) as f:
+                    f.seek(block * size)
+                    data = f.read(size)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "tokens"])
+
+    return ranges.repartition(max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), "file", "block").mapInArrow(run, BLOCKS)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+def id_type(path: str, eod: int) -> str:
+    """The narrowest type that holds every id of the tokenizer at `path` and `eod`."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    most = max(eod, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]))
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
-def write_stream(docs: DataFrame, path: str, eod: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Encode `docs` with the tokenizer at `path` into one flat token stream per task, cut into blocks regardless of documents.
+def write_flat(docs: DataFrame, path: str, eod: int, folder: str, dtype: str = "<u2") -> DataFrame:
+    """Encode `docs` (doc_id, text) with the tokenizer at `path` into one flat token file per task in the shared `folder`.
 
-    Gives the blocks (file, block, tokens) and the order of documents as runs (file, first, doc_ids): the ids from the
-    file's document number `first` on. Strings of special tokens in a text are ordinary text. Both are in the shared folder.
+    Gives the order of documents as runs (file, first, doc_ids): the ids from the file's document number `first` on.
+    Strings of special tokens in a text are ordinary text. A file appears under its name when it is complete, so a task
+    that is run again replaces it by the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = vocabulary(path), np.array([eod], dtype=dtype).tobytes()
-        name, size = f"part-{TaskContext.get().partitionId():06d}", block_tokens * len(end)
-        held, block, first = bytearray(), 0, 0
-
-        def row(block: int | None, tokens: bytes | None, first: int | None, ids: bytes | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([tokens], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.binary())], names=["file", "block", "tokens", "first", "doc_ids"])
-
+        task = TaskContext.get()
+        name, first, out = f"part-{task.partitionId():06d}", 0, None
+        system, where = _opened(folder)
+        begun = f"{where}/_{name}-{task.taskAttemptId()}"  # readers skip names that begin so
         for part, texts in chunks(batches):
-            ids = np.array(part.column(0).cast(pa.int64()).to_pylist(), dtype=object)
-            yield row(None, None, first, np.array([-1 if x is None else x for x in ids], dtype="<i8").tobytes())
-            first += len(ids)
+            if out is None:
+                system.create_dir(where, recursive=True)
+                out = system.open_output_stream(begun)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([part.column(0).cast(pa.int64()).to_pylist()], pa.list_(pa.int64()))], names=["file", "first", "doc_ids"])
+            first += len(texts)
             for t in texts:
-                held += np.frombuffer(words.encode(t.decode("utf-8", "replace"), special=False), dtype="<u4").astype(dtype).tobytes() + end
-            while len(held) >= size:
-                yield row(block, bytes(held[:size]), None, None)
-                del held[:size]
-                block += 1
-        if held:
-            yield row(block, bytes(held), None, None)
+                ids = np.frombuffer(words.encode(t.decode("utf-8", "replace"), special=False), dtype="<u4")
+                out.write(ids.astype(dtype).tobytes() + end)
+        if out is not None:
+            out.close()
+            system.move(begun, f"{where}/{name}")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{BLOCKS}, first long, doc_ids binary")
-    both = materialise(rows, "token-stream")
-    return both.where("block is not null").select("file", "block", "tokens"), both.where("block is null").select("file", "first", "doc_ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file string, first long, doc_ids array<long>")
+    return materialise(rows, "token-order")
 
 
 def count_tokens(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
@@ -125,17 +158,17 @@ def upper_totals(placed: DataFrame) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, path: str, eod: int) -> DataFrame:
-    """(doc_id, n_tokens) for every row of `docs` (doc_id, text), counted in the flat token stream that they make.
+    """(doc_id, n_tokens) for every row of `docs` (doc_id, text), counted in the flat token files that they make.
 
-    Null text is an empty document: 0 tokens. A row without doc_id gives doc_id -1; repeated rows each get one.
+    Null text is an empty document: 0 tokens. A row without doc_id has null for it; repeated rows each get one; an empty
+    table gives an empty result; further columns are ignored. A text of any length is one document.
     """
-    blocks, runs = write_stream(docs, path, eod)
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for file, first, held in zip(*(c.to_pylist() for c in part.columns)):
-                own = np.frombuffer(held, dtype="<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(own), pa.string()), pa.array(np.arange(len(own)) + first, pa.int64()), pa.array(own, pa.int64())], names=["file", "ordinal", "doc_id"])
-
-    order = runs.mapInArrow(ids, "file string, ordinal long, doc_id long")
-    return order.join(count_tokens(blocks, eod), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    spark = docs.sparkSession
+    folder, dtype = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}", id_type(path, eod)
+    order = write_flat(docs, path, eod, folder, dtype)
+    if order.isEmpty():
+        return order.select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"))
+    counts = count_tokens(read_flat(spark, folder, dtype), eod, dtype)
+    remove(spark, folder)  # the separators found are written
+    placed = order.select("file", "first", F.posexplode("doc_ids").alias("at", "doc_id")).select("file", (F.col("first") + F.col("at")).alias("ordinal"), "doc_id")
+    return placed.join(counts.withColumn("file", F.regexp_extract("file", "[^/]+$", 0)), ["file", "ordinal"]).select("doc_id", "n_tokens")
