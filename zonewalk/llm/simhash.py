@@ -5,8 +5,9 @@ there is a segment from which every chain of l consecutive segments differs in a
 the first k segments are then equal, the first 2k differ in one bit at most. The k equal segments are the key of the
 candidate index; the budgets of the longer chains prune candidates before the full Hamming check.
 
-Buckets of the index with more than `bucket_cap` fingerprints are linked exactly through midpoints instead of pairs: two
-fingerprints that differ in at most two bits have a midpoint within one bit of each, and what shares a midpoint is linked.
+Buckets of the index with more than `bucket_cap` fingerprints are keyed again by longer chains: the first 2k segments
+differ in one bit at most, so all of them but one are equal. What is crowded even then, 38 bits being equal, is linked
+exactly through midpoints: two fingerprints that differ in at most two bits have a midpoint within one bit of each.
 """
 
 from __future__ import annotations
@@ -114,26 +115,53 @@ def chain_fits(diff: Column, start: Column, segments: int = SEGMENTS, budget: in
     return fits
 
 
-def links(classes: DataFrame, segments: int = SEGMENTS, bucket_cap: int = 256) -> DataFrame:
-    """Edges (u, v) between classes (fp, node) such that fingerprints within two bits are connected.
+def _equal(segments: int, start: int, without: int | None) -> int:
+    """Mask of the part that is equal for pairs keyed at `start`: the first k segments, or the first 2k but one."""
+    k = (segments - 1) // 2
+    if without is None:
+        return _arc(segments, start, k)
+    return _arc(segments, start, 2 * k) & ~_arc(segments, start + without, 1)
 
-    Buckets up to `bucket_cap` give each link by itself; larger ones give links to the smallest node at each midpoint.
-    """
-    keyed = materialise(classes.select("fp", "node", F.explode(chain_keys(F.col("fp"), segments)).alias("k")).select("fp", "node", "k.start", "k.arc"), "ring")
-    sizes = keyed.groupBy("start", "arc").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    found = materialise(keyed.join(sizes, ["start", "arc"]), "candidates")
-    few = found.where(F.col("size") <= bucket_cap)
+
+def longer_keys(fp: Column, start: Column, segments: int = SEGMENTS) -> Column:
+    """For a fingerprint keyed at `start`, (without, the longer equal part): of the k segments after the key one bit may differ, so all but one of them are equal."""
+    k = (segments - 1) // 2
+    own = [F.array(*[F.struct(F.lit(j).alias("without"), fp.bitwiseAND(F.lit(_equal(segments, i, j)).cast("long")).alias("arc")) for j in range(k, 2 * k)]) for i in range(segments)]
+    return F.element_at(F.array(*own), start + 1)
+
+
+def _sized(keyed: DataFrame, name: str) -> DataFrame:
+    """The rows of keys that several have, with the size of their bucket."""
+    sizes = keyed.groupBy("start", "without", "arc").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return materialise(keyed.join(sizes, ["start", "without", "arc"]), name)
+
+
+def _pairs(few: DataFrame, segments: int) -> DataFrame:
     a, b = few.alias("a"), few.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    near = (F.col("a.start") == F.col("b.start")) & (F.col("a.arc") == F.col("b.arc")) & (F.col("a.node") < F.col("b.node"))
-    pairs = a.join(b, near & chain_fits(diff, F.col("a.start"), segments) & (F.bit_count(diff) <= BUDGET)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    near = (F.col("a.start") == F.col("b.start")) & (F.col("a.without") == F.col("b.without")) & (F.col("a.arc") == F.col("b.arc")) & (F.col("a.node") < F.col("b.node"))
+    return a.join(b, near & chain_fits(diff, F.col("a.start"), segments) & (F.bit_count(diff) <= BUDGET)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
+def links(classes: DataFrame, segments: int = SEGMENTS, bucket_cap: int = 256) -> DataFrame:
+    """Edges (u, v) between classes (fp, node) such that fingerprints within two bits are connected; u and v are within two bits.
+
+    Buckets up to `bucket_cap` give each link by itself. Larger ones are keyed again by longer chains, which the budgets
+    allow one differing segment; those that are still larger give links to the smallest node at each midpoint.
+    """
+    once = classes.select("fp", "node", F.explode(chain_keys(F.col("fp"), segments)).alias("k")).select("fp", "node", "k.start", F.lit(-1).alias("without"), "k.arc")
+    found = _sized(materialise(once, "ring"), "candidates")
+    crowded = found.where(F.col("size") > bucket_cap).select("fp", "node", "start", F.explode(longer_keys(F.col("fp"), F.col("start"), segments)).alias("k"))
+    again = _sized(crowded.select("fp", "node", "start", "k.without", "k.arc"), "longer-candidates")
     # A bit within the equal part cannot differ, so midpoints lie outside it.
     k = (segments - 1) // 2
-    free = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in _bits(~_arc(segments, i, k))]) for i in range(segments)])
-    many = found.where(F.col("size") > bucket_cap).select("start", "arc", "node", F.explode(F.transform(F.element_at(free, F.col("start") + 1), lambda x: F.col("fp").bitwiseXOR(x))).alias("mid"))
-    low = many.groupBy("start", "arc", "mid").agg(F.min("node").alias("low"))
-    hubs = many.join(low, ["start", "arc", "mid"]).where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
-    return pairs.union(hubs).distinct()
+    outside = [[F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in _bits(~_equal(segments, i, j))]) for j in range(k, 2 * k)] for i in range(segments)]
+    free = F.element_at(F.element_at(F.array(*[F.array(*own) for own in outside]), F.col("start") + 1), F.col("without") - k + 1)
+    many = again.where(F.col("size") > bucket_cap).select("start", "without", "arc", "node", F.explode(F.transform(free, lambda x: F.col("fp").bitwiseXOR(x))).alias("mid"))
+    low = many.groupBy("start", "without", "arc", "mid").agg(F.min("node").alias("low"))
+    hubs = many.join(low, ["start", "without", "arc", "mid"]).where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    small = F.col("size") <= bucket_cap
+    return _pairs(found.where(small), segments).union(_pairs(again.where(small), segments)).union(hubs).distinct()
 
 
 def _bits(mask: int) -> list[int]:
