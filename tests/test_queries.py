@@ -7,7 +7,7 @@ import __spark_entry__
 from zonewalk.queries import delegation
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"full_report"}
+SLOW = {"report_row", "reuse_all_servers"}
 
 
 def canonical(rows, columns):

@@ -24,7 +24,7 @@ def test_last_wins_by_data(spark):
 
 
 def test_outcomes_follow_the_decision_table(spark):
-    answers = spark.createDataFrame([("n.", "1", 2, False, 0, False), ("n.", "2", 0, True, 3, False), ("n.", "3", 0, False, 0, False), ("full.", "3", 1, False, 0, False), ("n.", "4", 0, False, 0, False), ("full.", "4", 0, True, 3, False), ("n.", "5", 0, False, None, True)], "domain string, nameserver string, n long, nx boolean, rcode int, timeout boolean")
+    answers = spark.createDataFrame([("n.", "1", 2, False, 0, False), ("n.", "2", 0, True, 3, False), ("n.", "3", 0, False, 0, False), ("full.", "3", 1, False, 0, False), ("n.", "4", 0, False, 0, False), ("full.", "4", 0, True, 3, False), ("n.", "5", 0, False, None, True)], "domain string, nameserver string, n long, nx boolean, rcode int, timeout boolean").withColumns({c: F.col("rcode") for c in ("rcode_a", "rcode_aaaa")})
     asked = spark.createDataFrame([("n.", "full.", str(i)) for i in range(1, 7)] + [("n.", "n.", "3")], "name string, original string, ip string")
     got = {(r.original, r.ip): (r.answer, r.reuse) for r in fetch.outcomes(asked, answers).collect()}
     assert got == {("full.", "1"): ("n.", False), ("full.", "2"): (None, False), ("full.", "3"): ("full.", False), ("full.", "4"): (None, False), ("full.", "5"): (None, True), ("full.", "6"): (None, True), ("n.", "3"): (None, True)}

@@ -9,10 +9,7 @@ def run(spark, compat=False):
     hosts = spark.createDataFrame([(h,) for h in world.HOSTS], "query string")
     suffixes = spark.createDataFrame(world.SUFFIXES, "suffix string")
     roots = spark.createDataFrame(world.ROOTS, "ns string, ip string")
-    done = R.resolve(hosts, world.responses(spark), suffixes, roots, compat)
-    bad = R.problems(done)
-    facts = R.attributed(hosts, done, R.facts(done, suffixes, bad))
-    trouble = R.attributed(hosts, done, bad)
+    facts, trouble = R.reports(hosts, world.responses(spark), suffixes, roots, compat)
     return {r.query: r for r in report(hosts, facts, trouble).collect()}, trouble.collect()
 
 
@@ -91,3 +88,55 @@ def test_degenerate_names_have_empty_reports(reports):
 def test_compat_reports_a_leaf_host_as_hazardous(spark):
     _, trouble = run(spark, compat=True)
     assert ("hazardous", "host.ok.com.") in kinds(trouble, "host.ok.com.")
+
+
+def frame(spark, answers):
+    rows = [(d, s, x if isinstance(x, int) else 0, False, i, line) for (d, s), x in answers.items() for i, line in enumerate([None] if isinstance(x, int) else x)]
+    return spark.createDataFrame(rows, world.SCHEMA)
+
+
+def found(spark, hosts, answers, compat=False):
+    """(query, category, value) for hosts in a world of its own."""
+    facts, trouble = R.reports(
+        spark.createDataFrame([(h,) for h in hosts], "query string"), frame(spark, answers), spark.createDataFrame(world.SUFFIXES, "suffix string"), spark.createDataFrame(world.ROOTS, "ns string, ip string"), compat
+    )
+    return {(r.query, r.category, r.value) for r in facts.collect()}, {(r.query, r.kind, r.name) for r in trouble.collect()}
+
+
+def test_all_servers_stay_in_charge_where_one_has_nothing(spark):
+    """One server of x.com. has nothing for ent.x.com., the other says that it does not exist, and knows what is below it."""
+    zone = [*world.ns("x.com.", "n1.x.com.", "n2.x.com."), world.a("n1.x.com.", "10.6.0.1"), world.a("n2.x.com.", "10.6.0.2")]
+    deep = [*world.ns("a.ent.x.com.", "deep.a.ent.x.com."), world.a("deep.a.ent.x.com.", "10.6.0.9")]
+    answers = {
+        ("com.", world.ROOT): world.COM_ANSWER, ("com.", world.COM): world.COM_ANSWER,
+        ("x.com.", world.COM): zone, ("x.com.", "10.6.0.1"): zone, ("x.com.", "10.6.0.2"): zone,
+        ("ent.x.com.", "10.6.0.1"): 0, ("ent.x.com.", "10.6.0.2"): world.NX,
+        ("a.ent.x.com.", "10.6.0.2"): deep, ("a.ent.x.com.", "10.6.0.9"): deep,
+    }
+    facts, trouble = found(spark, ["a.ent.x.com."], answers)
+    assert ("a.ent.x.com.", "ns", "deep.a.ent.x.com.") in facts and not trouble
+
+
+def test_hosts_with_answers_by_their_whole_name_do_not_share_states(spark):
+    """ent.x.com. has no records; its server answers for a.ent.x.com. by the whole name, but not for b.ent.x.com."""
+    zone = [*world.ns("x.com.", "n1.x.com."), world.a("n1.x.com.", "10.6.0.1")]
+    deep = [*world.ns("a.ent.x.com.", "deep.a.ent.x.com."), world.a("deep.a.ent.x.com.", "10.6.0.9")]
+    answers = {
+        ("com.", world.ROOT): world.COM_ANSWER, ("com.", world.COM): world.COM_ANSWER, ("x.com.", world.COM): zone, ("x.com.", "10.6.0.1"): zone,
+        ("ent.x.com.", "10.6.0.1"): 0, ("ent.x.com.", "10.6.0.9"): 0, ("a.ent.x.com.", "10.6.0.1"): deep, ("a.ent.x.com.", "10.6.0.9"): deep, ("b.ent.x.com.", "10.6.0.1"): 0,
+    }
+    facts, trouble = found(spark, ["a.ent.x.com.", "b.ent.x.com."], answers)
+    assert ("a.ent.x.com.", "ns", "deep.a.ent.x.com.") in facts
+    assert not {f for f in facts if f[0] == "b.ent.x.com." and "deep" in f[2]} and not trouble
+
+
+def test_names_above_are_asked_once_however_many_hosts(spark):
+    zone = [*world.ns("x.com.", "n1.x.com."), world.a("n1.x.com.", "10.6.0.1")]
+    answers = {("com.", world.ROOT): world.COM_ANSWER, ("com.", world.COM): world.COM_ANSWER, ("x.com.", world.COM): zone, ("x.com.", "10.6.0.1"): zone}
+    hosts = [f"h{i}.x.com." for i in range(30)]
+    answers |= {(h, "10.6.0.1"): [world.a(h, "10.6.1.1")] for h in hosts}
+    answers |= {(h, "10.6.1.1"): [world.a(h, "10.6.1.1")] for h in hosts}
+    done = R.resolve(spark.createDataFrame([(h,) for h in hosts], "query string"), frame(spark, answers), spark.createDataFrame(world.SUFFIXES, "suffix string"), spark.createDataFrame(world.ROOTS, "ns string, ip string"))
+    asked = done.asked.select("name", "who", "pass", "ip").collect()
+    assert len(asked) == len(set(asked)) and len([r for r in asked if r.name in ("com.", "x.com.")]) == 4
+    assert {r.query for r in R.reached(spark.createDataFrame([(h,) for h in hosts], "query string"), done).where("name = 'com.'").collect()} == set(hosts)

@@ -1,3 +1,5 @@
+import json
+import random
 import socket
 import struct
 import threading
@@ -15,6 +17,27 @@ def frame(spark, values, schema="query string"):
     return spark.createDataFrame([(v,) if not isinstance(v, tuple) else v for v in values], schema)
 
 
+def test_a_step_is_run_once_a_pass(spark, tmp_path):
+    """Each run of the step fails other hosts, as a live network may; no host is lost or reported twice."""
+    def step(hosts):
+        def mark(rows):
+            for r in rows:
+                yield (r.query, random.random() < 0.5)
+
+        tried = spark.createDataFrame(hosts.rdd.mapPartitions(mark), "query string, good boolean")
+        return tried.where("good").select("query")
+
+    left = batch.crawl(spark, frame(spark, [f"h{i}" for i in range(40)]), str(tmp_path), step, passes=1)
+    done = [r.query for r in readers.read_reports(spark, f"{tmp_path}/reports").collect()]
+    assert sorted(done + [r.query for r in left.collect()]) == sorted(f"h{i}" for i in range(40))
+
+
+def test_long_chains_are_trimmed_before_cycles_are_sought(spark):
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c12", "x"), ("x", "y"), ("y", "x"), ("y", "d0")] + [(f"d{i}", f"d{i + 1}") for i in range(5)] + [("s", "s")]
+    assert {r.src for r in on_cycles(frame(spark, edges, "src string, dst string")).collect()} == {"x", "y", "s"}
+    assert on_cycles(frame(spark, edges[:5], "src string, dst string")).count() == 0
+
+
 def test_closure_of_a_cyclic_graph(spark):
     edges = frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", None)], "src string, dst string")
     assert reachable(edges).count() == 12
@@ -29,8 +52,7 @@ def test_batch_resumes_and_retries(spark, tmp_path):
         names = sorted(r.query for r in hosts.collect())
         tried.append(names)
         bad = [n for n in names if n.startswith("bad") or (n == "late" and len(tried) == 1)]
-        done = spark.createDataFrame([(n, None, None, [f"ns.{n}"], *[None] * 9) for n in names], readers.REPORT)
-        return done, frame(spark, bad)
+        return spark.createDataFrame([(n, None, None, [f"ns.{n}"], *[None] * 9) for n in names if n not in bad], readers.REPORT)
 
     hosts = frame(spark, ["a", "b", "late", "bad", "a"])
     assert [r.query for r in batch.crawl(spark, hosts, str(tmp_path), step).collect()] == ["bad"]
@@ -38,8 +60,10 @@ def test_batch_resumes_and_retries(spark, tmp_path):
     assert {r.query for r in readers.read_reports(spark, f"{tmp_path}/reports").collect()} == {"a", "b", "late"}
     batch.crawl(spark, frame(spark, ["a", "c"]), str(tmp_path), step)
     assert tried[2] == ["c"]
-    readers.compile_reports(spark, f"{tmp_path}/reports", f"{tmp_path}/all")
-    assert readers.read_reports(spark, f"{tmp_path}/all").count() == 4
+    readers.compile_reports(spark, f"{tmp_path}/reports", f"{tmp_path}/all.jsonl")
+    lines = (tmp_path / "all.jsonl").read_text().splitlines()
+    assert len(lines) == 4 and {json.loads(x)["query"] for x in lines} == {"a", "b", "c", "late"}
+    assert readers.read_reports(spark, f"{tmp_path}/all.jsonl").count() == 4
     assert spark.read.text(f"{tmp_path}/retry").count() == 3
 
 
@@ -54,7 +78,8 @@ def test_readers(spark, tmp_path):
 
 def test_exemptions(spark):
     rows = frame(spark, ["a.com.", "b.gov.", "c.us.", "d.com."], "name string")
-    assert [r.name for r in analysis.without_exempt(rows, "name", frame(spark, ["d.com."], "name string")).collect()] == ["a.com."]
+    assert [r.name for r in analysis.without_exempt(rows, "name", frame(spark, ["d.com."], "name string"), analysis.EXEMPT_TLDS).collect()] == ["a.com."]
+    assert analysis.without_exempt(rows, "name", frame(spark, ["d.com."], "name string")).count() == 3
 
 
 def test_stream_writes_each_batch(spark, tmp_path):
@@ -76,7 +101,66 @@ def test_dns_message_round_trip():
         live._name(b"\xc0\x00", 0)
 
 
+def serve(replies):
+    """A name server on a local port that sends, for each datagram, what `replies` gives."""
+    link = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    link.bind(("127.0.0.1", 0))
+
+    def run():
+        while True:
+            try:
+                data, who = link.recvfrom(4096)
+            except OSError:
+                return
+            for reply in replies(data):
+                link.sendto(reply, who)
+
+    threading.Thread(target=run, daemon=True).start()
+    return link, link.getsockname()[1]
+
+
+def test_replies_to_other_questions_are_passed_over():
+    record = b"\xc0\x0c" + struct.pack(">2HIH", 1, 1, 60, 4) + socket.inet_aton("10.0.0.1")
+
+    def reply(asked, number):
+        return number + struct.pack(">5H", 0x8403, 1, 1, 0, 0) + asked[12:] + record
+
+    link, port = serve(lambda asked: [reply(asked, bytes([asked[0] ^ 1, asked[1]])), asked, reply(asked, asked[:2])])
+    rows = live.ask("a.com.", "127.0.0.1", [live._direct], port)
+    assert rows == [("a.com.", "127.0.0.1", 3, 3, 3, False, i, "a.com. 60 IN A 10.0.0.1") for i in range(3)]
+    link.close()
+
+
 def test_ask_gives_a_timeout_row_after_all_tries(monkeypatch):
     monkeypatch.setattr(live, "TIMEOUT_S", 0.05)
-    assert live.ask("a.com.", "127.0.0.1", [live._direct]) == [("a.com.", "127.0.0.1", None, True, 0, None)]
-    assert threading.active_count() >= 1
+    assert live.ask("a.com.", "127.0.0.1", [live._direct]) == [("a.com.", "127.0.0.1", None, None, None, True, 0, None)]
+    tries = iter(range(99))
+    link, port = serve(lambda asked: [asked[:2] + struct.pack(">5H", 0x8400, 1, 0, 0, 0) + asked[12:]] if next(tries) % 2 == 0 else [])
+    assert live.ask("a.com.", "127.0.0.1", [live._direct], port) == [("a.com.", "127.0.0.1", 0, None, None, True, 0, None)]
+    link.close()
+
+
+def test_fetch_asks_each_question_once(spark):
+    got = live.fetch(frame(spark, [("a.com.", "127.0.0.1"), ("a.com.", "127.0.0.1"), ("b.com.", "127.0.0.1")], "domain string, nameserver string"), [lambda: 1 / 0 if False else live._direct()])
+    assert got.columns == [c.split()[0] for c in readers.RESPONSES.split(", ")]
+
+
+def test_whois_lookup():
+    link = socket.create_server(("127.0.0.1", 0))
+
+    def run():
+        for _ in range(2):
+            own, _ = link.accept()
+            asked = own.recv(100)
+            own.sendall(b"No match for domain\r\n" if asked.startswith(b"free") else b"Domain Name: TAKEN.COM\r\n")
+            own.close()
+
+    threading.Thread(target=run, daemon=True).start()
+    port = link.getsockname()[1]
+    assert not live.whois("free.com.", "127.0.0.1", port) and live.whois("taken.com", "127.0.0.1", port)
+    link.close()
+
+
+def test_registered(spark):
+    got = live.registered(frame(spark, ["a.com.", "b.com.", "a.com."], "domain string"), lambda d: d.startswith("a"))
+    assert sorted((r.domain, r.registered) for r in got.collect()) == [("a.com.", True), ("b.com.", False)]

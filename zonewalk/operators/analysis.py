@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonewalk.functions import names
 
-#: Top-level domains left out of analyses.
+#: Top-level domains that analyses may leave out.
 EXEMPT_TLDS = ("gov", "mil", "us")
 
 
@@ -15,9 +15,9 @@ def not_empty(collection: Column) -> Column:
     return F.coalesce(F.size(collection), F.lit(0)) > 0
 
 
-def without_exempt(rows: DataFrame, name: str, exempt: DataFrame) -> DataFrame:
-    """Rows whose name is neither in `exempt` (name) nor under one of EXEMPT_TLDS. The list is a parameter."""
-    under = F.element_at(names.labels(F.col(name)), -1).isin(*EXEMPT_TLDS)
+def without_exempt(rows: DataFrame, name: str, exempt: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose name is neither in `exempt` (name) nor under one of `tlds`."""
+    under = F.coalesce(F.try_element_at(names.labels(F.col(name)), F.lit(-1)).isin(*tlds), F.lit(False)) if tlds else F.lit(False)
     return rows.where(~under).join(exempt.select(F.col("name").alias(name)).distinct(), name, "left_anti")
 
 

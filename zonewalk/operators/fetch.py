@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NXDOMAIN = 3
+#: What is kept of a response's codes: those of the NS, A and AAAA questions, and whether it was given up.
+CODES = ("rcode", "rcode_a", "rcode_aaaa", "timeout")
 
 
 def fan_out(names: DataFrame, servers: DataFrame, zone: str = "parent") -> DataFrame:
@@ -35,20 +37,29 @@ def last_attempt(attempts: DataFrame, keys: list[str], attempt: str, values: lis
 
 
 def summaries(responses: DataFrame) -> DataFrame:
-    """Per (domain, nameserver): how many records it gave, and whether it says that the name does not exist."""
+    """Per (domain, nameserver): how many records it gave, whether it says that the name does not exist, and its codes.
+
+    The NS question's code says whether a name exists. Tables without codes of the other questions have null for them.
+    """
+    codes = [F.max(c if c in responses.columns else F.lit(None).cast("int")).alias(c) for c in CODES[:3]]
     return responses.groupBy("domain", "nameserver").agg(
-        F.count("rr_text").alias("n"), F.bool_or(is_nxdomain(F.col("rcode"), F.col("timeout"))).alias("nx"), F.max("rcode").alias("rcode"), F.bool_or(F.coalesce("timeout", F.lit(False))).alias("timeout")
+        F.count("rr_text").alias("n"), F.bool_or(is_nxdomain(F.col("rcode"), F.col("timeout"))).alias("nx"), *codes, F.bool_or(F.coalesce("timeout", F.lit(False))).alias("timeout")
     )
 
 
+def over_limit(spent: DataFrame, key: str, seconds: str, limit: float) -> DataFrame:
+    """(key) whose questions took over `limit` seconds in all: their pass has failed."""
+    return spent.groupBy(key).agg(F.sum(seconds).alias("_s")).where(F.col("_s") > limit).select(key)
+
+
 def outcomes(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """What each question (name, original, ip) comes to: `answer` gives the name whose records count, `reuse` the servers asked.
 
     A first answer with records counts. An empty one that is not NXDOMAIN is asked again by the original name; if that is
-    empty too and not NXDOMAIN, the servers being asked stay in charge. rcode and timeout are those of the first answer.
+    empty too and not NXDOMAIN, the servers being asked stay in charge, all of them. Codes are those of the first answer.
     No recorded answer is a timeout. answers: `summaries`.
     """
-    first = answers.select(F.col("domain").alias("name"), F.col("nameserver").alias("ip"), F.col("n").alias("n1"), F.col("nx").alias("nx1"), "rcode", "timeout")
+    first = answers.select(F.col("domain").alias("name"), F.col("nameserver").alias("ip"), F.col("n").alias("n1"), F.col("nx").alias("nx1"), *CODES)
     second = answers.select(F.col("domain").alias("original"), F.col("nameserver").alias("ip"), F.col("n").alias("n2"), F.col("nx").alias("nx2"))
     both = asked.join(first, ["name", "ip"], "left").join(second, ["original", "ip"], "left")
     n1, n2 = F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0))

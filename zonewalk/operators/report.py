@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 CATEGORIES = tuple(p + c for p in ("", "ps_") for c in ("ns", "ipv4", "ipv6", "tld", "sld"))
 MISCONFIGURED = ("ip_ns_records", "missing_ns_records")
+#: Numbers of the record types NS, A and AAAA, by which codes are given.
+RECORD_TYPES = ("2", "1", "28")
 
 
 def by_name(problems: DataFrame, keys: list[str]) -> DataFrame:
-    """For each name the questions that failed, in order: (keys, name, queries)."""
-    summary = F.struct("nameserver", F.struct("rcode", "timeout").alias("rcodes"))
+    """For each name the questions that failed, in order: (keys, name, queries); their codes by record type, and `timeout` if so."""
+    codes = [F.col(c).alias(kind) for c, kind in zip(("rcode", "rcode_a", "rcode_aaaa"), RECORD_TYPES)]
+    summary = F.struct("nameserver", F.struct(*codes, F.when(F.col("timeout"), True).alias("timeout")).alias("rcodes"))
     return problems.groupBy(*keys, "name").agg(F.array_sort(F.collect_set(summary)).alias("queries"))
 
 
@@ -38,8 +41,7 @@ def sets(facts: DataFrame) -> DataFrame:
 def report(hosts: DataFrame, facts: DataFrame, problems: DataFrame) -> DataFrame:
     """The report of every query: empty sets and maps where there is nothing to say. The query is echoed as it was given."""
     out = hosts.select("query").distinct().join(misconfigurations(problems), "query", "left").join(hazards(problems), "query", "left").join(sets(facts), "query", "left")
-    types = dict(out.dtypes)
-    return out.select("query", *[F.coalesce(c, F.expr(f"cast(map() as {types[c]})")).alias(c) for c in ("misconfigured_domains", "hazardous_domains")], *[F.coalesce(c, F.expr("cast(array() as array<string>)")).alias(c) for c in CATEGORIES])
+    return out.select("query", *[F.coalesce(c, F.create_map().cast(out.schema[c].dataType)).alias(c) for c in ("misconfigured_domains", "hazardous_domains")], *[F.coalesce(c, F.expr("cast(array() as array<string>)")).alias(c) for c in CATEGORIES])
 
 
 def classify(states: DataFrame) -> DataFrame:

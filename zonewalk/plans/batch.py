@@ -25,11 +25,13 @@ def write_retries(queue: DataFrame, path: str) -> None:
     queue.select(F.col("query").alias("value")).write.mode("append").text(path)
 
 
-def crawl(spark: SparkSession, hosts: DataFrame, target: str, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]], passes: int = 2) -> DataFrame:
+def crawl(spark: SparkSession, hosts: DataFrame, target: str, step: Callable[[DataFrame], DataFrame], passes: int = 2) -> DataFrame:
     """Run `step` over the hosts that `target` has no report of, then over the failures, `passes` times in all.
 
-    step(hosts) gives (reports, failed) with `query` in both. Reports are appended to target/reports, so a run that was
-    cut off goes on where it stopped; failures of each pass are appended to target/retry. Gives what failed to the end.
+    step(hosts) gives the reports (query, ...) of the hosts that it got through; a host without a report has failed.
+    Reports are appended to target/reports, so a run that was cut off goes on where it stopped; failures of each pass are
+    appended to target/retry. Gives what failed to the end. What a step gives is stored once and all else is read from
+    there, so a step that asks a live network is run once a pass and no host is lost or reported twice.
     """
     left = hosts.select("query").distinct()
     for _ in range(passes):
@@ -38,9 +40,10 @@ def crawl(spark: SparkSession, hosts: DataFrame, target: str, step: Callable[[Da
         except Exception as error:  # no report yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        reports, failed = step(left)
-        readers.write_reports(reports.join(failed.select("query"), "query", "left_anti"), f"{target}/reports")
-        left = readers.stored(failed.select("query").distinct(), "failed")
+        left = readers.stored(left, "asked")
+        done = readers.stored(step(left), "pass")
+        readers.write_reports(done, f"{target}/reports")
+        left = left.join(done.select("query"), "query", "left_anti")
         if left.isEmpty():
             break
         write_retries(left, f"{target}/retry")

@@ -1,4 +1,4 @@
-"""Transitive closure of dependency edges by semi-naive rounds."""
+"""Transitive closure of dependency edges by semi-naive rounds, and the names on cycles."""
 
 from __future__ import annotations
 
@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from zonewalk.plans.storage import stored
 
-MAX_ROUNDS = 100
+MAX_ROUNDS = 1000
 
 
 def reachable(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """All (src, dst) with a path of one edge or more; edges: (src, dst). With seeds (src), only from those.
 
-    Each round follows edges only from the pairs that the round before found. Raises RuntimeError beyond MAX_ROUNDS.
+    Each round goes on only from the pairs that the round before found: with seeds by one edge, without by any path known,
+    so that paths double. Raises RuntimeError beyond MAX_ROUNDS.
     """
     edges = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     start = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi")
     found = new = stored(start, "paths")
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     for _ in range(MAX_ROUNDS):
-        new = stored(new.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(found, ["src", "dst"], "left_anti"), "paths")
+        step = (edges if seeds is not None else found).select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        longer = new.join(step, "dst").select("src", F.col("next").alias("dst"))
+        new = stored(longer.distinct().join(found, ["src", "dst"], "left_anti"), "paths")
         if new.isEmpty():
             return found
         found = found.union(new)
@@ -28,5 +30,17 @@ def reachable(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(src) that reach themselves."""
-    return reachable(edges).where("src = dst").select("src").distinct()
+    """(src) that reach themselves.
+
+    Names that no edge leaves, or none enters, are on no cycle: they are taken away with their edges until none is left,
+    and paths are followed only in the rest, which most dependencies are not in.
+    """
+    left, held = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges"), None
+    for _ in range(MAX_ROUNDS):
+        n = left.count()
+        if n in (0, held):
+            return reachable(left).where("src = dst").select("src").distinct()
+        held = n
+        entered, going = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = stored(left.join(entered, "src", "left_semi").join(going, "dst", "left_semi").select("src", "dst"), "edges")
+    raise RuntimeError(f"no fixed point in {MAX_ROUNDS} rounds")

@@ -1,9 +1,13 @@
 """Bulk resolution of host names against a response table: rounds of joins up to a fixed point.
 
-All names of all walks advance together. A walk (origin, ps) visits the names of its origin from the top-level domain
+Every name is resolved once, whoever asks for it: a state is a name and a pass. Names are visited from the top-level domain
 down; each is asked in two passes, first at the servers of the name above, then at those that this gives. Nameservers
-that come without an address and lie under another registrable name start walks of their own. Sets only grow, so the
-result does not depend on any order; what stays empty is classified afterwards.
+that come without an address and lie under another registrable name are resolved themselves, with the names above them.
+Each round joins only what the round before found. Sets only grow, so the result does not depend on any order; what
+stays empty is classified afterwards, and facts reach the hosts at the end, along the names that each depends on.
+
+An empty answer is asked again by the whole name of the walk, so there the states of a name differ by who asks. Walks for
+which the table holds such an answer are resolved under their own name (`who`); all others share one state (`who` is empty).
 """
 
 from __future__ import annotations
@@ -17,33 +21,45 @@ from pyspark.sql.window import Window
 
 from zonewalk.functions import names
 from zonewalk.functions.suffix import Rules, prepared, sld, tld, with_suffix
-from zonewalk.operators import fetch, records
-from zonewalk.plans.closure import reachable
+from zonewalk.operators import fetch, records, report
+from zonewalk.plans.closure import on_cycles, reachable
 from zonewalk.plans.storage import Growing, stored
 
 MAX_ROUNDS = 200
-STATE = ["origin", "ps", "depth", "pass"]
+NAME = ["name", "who"]
+STATE = [*NAME, "pass"]
 
 
 @dataclass
 class Resolution:
-    """asked: questions with their outcome; auth: servers with addresses by state; found: nameservers named by state; used: records that counted."""
+    """visited: names with their suffix split; asked: questions with their outcome; auth: servers with addresses by state;
+
+    found: nameservers named by state; used: records that counted; needs: nameservers that a name waits for; origins: who
+    each origin asks as.
+    """
 
-    walks: DataFrame
+    visited: DataFrame
     asked: DataFrame
     auth: DataFrame
     found: DataFrame
     used: DataFrame
     needs: DataFrame
+    origins: DataFrame
     compat: bool
 
 
-def _walks(origins: DataFrame, suffixes: DataFrame | Rules) -> DataFrame:
-    """(origin, ps, is_ns, depth, name, domain, suffix, registrable, mark): every name of each walk; mark: its facts count as a public suffix's, as it is one of several labels or below one in the walk."""
-    chain = origins.select("origin", "ps", "is_ns", F.posexplode(names.superdomains(names.labels(F.col("origin")))).alias("depth", "name"))
-    split = with_suffix(chain.withColumn("depth", F.col("depth") + 1), "name", suffixes)
-    deepest = F.max(F.when((F.col("domain") == "") & (F.col("depth") > 1), F.col("depth"))).over(Window.partitionBy("origin", "ps"))
-    return split.withColumn("mark", F.col("ps") | F.coalesce(F.col("depth") <= deepest, F.lit(False))).drop("subdomain")
+def _chain(origins: DataFrame) -> DataFrame:
+    """`origins` (origin, ...) with (depth, name, parent) of every name from the top-level domain down."""
+    chain = origins.select("*", F.posexplode(names.superdomains(names.labels(F.col("origin")))).alias("depth", "name"))
+    return chain.withColumns({"depth": F.col("depth") + 1, "parent": names.parent_name(names.labels(F.col("name")))})
+
+
+def _asking(origins: DataFrame, silent: DataFrame, answers: DataFrame) -> DataFrame:
+    """`origins` (origin, is_ns) with `who`: the origin itself if a server that has nothing for a name above it has an answer for it, else empty."""
+    above = _chain(origins.select("origin")).where("name <> origin").join(silent, "name")
+    said = answers.where("n > 0 or nx").select(F.col("domain").alias("origin"), F.col("nameserver").alias("ip"))
+    own = above.join(said, ["origin", "ip"], "left_semi").select("origin", F.col("origin").alias("who")).distinct()
+    return origins.join(own, "origin", "left").withColumn("who", F.coalesce("who", F.lit("")))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -51,110 +67,145 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def resolve(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False) -> Resolution:
-    """Resolve `hosts` (query) with responses (domain, nameserver, rcode, timeout, seq, rr_text) and roots (ns, ip).
+    """Resolve `hosts` (query) with responses (readers.RESPONSES) and roots (ns, ip).
 
     compat: owners match as substrings, records of one response with the same data collapse, and a query with addresses
     but no nameservers is not its own nameserver. Blank names and the root name are skipped. Raises RuntimeError if
     there is no fixed point in MAX_ROUNDS rounds.
     """
-    suffixes = prepared(suffixes)
-    lines = responses.select("domain", "nameserver", "rcode", "timeout", "seq", "rr_text")
-    rows = records.tokenise(lines)
+    spark, suffixes = hosts.sparkSession, prepared(suffixes)
+    rows = records.tokenise(responses.select("domain", "nameserver", "seq", "rr_text"))
     rows = stored(records.last_wins(rows, ["domain", "nameserver"]) if compat else rows, "records")
-    answers = stored(fetch.summaries(lines), "answers")
-    origins = hosts.select(names.norm_host(F.col("query")).alias("origin")).where("origin is not null and origin <> '.'").distinct()
-    walks, asked, used, auth, needs = (Growing(hosts.sparkSession, n) for n in ("walks", "asked", "used", "auth", "needs"))
-    new_walks = walks.add(_walks(origins.select("origin", F.lit(False).alias("ps"), F.lit(not compat).alias("is_ns")), suffixes))
+    in_answer = rows.select(F.col("domain").alias("answer"), F.col("nameserver").alias("ip"), F.col("name").alias("owner"), "type", "data")
+    answers = stored(fetch.summaries(responses), "answers")
+    silent = answers.where("n = 0 and not nx").select(F.col("domain").alias("name"), F.col("nameserver").alias("ip"))
     root = roots.orderBy("ns", "ip").first()  # the choice of a root server is the first by name
-    hints = roots.select(F.lower("ns").alias("ns"), "ip")
+    origins, visited, asked, used, told, auth, needs, reused = (Growing(spark, n) for n in ("origins", "visited", "asked", "used", "told", "auth", "needs", "reused"))
+    start = hosts.select(names.norm_host(F.col("query")).alias("origin")).where("origin is not null and origin <> '.'").distinct()
+    new_origins = origins.add(_asking(start.withColumn("is_ns", F.lit(not compat)), silent, answers))
+    told.add(roots.select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("who"), F.lit(None).cast("int").alias("pass"), F.lower("ns").alias("ns"), "ip").distinct())
     new_auth = None
     for _ in range(MAX_ROUNDS):
-        every = walks.all()
+        # Names not visited yet, with their split.
+        fresh = _chain(new_origins.select("origin", "who")).select("name", "who", "parent", (F.col("depth") == 1).alias("top")).distinct()
+        if visited.schema:
+            fresh = fresh.join(visited.all().select(*NAME), NAME, "left_anti")
+        new_names = visited.add(with_suffix(fresh, "name", suffixes).drop("subdomain"))
+        every = visited.all()
         # Servers to ask: a root server at the top, those of the name above in pass 0, those found by pass 0 in pass 1.
-        servers = new_walks.where("depth = 1").select("origin", "ps", "depth", F.lit(0).alias("pass"), F.lit(root.ns.lower()).alias("ns"), F.lit(root.ip).alias("ip"))
+        servers = [new_names.where("top").select(*NAME, F.lit(0).alias("pass"), F.lit(root.ns.lower()).alias("ns"), F.lit(root.ip).alias("ip"))]
+        below = lambda children, known: children.select(*NAME, "parent").join(known.where("pass = 1").select(F.col("name").alias("parent"), "who", "ns", "ip"), ["parent", "who"]).select(*NAME, F.lit(0).alias("pass"), "ns", "ip")
         if new_auth is not None:
-            second = new_auth.where("pass = 0").withColumn("pass", F.lit(1))
-            deeper = new_auth.where("pass = 1").withColumns({"pass": F.lit(0), "depth": F.col("depth") + 1})
-            servers = servers.unionByName(second).unionByName(deeper)
-        questions = servers.select(*STATE, "ip").distinct()
+            servers += [new_auth.where("pass = 0").select(*NAME, F.lit(1).alias("pass"), "ns", "ip"), below(every, new_auth), below(new_names, auth.all())]
+        serving = _union(servers).distinct()
         if asked.schema:
-            questions = questions.join(asked.all().select(*STATE, "ip"), [*STATE, "ip"], "left_anti")
-        questions = questions.join(every, ["origin", "ps", "depth"]).withColumn("original", F.col("origin"))
-        now = asked.add(fetch.outcomes(questions, answers))
+            serving = serving.join(asked.all().select(*STATE, "ns", "ip"), [*STATE, "ns", "ip"], "left_anti")
+        original = F.when(F.col("who") == "", F.col("name")).otherwise(F.col("who")).alias("original")
+        now = asked.add(fetch.outcomes(serving.select("*", original), answers))
         # Records that count, and the nameservers and addresses in them.
-        kept = rows.select(F.col("domain").alias("answer"), F.col("nameserver").alias("ip"), F.col("name").alias("owner"), "type", "data")
-        got = now.where("answer is not null").join(kept, ["answer", "ip"])
-        used.add(got.select(*STATE, "is_ns", "mark", "registrable", F.col("answer").alias("current"), F.col("owner").alias("name"), "type", "data"))
-        found = _found(used.all(), compat)
-        glue = records.addresses(used.all()).select(F.col("host").alias("ns"), "ip").unionByName(hints).distinct()
-        # Servers with addresses: by glue from any answer, by a walk of their own, or those that stay in charge.
-        fresh = [found.join(glue, "ns").select(*STATE, "ns", "ip"), now.where("reuse").select(*STATE, "ip").join(servers, [*STATE, "ip"]).select(*STATE, "ns", "ip")]
-        if auth.schema:
-            own = auth.all().where("pass = 1 and ns = origin").join(every.where("name = origin").select("origin", "ps", "depth"), ["origin", "ps", "depth"]).select("ns", "ip").distinct()
-            fresh.append(found.where("depth > 1").join(own, "ns").select(*STATE, "ns", "ip"))
-            fresh = [_union(fresh).distinct().join(auth.all(), [*STATE, "ns", "ip"], "left_anti")]
-        new_auth = auth.add(_union(fresh).distinct())
-        # Nameservers without an address, under another registrable name, get walks of their own.
-        bare = found.where("depth > 1 and ns <> '.'").join(glue.select("ns").distinct(), "ns", "left_anti")
-        bare = with_suffix(bare.select("origin", "mark", F.col("registrable").alias("from"), "ns").distinct(), "ns", suffixes)
-        wanted = bare.where(records.out_of_bailiwick(F.col("registrable"), F.col("from"))).select("origin", F.col("mark").alias("ps"), "from", "ns", "registrable").distinct()
-        if needs.schema:
-            wanted = wanted.join(needs.all(), ["origin", "ps", "from", "ns"], "left_anti")
-        wanted = needs.add(wanted)
-        begun = every.where("is_ns").select("origin", "ps").distinct()
-        starts = wanted.select(F.col("ns").alias("origin"), "ps", F.lit(True).alias("is_ns")).distinct().join(begun, ["origin", "ps"], "left_anti")
-        new_walks = walks.add(_walks(starts, suffixes))
-        if new_walks.isEmpty() and new_auth.isEmpty():
-            return Resolution(walks.all(), asked.all(), auth.all(), _found(used.all(), compat), used.all(), needs.all(), compat)
+        own = now.where("answer is not null").select(*STATE, "answer", "ip").distinct()
+        if used.schema:
+            own = own.join(used.all().select(*STATE, "answer", "ip").distinct(), [*STATE, "answer", "ip"], "left_anti")
+        got = used.add(own.join(in_answer, ["answer", "ip"]))
+        found, addresses = _found(got, used.all(), new_origins, origins.all(), compat), records.addresses(got.withColumnRenamed("owner", "name_").select(F.col("name_").alias("name"), "type", "data"))
+        nowhere = [F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("who", "string"), ("pass", "int"))]
+        spoken = found.select(*STATE, "ns", F.lit(None).cast("string").alias("ip")).unionByName(addresses.select(*nowhere, F.col("host").alias("ns"), "ip")).distinct()
+        old = told.all()
+        same = (F.col("a.ns") == F.col("b.ns")) & F.col("a.ip").eqNullSafe(F.col("b.ip")) & F.col("a.name").eqNullSafe(F.col("b.name")) & F.col("a.who").eqNullSafe(F.col("b.who")) & F.col("a.pass").eqNullSafe(F.col("b.pass"))
+        new = told.add(spoken.alias("a").join(old.alias("b"), same, "left_anti"))
+        new_found, new_glue = new.where("ip is null").drop("ip"), new.where("ip is not null").select("ns", "ip")
+        glue = told.all().where("ip is not null").select("ns", "ip")
+        # Servers with addresses: by glue from any answer, or, where any server stays in charge, all that are asked.
+        new_reused = now.where("reuse").select(*STATE).distinct()
+        if reused.schema:
+            new_reused = new_reused.join(reused.all(), STATE, "left_anti")
+        new_reused = reused.add(new_reused)
+        charged = [new_reused.join(asked.all().select(*STATE, "ns", "ip"), STATE), reused.all().join(now.select(*STATE, "ns", "ip"), STATE)]
+        all_found = told.all().where("name is not null").select(*STATE, "ns")
+        holding = _union([new_found.join(glue, "ns"), all_found.join(new_glue, "ns"), *charged]).select(*STATE, "ns", "ip").distinct()
+        new_auth = auth.add(holding.join(auth.all(), [*STATE, "ns", "ip"], "left_anti") if auth.schema else holding)
+        # Nameservers without an address, under another registrable name, are resolved themselves.
+        bare = new_found.where("ns <> '.'").join(glue.select("ns").distinct(), "ns", "left_anti")
+        bare = bare.select(*NAME, "ns").distinct().join(every.where("not top").select(*NAME, F.col("registrable").alias("from")), NAME)
+        wanted = with_suffix(bare, "ns", suffixes).where(records.out_of_bailiwick(F.col("registrable"), F.col("from"))).select(*NAME, "from", "ns", "registrable")
+        wanted = needs.add(wanted.join(needs.all(), [*NAME, "ns"], "left_anti") if needs.schema else wanted)
+        starts = wanted.select(F.col("ns").alias("origin"), F.lit(True).alias("is_ns")).distinct().join(origins.all().where("is_ns"), "origin", "left_anti")
+        new_origins = origins.add(_asking(starts, silent, answers))
+        if new_origins.isEmpty() and new_auth.isEmpty():
+            return Resolution(visited.all(), asked.all(), auth.all(), told.all().where("name is not null").select(*STATE, "ns"), used.all(), needs.all(), origins.all().select("origin", "who").distinct(), compat)
     raise RuntimeError(f"no fixed point in {MAX_ROUNDS} rounds")
 
 
-def _found(used: DataFrame, compat: bool) -> DataFrame:
-    """Nameservers by state: NS records of the current name or above it, and names that are their own."""
-    here = [*STATE, "mark", "registrable", "ns"]
-    return records.nameservers(used, "current", not compat).select(*here).union(records.promoted(used, "current", "is_ns").select(*here)).distinct()
+def _found(got: DataFrame, used: DataFrame, new_origins: DataFrame, origins: DataFrame, compat: bool) -> DataFrame:
+    """Nameservers by state: NS records of the answered name or above it, and names that are nameservers themselves and have an address."""
+    named = records.nameservers(got.withColumnRenamed("name", "of").withColumnRenamed("owner", "name"), "answer", not compat).select(F.col("of").alias("name"), "who", "pass", "ns")
+    own = lambda rows: rows.where(F.col("type").isin("A", "AAAA") & (F.lower("owner") == F.col("answer")) & (F.col("answer") == F.col("name")) & F.col("who").isin("", F.col("name")))
+    as_ns = lambda who: who.where("is_ns").select(F.col("origin").alias("answer")).distinct()
+    promoted = own(got).join(as_ns(origins), "answer", "left_semi").unionByName(own(used).join(as_ns(new_origins), "answer", "left_semi"))
+    return named.union(promoted.select(*STATE, F.col("answer").alias("ns"))).distinct()
 
 
 def problems(done: Resolution) -> DataFrame:
-    """(origin, ps, kind, name, nameserver, rcode, timeout, domain, suffix, mark): names that no server answers for.
+    """(name, who, kind, nameserver, codes, domain, suffix): names that no server answers for, one row per server asked.
 
     hazardous: nothing in the first pass; ip_ns_records: the same for a name that is a number; missing_ns_records: nothing
     in the second; cyclic: the name depends, without addresses, on itself.
     """
-    held = done.auth.select(*STATE).distinct()
-    empty = done.asked.join(held, STATE, "left_anti")
-    loops = reachable(done.needs.select(F.col("from").alias("src"), F.col("registrable").alias("dst")))
-    cyclic = loops.where("src = dst").select(F.col("src").alias("registrable"), F.lit(True).alias("cyclic")).distinct()
-    waiting = done.found.select(*STATE, F.lit(True).alias("named")).distinct()
-    marked = empty.join(cyclic, "registrable", "left").join(waiting, STATE, "left")
-    numeric = names.numeric_label(names.labels(F.col("name")))
-    kind = F.when(F.col("cyclic") & F.col("named"), "cyclic").when(F.col("pass") == 1, "missing_ns_records").when(numeric, "ip_ns_records").otherwise("hazardous")
-    return marked.select("origin", "ps", kind.alias("kind"), "name", F.col("ip").alias("nameserver"), "rcode", "timeout", "domain", "suffix", "mark")
+    empty = done.asked.join(done.auth.select(*STATE).distinct(), STATE, "left_anti").select(*STATE, "ip", *fetch.CODES).distinct().join(done.visited, NAME)
+    loops = on_cycles(done.needs.select(F.col("from").alias("src"), F.col("registrable").alias("dst"))).select(F.col("src").alias("registrable"), F.lit(True).alias("loops"))
+    marked = empty.join(loops, "registrable", "left").join(done.found.select(*STATE, F.lit(True).alias("named")).distinct(), STATE, "left")
+    cyclic = F.coalesce(F.col("loops") & F.col("named"), F.lit(False))
+    states = marked.withColumns({"servers": F.lit(0), "cyclic": cyclic, "numeric": names.numeric_label(names.labels(F.col("name")))})
+    return report.classify(states).select(*NAME, "kind", F.col("ip").alias("nameserver"), *fetch.CODES, "domain", "suffix")
 
 
 def facts(done: Resolution, suffixes: DataFrame | Rules, trouble: DataFrame) -> DataFrame:
-    """(origin, ps, category, value) in long form; categories reached through a public suffix begin with `ps_`.
-
-    Nothing is recorded for top-level domains.
-    """
-    used = done.used.where("depth > 1")
-    here = ["origin", "ps", "mark"]
-    ns = records.nameservers(used, "current", not done.compat).select(*here, F.lit("ns").alias("category"), F.col("ns").alias("value"))
+    """(name, who, category, value) in long form. Nothing is recorded for top-level domains."""
+    inner = done.visited.where("not top").select(*NAME)
+    used = done.used.join(inner, NAME).withColumnRenamed("name", "of").withColumnRenamed("owner", "name")
+    here = [F.col("of").alias("name"), "who"]
+    ns = records.nameservers(used, "answer", not done.compat).select(*here, F.lit("ns").alias("category"), F.col("ns").alias("value"))
     ips = records.addresses(used).select(*here, F.col("kind").alias("category"), F.col("ip").alias("value"))
-    found = done.found.where("depth > 1")
-    target = found.select(*here, "ns").union(found.join(done.walks.select("origin", "ps", "depth", "name"), ["origin", "ps", "depth"]).select(*here, "name"))
-    split = with_suffix(target.distinct(), "ns", suffixes).select(*here, "domain", "suffix").union(trouble.where("kind <> 'cyclic'").select(*here, "domain", "suffix"))
+    found = done.found.join(inner, NAME)
+    target = found.select(*NAME, "ns").union(found.select(*NAME, "name")).distinct()
+    split = with_suffix(target, "ns", suffixes).select(*NAME, "domain", "suffix").union(trouble.where("kind <> 'cyclic'").select(*NAME, "domain", "suffix"))
     of = {"sld": sld(F.col("domain"), F.col("suffix")), "tld": tld(F.col("domain"), F.col("suffix"))}
-    zones = [split.select(*here, F.lit(k).alias("category"), v.alias("value")) for k, v in of.items()]
-    rows = _union([ns, ips, *zones]).where("value is not null")
-    return rows.select("origin", "ps", names.ps_prefix(F.col("mark"), F.col("category")).alias("category"), F.lower("value").alias("value")).distinct()
+    zones = [split.select(*NAME, F.lit(k).alias("category"), v.alias("value")) for k, v in of.items()]
+    return _union([ns, ips, *zones]).where("value is not null").select(*NAME, "category", F.lower("value").alias("value")).distinct()
+
 
+def reached(hosts: DataFrame, done: Resolution) -> DataFrame:
+    """(query, name, who, mark): the names that each query depends on, directly or through nameservers.
 
-def attributed(hosts: DataFrame, done: Resolution, rows: DataFrame) -> DataFrame:
-    """`rows` of walks, for each query whose walk is theirs or needs it, directly or through others: (query, ...)."""
+    mark: what is known of the name counts as a public suffix's there, as it is a suffix of several labels or above one
+    on the way to it, or all of the way is.
+    """
+    walks = _chain(done.origins).join(done.visited.select(*NAME, "domain"), NAME)
+    deepest = F.max(F.when((F.col("domain") == "") & (F.col("depth") > 1), F.col("depth"))).over(Window.partitionBy("origin"))
+    plain = walks.withColumn("low", F.coalesce(F.col("depth") <= deepest, F.lit(False))).select("origin", *NAME, "low")
+    walks = stored(plain.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("ps")).select("origin", "ps", *NAME, (F.col("ps") | F.col("low")).alias("mark")), "walks")
     key = lambda origin, ps: F.concat(F.when(F.col(ps), "ps:").otherwise(""), F.col(origin))
-    edges = done.needs.join(done.walks.select("origin", F.col("ps").alias("of_ps")).distinct(), "origin").select(key("origin", "of_ps").alias("src"), key("ns", "ps").alias("dst"))
+    edges = walks.join(done.needs.select(*NAME, "ns"), NAME).select(key("origin", "ps").alias("src"), key("ns", "mark").alias("dst")).distinct()
     start = hosts.select("query", names.norm_host(F.col("query")).alias("src")).where("src is not null").distinct()
     far = start.join(reachable(edges, start), "src").select("query", "dst")
     reach = start.select("query", F.col("src").alias("dst")).union(far).distinct()
-    return rows.withColumn("dst", key("origin", "ps")).join(reach, "dst").drop("dst", "origin", "ps").distinct()
+    return stored(reach.join(walks.withColumn("dst", key("origin", "ps")), "dst").select("query", *NAME, "mark").distinct(), "reached")
+
+
+def attributed(reach: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` of names (name, who, ...) for each query that depends on them: (query, ..., mark); the name stays."""
+    return reach.join(rows, NAME).drop("who").distinct()
+
+
+def host_facts(reach: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, category, value): categories reached through a public suffix begin with `ps_`."""
+    return attributed(reach, rows).select("query", names.ps_prefix(F.col("mark"), F.col("category")).alias("category"), "value").distinct()
+
+
+def reports(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(facts, problems) of every query: (query, category, value) and (query, kind, name, nameserver, codes)."""
+    suffixes = prepared(suffixes)
+    done = resolve(hosts, responses, suffixes, roots, compat)
+    bad, reach = stored(problems(done), "problems"), reached(hosts, done)
+    trouble = attributed(reach, bad).select("query", "kind", "name", "nameserver", *fetch.CODES).distinct()
+    return host_facts(reach, facts(done, suffixes, bad)), trouble

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from zonewalk.functions import names, suffix
 from zonewalk.operators import analysis, fetch, joins, records, report
 from zonewalk.plans import batch, resolve
 from zonewalk.plans.closure import on_cycles, reachable
+from zonewalk.plans.storage import shared_dir
 from zonewalk.queries import world
 from zonewalk.queries.world import SQL
 from zonewalk.sources import readers
@@ -131,10 +133,10 @@ def root_pick(spark, d):
 # Analyses
 
 
-@query("SELECT page_id, zone FROM hosts WHERE zone <> '' AND zone NOT IN (SELECT zone FROM zones WHERE zid % 7 = 0)")
+@query("SELECT page_id, zone FROM hosts WHERE zone <> '' AND zone NOT LIKE '%.org.' AND zone NOT IN (SELECT zone FROM zones WHERE zid % 7 = 0)")
 def exempt_filter(spark, d):
     exempt = world.zones(spark, d).where("zid % 7 = 0").select(F.col("zone").alias("name"))
-    return analysis.without_exempt(world.hosts(spark, d).where("zone <> ''").select("page_id", "zone"), "zone", exempt)
+    return analysis.without_exempt(world.hosts(spark, d).where("zone <> ''").select("page_id", "zone"), "zone", exempt, ("org",))
 
 
 @query("SELECT zone AS domain FROM zones WHERE klass = 2 AND zid % 4 <> 0")
@@ -417,7 +419,7 @@ def _problems(spark, d):
     kind = F.when(F.col("klass") == 2, "hazardous").when(F.col("klass") == 3, "missing_ns_records").when(F.col("klass") == 4, "ip_ns_records")
     server = F.when(F.col("klass") == 3, F.concat("octet", F.lit(".1"))).otherwise(F.when(F.col("klass") == 4, world.ROOT_IP).otherwise(world.REGISTRY_IP))
     named = F.when(F.col("klass") == 4, "9.").otherwise(F.col("zone"))
-    rows = z.select("zone", kind.alias("kind"), named.alias("name"), server.alias("nameserver"), F.lit(3).alias("rcode"), F.lit(False).alias("timeout")).where("kind is not null")
+    rows = z.select("zone", kind.alias("kind"), named.alias("name"), server.alias("nameserver"), *[F.lit(3).alias(c) for c in fetch.CODES[:3]], F.lit(False).alias("timeout")).where("kind is not null")
     return world.hosts(spark, d).select(F.col("host").alias("query"), "zone").distinct().join(rows, "zone").drop("zone")
 
 
@@ -426,7 +428,7 @@ def _failed(klass: str, name: str, server: str) -> str:
 
 
 def _summary() -> Column:
-    return F.array_join(F.transform("queries", lambda q: F.concat(q.nameserver, F.lit(":"), q.rcodes.rcode.cast("string"))), ",").alias("queries")
+    return F.array_join(F.transform("queries", lambda q: F.concat(q.nameserver, F.lit(":"), q.getField("rcodes").getField("2").cast("string"))), ",").alias("queries")
 
 
 @query(_failed("2", "zone", f"'{world.REGISTRY_IP}'"))
@@ -447,7 +449,7 @@ def nonempty_hazard(spark, d):
     return maps.where(analysis.not_empty(F.col("hazardous_domains"))).select("query", F.size("hazardous_domains").alias("n"))
 
 
-REPORT = f"""{EDGES}, own AS (
+BY_CLASS = f"""{EDGES}, own AS (
   SELECT zone, regexp_extract(zone, '([^.]+[.][^.]+[.])$', 1) AS sfx, regexp_extract(zone, '([^.]+[.])$', 1) AS top, klass, octet, next FROM zones
 ), reach AS (SELECT zone AS src, zone AS dst FROM zones UNION SELECT src, dst FROM paths
 ), facts0 AS (
@@ -459,28 +461,109 @@ REPORT = f"""{EDGES}, own AS (
   UNION ALL SELECT zone, 'ps_ns', 'a.nic.' || top FROM own UNION ALL SELECT zone, 'ps_ipv4', '{world.REGISTRY_IP}' FROM own
   UNION ALL SELECT zone, 'ps_sld', 'nic.' || top FROM own UNION ALL SELECT zone, 'ps_sld', sfx FROM own UNION ALL SELECT zone, 'ps_tld', top FROM own
   UNION ALL SELECT '{world.HUB}', * FROM (VALUES ('ns', '{world.HUB_NS}'), ('ipv4', '{world.HUB_IP}'), ('sld', '{world.HUB}'), ('tld', 'example.net.'), ('ps_ns', 'a.nic.net.'), ('ps_ipv4', '{world.REGISTRY_IP}'), ('ps_sld', 'nic.net.'), ('ps_sld', 'example.net.'), ('ps_tld', 'net.'))
-)
+), bad AS (
+  SELECT DISTINCT h.host AS query, CASE klass WHEN 3 THEN 'missing_ns_records' ELSE 'hazardous' END AS kind, zone AS name,
+         CASE klass WHEN 3 THEN octet || '.1' ELSE '{world.REGISTRY_IP}' END AS nameserver, CASE WHEN klass IN (2, 3) THEN 3 ELSE 0 END AS rcode
+  FROM hosts h JOIN zones USING (zone) WHERE klass IN (2, 3, 4) OR (klass = 5 AND next = zone)
+  UNION ALL SELECT DISTINCT h.host, 'ip_ns_records', '9.', '{world.ROOT_IP}', 3 FROM hosts h JOIN zones USING (zone) WHERE klass = 4
+), told AS (
+  SELECT DISTINCT h.host AS query, f.category, f.value FROM (SELECT DISTINCT host, zone FROM hosts) h JOIN reach r ON r.src = h.zone JOIN facts0 f ON f.zone = r.dst
+"""
+
+REPORT = f"""{BY_CLASS})
 SELECT query, category, string_agg(DISTINCT value, ',' ORDER BY value) AS found FROM (
-  SELECT h.host AS query, f.category, f.value FROM (SELECT DISTINCT host, zone FROM hosts) h JOIN reach r ON r.src = h.zone JOIN facts0 f ON f.zone = r.dst
-  UNION ALL SELECT DISTINCT h.host, {KIND}, zone FROM hosts h JOIN zones USING (zone) WHERE klass IN (2, 3, 4) OR (klass = 5 AND next = zone)
+  SELECT * FROM told UNION ALL SELECT query, kind, name FROM bad
   UNION ALL SELECT DISTINCT h.host, 'cyclic', r.dst FROM hosts h JOIN reach r ON r.src = h.zone JOIN zones z ON z.zone = r.dst WHERE z.klass = 5 AND z.next <> z.zone
-  UNION ALL SELECT DISTINCT h.host, 'ip_ns_records', '9.' FROM hosts h JOIN zones USING (zone) WHERE klass = 4
 ) GROUP BY query, category
 """
 
 
+def _reports(spark, d):
+    """(hosts, facts, problems) of every host, resolved against the world's answers."""
+    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
+    return hosts, *resolve.reports(hosts, world.responses(spark, d), world.suffixes(spark), readers.root_hints(spark))
+
+
 @query(REPORT)
 def full_report(spark, d):
-    """Every host resolved against the world's answers; sets and problems of its report in long form."""
-    hosts, rules = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct(), suffix.prepared(world.suffixes(spark))
-    done = resolve.resolve(hosts, world.responses(spark, d), rules, readers.root_hints(spark))
-    bad = resolve.problems(done)
-    facts = resolve.attributed(hosts, done, resolve.facts(done, rules, bad))
-    trouble = resolve.attributed(hosts, done, bad)
-    rows = facts.select("query", "category", "value").union(trouble.select("query", F.col("kind").alias("category"), F.col("name").alias("value")))
+    """Every host resolved; sets and problems of its report in long form."""
+    _, facts, trouble = _reports(spark, d)
+    rows = facts.union(trouble.select("query", F.col("kind").alias("category"), F.col("name").alias("value")))
     return rows.groupBy("query", "category").agg(joined(F.collect_set("value")).alias("found"))
 
 
+def _codes(q: Column) -> Column:
+    return F.concat_ws(":", q.getField("nameserver"), *[q.getField("rcodes").getField(t).cast("string") for t in report.RECORD_TYPES])
+
+
+def _flat(reports: DataFrame) -> DataFrame:
+    """The columns of reports as text: sets joined by commas, problems as name@server:codes."""
+    named = lambda m: F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(e.getField("value"), lambda q: F.concat(e.getField("key"), F.lit("@"), _codes(q)))))), ",")
+    kinds = [F.coalesce(named(F.col("misconfigured_domains").getItem(k)), F.lit("")).alias(k) for k in report.MISCONFIGURED]
+    return reports.select("query", *kinds, named(F.col("hazardous_domains")).alias("hazardous"), *[F.array_join(c, ",").alias(c) for c in report.CATEGORIES])
+
+
+_FOUND = ", ".join(f"coalesce(string_agg(DISTINCT value, ',' ORDER BY value) FILTER (category = '{c}'), '') AS {c}" for c in report.CATEGORIES)
+_BAD = ", ".join(f"coalesce(string_agg(said, ',' ORDER BY said) FILTER (kind = '{k}'), '') AS {n}" for k, n in (*((m, m) for m in report.MISCONFIGURED), ("hazardous", "hazardous")))
+ROWS = f"""{BY_CLASS}), said AS (SELECT query, kind, name || '@' || nameserver || ':' || rcode || ':' || rcode || ':' || rcode AS said FROM bad),
+asked AS (SELECT DISTINCT host AS query FROM hosts WHERE zone <> '')
+SELECT * FROM asked LEFT JOIN (SELECT query, {_FOUND} FROM told GROUP BY query) USING (query) LEFT JOIN (SELECT query, {_BAD} FROM (SELECT query, kind, said FROM asked LEFT JOIN said USING (query)) GROUP BY query) USING (query)"""
+
+
+@query(ROWS)
+def report_row(spark, d):
+    """The whole report of every host, one row each."""
+    return _flat(report.report(*_reports(spark, d)))
+
+
+def _class_reports(spark, d):
+    """Reports from the class rules, without resolution: problems and the names that each host is under."""
+    split = suffix.with_suffix(world.hosts(spark, d).where("zone <> ''").select("host", "zone").distinct(), "zone", world.suffixes(spark))
+    of = {"sld": suffix.sld(F.col("domain"), F.col("suffix")), "tld": suffix.tld(F.col("domain"), F.col("suffix"))}
+    facts = [split.select(F.col("host").alias("query"), F.lit(k).alias("category"), v.alias("value")) for k, v in of.items()]
+    return report.report(split.select(F.col("host").alias("query")), facts[0].union(facts[1]), _problems(spark, d).where("name not like '%.org.'"))
+
+
+CLASS_ROWS = f"""SELECT host AS query, any_value(zone) AS sld, any_value(regexp_extract(zone, '([^.]+[.][^.]+[.])$', 1)) AS tld,
+  coalesce(any_value(CASE WHEN klass = 2 AND zone NOT LIKE '%.org.' THEN zone || '@{world.REGISTRY_IP}:3:3:3' END), '') AS hazardous,
+  coalesce(any_value(CASE WHEN klass = 3 AND zone NOT LIKE '%.org.' THEN zone || '@' || octet || '.1:3:3:3' END), '') AS missing_ns_records,
+  coalesce(any_value(CASE WHEN klass = 4 THEN '9.@{world.ROOT_IP}:3:3:3' END), '') AS ip_ns_records FROM hosts JOIN zones USING (zone) GROUP BY host"""
+
+
+@query(CLASS_ROWS)
+def report_json_files(spark, d):
+    """Reports written as files of JSON lines and read again."""
+    where = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    readers.write_reports(_class_reports(spark, d), where)
+    return _flat(readers.read_reports(spark, where)).select("query", "sld", "tld", "hazardous", *report.MISCONFIGURED)
+
+
+@query("SELECT count(DISTINCT host) AS lines, count(DISTINCT host) AS queries, 1 AS files FROM hosts WHERE zone <> ''")
+def compile_jsonl(spark, d):
+    """Reports of many files compiled into one file of JSON lines."""
+    where = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    readers.write_reports(_class_reports(spark, d).repartition(5), where)
+    readers.compile_reports(spark, where, f"{where}.jsonl")
+    lines = readers.read_reports(spark, f"{where}.jsonl").select("query", F.input_file_name().alias("file"))
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("query").alias("queries"), F.countDistinct("file").alias("files"))
+
+
+@query("SELECT 'a.ent.' || zone AS query, 'ns.a.ent.' || zone AS ns FROM zones WHERE klass = 0")
+def reuse_all_servers(spark, d):
+    """Of the two servers of a zone one has nothing for a name, the other says that it does not exist; both stay in charge, and the second knows of a zone below."""
+    z, zone = world.zones(spark, d).where("klass = 0"), F.col("zone")
+    below, server = F.concat(F.lit("a.ent."), zone), F.concat(F.lit("10.253."), F.col("zid").cast("string"), F.lit(".1"))
+    lines = F.array(F.concat(below, F.lit(" 60 IN NS ns."), below), F.concat(F.lit("ns."), below, F.lit(" 60 IN A "), server))
+    none = F.array().cast("array<string>")
+    said = [(F.concat(F.lit("ent."), zone), F.concat("octet", F.lit(".1")), 0, none), (F.concat(F.lit("ent."), zone), F.concat("octet", F.lit(".2")), 3, none), (below, F.concat("octet", F.lit(".2")), 0, lines), (below, server, 0, lines)]
+    rows = [z.select(n.alias("domain"), s.alias("nameserver"), *[F.lit(code).alias(c) for c in fetch.CODES[:3]], F.lit(False).alias("timeout"), F.posexplode_outer(x).alias("seq", "rr_text")) for n, s, code, x in said]
+    every = world.responses(spark, d)
+    for r in rows:
+        every = every.unionByName(r.withColumn("seq", F.coalesce("seq", F.lit(0))))
+    facts, _ = resolve.reports(z.select(below.alias("query")), every, world.suffixes(spark), readers.root_hints(spark))
+    return facts.where("category = 'ns' and value like 'ns.a.ent.%'").select("query", F.col("value").alias("ns"))
+
+
 # Batch runs
 
 
@@ -500,6 +583,27 @@ def retry_last_attempt(spark, d):
     return fetch.last_attempt(_log(spark, d), ["query"], "attempt", ["status"])
 
 
+@query("SELECT user_id AS query FROM events GROUP BY user_id HAVING arg_min(event_type, event_id) = 'error' AND arg_max(event_type, event_id) = 'error'", plain=True)
+def retry_pass(spark, d):
+    """Two passes of a run, the first and the last attempts at each host; what fails in both."""
+    log, passes = _log(spark, d), iter((F.min_by, F.max_by))
+
+    def step(hosts):
+        status = log.groupBy("query").agg(next(passes)("status", "attempt").alias("status")).withColumn("query", F.col("query").cast("string")).join(hosts, "query")
+        return status.where("status = 'done'").select("query")
+
+    hosts = log.select(F.col("query").cast("string").alias("query"))
+    left = batch.crawl(spark, hosts, f"{shared_dir(spark)}/run-{uuid.uuid4().hex}", step)
+    return left.select(F.col("query").cast("long").alias("query"))
+
+
+@query("SELECT user_id AS query FROM events WHERE value IS NOT NULL GROUP BY user_id HAVING sum(CAST(round(value * 100) AS BIGINT)) > 330000", plain=True)
+def host_limit(spark, d):
+    """Hosts that took over a limit; values stand for seconds, in hundredths so that sums are exact."""
+    spent = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("query"), F.round(F.col("value") * 100).cast("long").alias("spent"))
+    return fetch.over_limit(spent, "query", "spent", 330000)
+
+
 @query("SELECT zone, zid, klass, octet, next FROM zones")
 def jsonl_roundtrip(spark, d):
     return readers.json_round_trip(world.zones(spark, d))

@@ -74,7 +74,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     hub = [f"{HUB} 3600 IN NS {HUB_NS}", f"{HUB_NS} 3600 IN A {HUB_IP}"]
     fixed += [(HUB, s, 0, hub) for s in (REGISTRY_IP, HUB_IP)] + [(HUB_NS, HUB_IP, 0, hub[1:]), ("9.", ROOT_IP, 3, [])]
     every = at_parent.union(at_own).union(at_host).union(spark.createDataFrame(fixed, "domain string, nameserver string, rcode int, lines array<string>"))
-    return every.select("domain", "nameserver", F.col("rcode").cast("int").alias("rcode"), F.lit(False).alias("timeout"), F.posexplode_outer("lines").alias("seq", "rr_text")).withColumn("seq", F.coalesce("seq", F.lit(0)))
+    codes = [F.col("rcode").cast("int").alias(c) for c in ("rcode", "rcode_a", "rcode_aaaa")]
+    return every.select("domain", "nameserver", *codes, F.lit(False).alias("timeout"), F.posexplode_outer("lines").alias("seq", "rr_text")).withColumn("seq", F.coalesce("seq", F.lit(0)))
 
 
 SQL = f"""

@@ -6,13 +6,17 @@ import random
 import socket
 import struct
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from zonewalk.plans.storage import stored
 from zonewalk.sources.readers import RESPONSES
 
 TIMEOUT_S, TRIES = 2.0, 3
+#: Questions that a task has open at a time, and questions of a task, about: a silent server holds up no other.
+AT_ONCE, PER_TASK = 64, 2000
 #: Record type codes.
 TYPES = {"NS": 2, "A": 1, "AAAA": 28}
 NAMES = {code: name for name, code in TYPES.items()}
@@ -64,38 +68,86 @@ def answer(data: bytes) -> tuple[int, list[str]]:
     return flags & 15, sections[0] + sections[2] + sections[1]
 
 
-def ask(domain: str, server: str, opens: list[Open]) -> list[tuple]:
-    """Rows of RESPONSES for one name and server: three questions, all begun again after a failure, TRIES times in all."""
+def _whole(message: bytes, server: str, port: int) -> bytes:
+    """The reply over a stream, where the datagram was cut off."""
+    with socket.create_connection((server, port), timeout=TIMEOUT_S) as link, link.makefile("rb") as reply:
+        link.sendall(struct.pack(">H", len(message)) + message)
+        size = struct.unpack(">H", reply.read(2))[0]
+        data = reply.read(size)
+    if len(data) < size or data[:2] != message[:2]:
+        raise ValueError("reply is cut off or to another question")
+    return data
+
+
+def exchange(message: bytes, server: str, opens: list[Open], port: int = 53) -> bytes:
+    """The reply of `server` to `message`; datagrams with another number are not it and are passed over."""
+    with random.choice(opens)() as link:
+        link.settimeout(TIMEOUT_S)
+        link.connect((server, port))
+        link.send(message)
+        while True:
+            data = link.recv(65535)
+            if len(data) >= 12 and data[:2] == message[:2] and data[2] & 0x80:
+                break
+    return _whole(message, server, port) if data[2] & 2 else data
+
+
+def ask(domain: str, server: str, opens: list[Open], port: int = 53) -> list[tuple]:
+    """Rows of RESPONSES for one name and server: three questions, all begun again after a failure, TRIES times in all.
+
+    Codes are those of the questions that were answered in the last try.
+    """
     for attempt in range(TRIES):
+        lines, codes = [], []
         try:
-            lines, code = [], None
             for kind in TYPES:
-                with random.choice(opens)() as link:
-                    link.settimeout(TIMEOUT_S)
-                    link.sendto(question(domain, kind, random.randrange(65536)), (server, 53))
-                    own, rows = answer(link.recv(65535))
-                code = own if code is None else code
+                code, rows = answer(exchange(question(domain, kind, random.randrange(65536)), server, opens, port))
+                codes.append(code)
                 lines += rows
-            return [(domain, server, code, False, i, x) for i, x in enumerate(lines)] or [(domain, server, code, False, 0, None)]
+            return [(domain, server, *codes, False, i, x) for i, x in enumerate(lines)] or [(domain, server, *codes, False, 0, None)]
         except (OSError, ValueError, IndexError, struct.error):
             if attempt == TRIES - 1:
-                return [(domain, server, code, True, 0, None)]
+                return [(domain, server, *codes, *[None] * (len(TYPES) - len(codes)), True, 0, None)]
     return []
 
 
 def fetch(questions: DataFrame, opens: list[Open] | None = None) -> DataFrame:
-    """Live answers to distinct questions (domain, nameserver), as RESPONSES. `opens`: ways to the network, one drawn per message."""
+    """Live answers to distinct questions (domain, nameserver), as RESPONSES. `opens`: ways to the network, one drawn per message.
+
+    Questions are spread over tasks by their number, and a task has many open at a time.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [r for d, n in zip(frame.domain, frame.nameserver) for r in ask(d, n, opens or [_direct])]
-            yield pd.DataFrame(rows, columns=["domain", "nameserver", "rcode", "timeout", "seq", "rr_text"])
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for frame in frames:
+                rows = [r for got in pool.map(lambda q: ask(*q, opens or [_direct]), zip(frame.domain, frame.nameserver)) for r in got]
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESPONSES.split(", ")])
+                yield out.astype({c: "Int32" for c in ("rcode", "rcode_a", "rcode_aaaa", "seq")})
+
+    asked = stored(questions.select("domain", "nameserver").distinct(), "questions")
+    tasks = max(asked.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // PER_TASK))
+    return asked.repartition(tasks, "domain", "nameserver").mapInPandas(run, RESPONSES)
+
+
+#: Words by which registries say that a name is not registered.
+UNREGISTERED = ("no match", "not found", "no data found", "no entries found", "status: free", "status: available")
+
 
-    return questions.select("domain", "nameserver").distinct().mapInPandas(run, RESPONSES)
+def whois(domain: str, server: str = "whois.iana.org", port: int = 43) -> bool:
+    """Whether `domain` is registered, by the registry's lookup service; the first server may refer to another."""
+    for _ in range(3):
+        with socket.create_connection((server, port), timeout=TIMEOUT_S) as link:
+            link.sendall(domain.rstrip(".").encode("idna") + b"\r\n")
+            text = b"".join(iter(lambda: link.recv(65536), b"")).decode("utf-8", "replace").lower()
+        refer = [line.split(":", 1)[1].strip() for line in text.splitlines() if line.startswith("refer:")]
+        if not refer:
+            return bool(text.strip()) and not any(x in text for x in UNREGISTERED)
+        server = refer[0]
+    return True
 
 
-def registered(domains: DataFrame, lookup: Callable[[str], bool]) -> DataFrame:
-    """(domain, registered) by a lookup that the caller brings."""
+def registered(domains: DataFrame, lookup: Callable[[str], bool] = whois) -> DataFrame:
+    """(domain, registered) by a lookup, each domain once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

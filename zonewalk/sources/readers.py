@@ -24,11 +24,11 @@ ROOT_SERVERS = (
     ("l.root-servers.net.", "199.7.83.42"),
     ("m.root-servers.net.", "202.12.27.33"),
 )
-RCODES = "struct<rcode:int,timeout:boolean>"
+RCODES = "struct<`2`:int,`1`:int,`28`:int,timeout:boolean>"
 SUMMARIES = f"array<struct<nameserver:string,rcodes:{RCODES}>>"
 SETS = ", ".join(f"{p}{c} array<string>" for p in ("", "ps_") for c in ("ns", "ipv4", "ipv6", "tld", "sld"))
 REPORT = f"query string, misconfigured_domains map<string,map<string,{SUMMARIES}>>, hazardous_domains map<string,{SUMMARIES}>, {SETS}"
-RESPONSES = "domain string, nameserver string, rcode int, timeout boolean, seq int, rr_text string"
+RESPONSES = "domain string, nameserver string, rcode int, rcode_a int, rcode_aaaa int, timeout boolean, seq int, rr_text string"
 
 
 def root_hints(spark: SparkSession) -> DataFrame:
@@ -56,7 +56,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports from a file or folder of JSON lines."""
-    return spark.read.schema(REPORT).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    return spark.read.schema(REPORT).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").json(path)
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
@@ -64,8 +64,25 @@ def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def compile_reports(spark: SparkSession, path: str, target: str) -> None:
-    """All reports of a folder as JSON lines in one place, in place of what was there."""
-    read_reports(spark, path).write.mode("overwrite").json(target)
+    """All reports of a folder as JSON lines in the one file `target`, in place of what was there.
+
+    The lines are written in parallel; the driver's file system then puts the parts end to end, without reading them as rows.
+    """
+    parts = f"{target}.parts"
+    read_reports(spark, path).write.mode("overwrite").json(parts)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    begun, end = hadoop.fs.Path(f"{target}.begun"), hadoop.fs.Path(target)
+    files = end.getFileSystem(conf)
+    out = files.create(begun, True)
+    for part in sorted((s.getPath() for s in files.listStatus(hadoop.fs.Path(parts))), key=lambda p: p.getName()):
+        if part.getName().startswith("part-"):
+            source = files.open(part)
+            hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+    out.close()
+    files.delete(end, True)
+    files.rename(begun, end)
+    files.delete(hadoop.fs.Path(parts), True)
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
