@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import helpers
 from zonewalk.llm import exact_dedup, simhash
+from zonewalk.llm.common import Filter
 from zonewalk.llm.components import connected
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -112,9 +113,9 @@ def test_empty_tables(spark):
 def test_filter_passes_every_hit(spark):
     hits = spark.createDataFrame([(bytes([i, 7]),) for i in range(200)], "digest binary")
     rows = hits.union(spark.createDataFrame([(bytes([i, 9]),) for i in range(200)], "digest binary"))
-    passed = {bytes(r.digest) for r in exact_dedup.Filter.of(hits, 200).passed(rows).collect()}
+    passed = {bytes(r.digest) for r in Filter.of(hits, 200).passed(rows).collect()}
     assert {bytes([i, 7]) for i in range(200)} <= passed and len(passed) < 240
-    assert exact_dedup.Filter.of(hits, 1 << 40) is None
+    assert Filter.of(hits, 1 << 40) is None
 
 
 def memtable(spark, rows):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from zonewalk.plans.storage import remove, shared_dir  # noqa: F401
 
+#: A filter has bitmaps of 32,768 bits, about 16 bits for each key, so that 6 in 100 others pass; at most so many are broadcast (64 MB).
+BITMAP_BITS, KEY_BITS, MOST_BITMAPS = 32768, 16, 1 << 14
 #: Bytes of text that a Python worker holds as words at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -32,14 +35,62 @@ def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Filter:
+    """Bitmaps (map, bits) of keys: the columns `names` of a table."""
+
+    names: list[str]
+    maps: DataFrame
+    bitmaps: int
+
+    @staticmethod
+    def of(keys: DataFrame, rows: int) -> Filter | None:
+        """The filter of `keys`, of which there are `rows`; None if they need more bitmaps than are broadcast."""
+        bitmaps = 1
+        while bitmaps * BITMAP_BITS < rows * KEY_BITS:
+            bitmaps *= 2
+        if bitmaps > MOST_BITMAPS:
+            return None
+        made = Filter(keys.columns, keys, bitmaps)
+        maps = keys.select(F.floor(made.slot() / BITMAP_BITS).cast("int").alias("_map"), (made.slot() % BITMAP_BITS).alias("_bit")).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        made.maps = materialise(maps, "key-filter")
+        return made
+
+    def slot(self) -> Column:
+        return F.pmod(F.xxhash64(*self.names), F.lit(self.bitmaps * BITMAP_BITS))
+
+    def flagged(self, rows: DataFrame) -> DataFrame:
+        """`rows` with `_may`: whether their key may be among those of the filter; all others are told apart without a shuffle."""
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        own = rows.withColumns({"_map": F.floor(self.slot() / BITMAP_BITS).cast("int"), "_at": self.slot() % BITMAP_BITS}).join(F.broadcast(self.maps), "_map", "left")
+        may = F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return own.withColumn("_may", F.coalesce(may, F.lit(False))).drop("_map", "_at", "_bits")
+
+    def passed(self, rows: DataFrame) -> DataFrame:
+        return self.flagged(rows).where("_may").drop("_may")
+
+
+def semi_join(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in `keys` (written, its columns are the key), of which only those that a filter passes move."""
+    chosen = Filter.of(keys, keys.count())
+    return (chosen.passed(rows) if chosen else rows).join(keys.hint("merge"), keys.columns, "left_semi")
+
+
 def drop_rows(docs: DataFrame, key: list[Column], gone: DataFrame, again: DataFrame) -> DataFrame:
-    """The rows of `docs` whose `key` is not in `gone`, and of those whose key is in `again` one; a null key is in neither."""
-    names = gone.columns
-    left = docs.select("*", *key).join(gone, names, "left_anti")
+    """The rows of `docs` whose `key` is not in `gone`, and of those whose key is in `again` one; a null key is in neither.
+
+    gone and again are written tables. Rows that their filter does not pass stay where they are.
+    """
+    names, rows = gone.columns, docs.select("*", *key)
+    both = gone.union(again.select(*names))
+    chosen = Filter.of(both, both.count())
+    flagged = chosen.flagged(rows) if chosen else rows.withColumn("_may", F.lit(True))
+    left = flagged.where("_may").join(gone.hint("merge"), names, "left_anti")
+    sure = flagged.where("not _may").select(*docs.columns)
     if again.isEmpty():
-        return left.select(*docs.columns)
+        return sure.union(left.select(*docs.columns))
     repeated = left.join(again, names, "left_semi").groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return left.join(again, names, "left_anti").select(*docs.columns).union(repeated.select("_row.*"))
+    return sure.union(left.join(again, names, "left_anti").select(*docs.columns)).union(repeated.select("_row.*"))
 
 
 def fold(doc_id: Column, m: int) -> Column:

@@ -16,14 +16,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewalk.llm.common import drop_rows, materialise, remove, shared_dir
+from zonewalk.llm.common import Filter, drop_rows, materialise, remove, shared_dir
 
 #: Memtables of one table.
 MEMTABLES = 4
 #: Digests of a bucket, about, and the fewest buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 4
-#: A filter has bitmaps of 32,768 bits, about 16 bits for each digest, so that 6 in 100 others pass; at most so many are broadcast (64 MB).
-BITMAP_BITS, DIGEST_BITS, MOST_BITMAPS = 32768, 16, 1 << 14
 #: Of equal texts the one with the most code points, then the smallest doc_id stays.
 BEST = "struct<less:bigint,doc_id:bigint>"
 
@@ -41,37 +39,6 @@ def log(docs: DataFrame, digest_bytes: int) -> DataFrame:
     return materialise(rows.select(digest, "sha", "n_chars", "doc_id", (F.spark_partition_id() % MEMTABLES).alias("memtable")), "digest-log", partition="memtable")
 
 
-def _slot(bitmaps: int) -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(bitmaps * BITMAP_BITS))
-
-
-@dataclass
-class Filter:
-    """Bitmaps (map, bits) of the digests of a run or of hits."""
-
-    maps: DataFrame
-    bitmaps: int
-
-    @staticmethod
-    def of(digests: DataFrame, rows: int) -> Filter | None:
-        """None if so many digests need more bitmaps than are broadcast."""
-        bitmaps = 1
-        while bitmaps * BITMAP_BITS < rows * DIGEST_BITS:
-            bitmaps *= 2
-        if bitmaps > MOST_BITMAPS:
-            return None
-        slot = _slot(bitmaps)
-        maps = digests.select(F.floor(slot / BITMAP_BITS).cast("int").alias("_map"), (slot % BITMAP_BITS).alias("_bit")).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-        return Filter(materialise(maps, "digest-filter"), bitmaps)
-
-    def passed(self, rows: DataFrame) -> DataFrame:
-        """The rows whose digest may be among those of the filter."""
-        slot = _slot(self.bitmaps)
-        byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        own = rows.withColumns({"_map": F.floor(slot / BITMAP_BITS).cast("int"), "_at": slot % BITMAP_BITS})
-        return own.join(F.broadcast(self.maps), "_map").where(F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_map", "_at", "_bits")
-
-
 def merge(older: DataFrame, newer: DataFrame) -> DataFrame:
     """(digest, best, size) of both; a digest is in each at most once."""
     mine, theirs = (r.select("digest", F.col("best").alias(f"best_{i}"), F.col("size").alias(f"size_{i}")) for i, r in enumerate((older, newer)))
@@ -205,6 +172,6 @@ def drop_copies(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     """
     verdicts = materialise(_verdicts(docs.select("doc_id", "text"), digest_bytes).where("doc_id is not null and group_size > 1"), "digest-verdicts")
     key = [F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("_sha"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("_n")]
-    of = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n_chars").alias("_n")).distinct()
+    of = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n_chars").alias("_n"))
     again = materialise(verdicts.where("kept").groupBy("doc_id", "sha", "n_chars").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "digest-repeats")
     return drop_rows(docs, key, of(verdicts.where("not kept")), of(again))
