@@ -58,12 +58,13 @@ def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model | No
             made = [grams.sparse(t.lower()) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array([a.tobytes() for a, _ in made]), pa.array([v.tobytes() for _, v in made])], names=["doc_id", "lang", "at", "val"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, lang string, at binary, val binary").collect(), key=lambda r: (r.doc_id, r.lang))
-    if not got:
+    got = rows.mapInArrow(run, "doc_id long, lang string, at binary, val binary").toArrow()
+    if not got.num_rows:
         return None
-    raw = Rows.of([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.val, np.float32)) for r in got], grams.DIMS)
+    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
+    raw = Rows.held(got, grams.DIMS)
     scale = raw.scale()
-    x, lang = raw.scaled(scale), np.array([r.lang for r in got], dtype=object)
+    x, lang = raw.scaled(scale), np.array(got.column("lang").to_pylist(), dtype=object)
     del got, raw
     langs = sorted(set(lang))
     of = np.array([family(v) for v in lang], dtype=object)

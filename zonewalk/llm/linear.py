@@ -6,6 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+
+from zonewalk.llm.common import flat_values, starts_of
 
 BLOCK = 1 << 20
 
@@ -25,6 +28,12 @@ class Rows:
         at = np.concatenate([a for a, _ in rows] or [np.zeros(0, np.int32)])
         return Rows(begins, at, np.concatenate([v for _, v in rows] or [np.zeros(0, np.float32)]), dims)
 
+    @staticmethod
+    def held(table: pa.Table, dims: int) -> Rows:
+        """From a table without further copies: columns `at` and `val` hold the numbers of each row as bytes."""
+        (at, n), (values, _) = (flat_values(table.column(c).chunk(0), dtype) for c, dtype in (("at", "<i4"), ("val", "<f4")))
+        return Rows(starts_of(n), at, values, dims)
+
     def pick(self, which: np.ndarray) -> Rows:
         return Rows.of([(self.at[a:b], self.values[a:b]) for a, b in zip(self.begins[which], self.begins[which + 1])], self.dims)
 

@@ -74,11 +74,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE)
             val = [np.append(v, p).astype(np.float32) for (_, v), p in zip(made, own)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array([x.tobytes() for x in at]), pa.array([x.tobytes() for x in val])], names=["doc_id", "grade", "at", "val"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, grade int, at binary, val binary").collect(), key=lambda r: r.doc_id)
-    if not got:
+    got = rows.mapInArrow(run, "doc_id long, grade int, at binary, val binary").toArrow()
+    if not got.num_rows:
         return None
-    raw = Rows.of([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.val, np.float32)) for r in got], grams.DIMS + PATTERNS)
-    grades = np.array([r.grade for r in got])
+    got = got.sort_by("doc_id").combine_chunks()
+    raw, grades = Rows.held(got, grams.DIMS + PATTERNS), got.column("grade").to_numpy()
     del got
     scale = raw.scale()
     scale[grams.DIMS :] *= 4  # few and telling, among many slots
