@@ -1,4 +1,8 @@
-"""One query for each operator of this subpackage, over whole tables, and the SQL for those that SQL can express."""
+"""One query for each operator of this subpackage, over whole tables, and the SQL for those that SQL can express.
+
+Each gives one row for every row of `documents`: none for an empty table, one each for rows that repeat a doc_id, a null
+doc_id as null. Further columns are ignored, texts of any length are taken whole, and null text counts as empty.
+"""
 
 from __future__ import annotations
 
@@ -17,51 +21,61 @@ TOKENIZER, END_OF_DOCUMENT = "byte_bpe_50k.json", 50256
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of fingerprints within two bits; texts without words have fingerprint zero and are linked; a row without doc_id is in no group."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text; an empty text has no tokens."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from three folds, predicted for all texts; `und` and 0 without a letter, and for all if no language can be learned."""
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity learned from four folds of the labels; without labels of both classes every text has the rate of label 1."""
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "ratio")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as plain token files, and their tokens counted there; an empty text has 0."""
     return token_counts.document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_OF_DOCUMENT)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades learned from four folds of the labels; texts without words, and all texts without labels, have 0 and are not kept."""
     docs = table(spark, sf_dir, "documents")
     found = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "expected_grade", "p_keep", "kept")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts scored by a model of six folds; an empty text is one end. Without training texts nothing is known and base_score is 0."""
     scored = lm.score_corpus(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all texts; without labels the base rule alone decides."""
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of every text; an empty one has one token, the end."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every row; empty texts are copies of each other; a row without doc_id is in no group and kept."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
