@@ -98,13 +98,14 @@ def fold(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % m
 
 
-def sample_by_label(df: DataFrame, label: str, cap: int, seed: int = 1, key: Column | None = None) -> tuple[DataFrame, dict]:
-    """Rows with a label, about `cap` of each label at most, and how many rows each label has.
+def sample_by_label(df: DataFrame, label: str, cap: int, seed: int = 1, total: int | None = None, key: Column | None = None) -> tuple[DataFrame, dict]:
+    """Rows with a label, about `cap` of each label and `total` of all at most, and how many rows each label has.
 
     They are picked by a hash of `key` (doc_id if none is given), which must tell rows apart; then the sample is so small
     that it can be broadcast, however large the input.
     """
     counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    cap = min(cap, total // max(len(counts), 1)) if total else cap
     draw = F.pmod(F.xxhash64(F.col("doc_id") if key is None else key, F.lit(seed)), F.lit(1 << 30))
     keep = F.lit(False)
     for value, n in counts.items():

@@ -21,6 +21,8 @@ from zonewalk.llm.linear import Rows, sigmoid, svm
 
 #: Documents of each language that the fit takes, about; it does not grow with the input.
 MAX_PER_LANGUAGE = 600
+#: Documents of all languages together, about: with more than twenty languages each has an equal part of these.
+MAX_DOCUMENTS = 12_000
 #: Margins of texts of so many bytes count half: the fewer n-grams, the noisier their mean.
 DOUBT_BYTES = 150
 #: Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -50,7 +52,7 @@ def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model | No
     """Learn from text and non-null lang of documents whose crc32(doc_id as text) mod 4 is not 2; None if there are none."""
     known = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # Rows are told apart by where they are read, so a doc_id that many rows repeat is not drawn as one.
-    sampled, _ = sample_by_label(known, "lang", max_per_language, key=F.struct("doc_id", F.monotonically_increasing_id()))
+    sampled, _ = sample_by_label(known, "lang", max_per_language, total=MAX_DOCUMENTS, key=F.struct("doc_id", F.monotonically_increasing_id()))
     rows = sampled.select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
