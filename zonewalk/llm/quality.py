@@ -60,11 +60,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE)
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; None if there are none.
 
     Sampled grades weigh as they do among all labels, so the verdicts do not depend on how much was sampled. Of rows
-    that repeat a doc_id in `labels` one counts.
+    that repeat a doc_id, in `docs` or in `labels`, one counts.
     """
     rated = labels.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
     few, share = sample_by_label(rated.dropDuplicates(["doc_id"]), "grade", max_per_grade)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):

@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     """Learn quality from labelled documents whose crc32(doc_id as text) mod 5 is not 0; None if there are none.
 
     The offset is that of all labels, so the verdicts do not depend on how much of each quality was sampled. Of rows
-    that repeat a doc_id in `labels` one counts.
+    that repeat a doc_id, in `docs` or in `labels`, one counts.
     """
     rated = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     few, share = sample_by_label(rated.dropDuplicates(["doc_id"]), "quality", max_per_class)
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["doc_id", "quality", *names])
 
     schema = "doc_id long, quality int, " + ", ".join(f"{c} double" for c in names)
-    got = sorted(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, schema).collect(), key=lambda r: r.doc_id)
+    got = sorted(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"]).mapInArrow(run, schema).collect(), key=lambda r: r.doc_id)
     if not got:
         return None
     x = np.array([r[2:] for r in got], dtype=float)

@@ -200,12 +200,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0.
 
-    Of rows that repeat a doc_id in `labels` one counts. Without labels of both classes every text gets the rate of toxic
+    Of rows that repeat a doc_id, in `docs` or in `labels`, one counts. Without labels of both classes every text gets the rate of toxic
     labels, drawn towards a quarter by one label.
     """
     marked = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     sampled, share = sample_by_label(marked, "toxic", max_per_class)
-    few = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("doc_id", "text", "toxic")
+    few = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text as its distinct words and their counts."""
