@@ -181,24 +181,25 @@ def flat_values(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype, (ends[-1] - ends[0]) // width, ends[0]), np.diff(ends) // width
 
 
-def sum_blocks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], blocks: int) -> dict[int, np.ndarray]:
+def sum_blocks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], blocks: int, sent: str = "<f4", code: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[int, np.ndarray]:
     """Sums of arrays by block: `run` gives (block, numbers) of one task's rows of `df`; the sums of `blocks` blocks come to the driver.
 
-    Arrays travel as they are and are added in as many tasks as there are blocks, so what the driver gets does not grow with `df`.
+    Arrays travel as they are, as numbers of type `sent`, and are added in as many tasks as there are blocks, so what the
+    driver gets does not grow with `df`; `code` turns sums into bytes before they go there.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, numbers in run(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.astype("<f4").tobytes()], pa.binary())], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.astype(sent).tobytes()], pa.binary())], names=["block", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(part.as_buffer(), "<f4")
+                own = np.frombuffer(part.as_buffer(), sent)
                 total[block] = total[block] + own if block in total else own.astype(np.float64)
         for block, numbers in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.astype("<f4").tobytes()], pa.binary())], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([(code(numbers).astype("u1") if code else numbers.astype("<f4")).tobytes()], pa.binary())], names=["block", "part"])
 
     schema = "block long, part binary"
-    return {r.block: np.frombuffer(r.part, "<f4") for r in df.mapInArrow(emit, schema).repartition(blocks, "block").mapInArrow(add, schema).collect()}
+    return {r.block: np.frombuffer(r.part, "u1" if code else "<f4") for r in df.mapInArrow(emit, schema).repartition(blocks, "block").mapInArrow(add, schema).collect()}
