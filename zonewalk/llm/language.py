@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonewalk.llm import grams
-from zonewalk.llm.common import chunks, fold, sample_by_label
+from zonewalk.llm.common import chunks, fold, release, released, sample_by_label
 from zonewalk.llm.linear import Rows, sigmoid, svm
 
 #: Documents of each language that the fit takes, about; it does not grow with the input.
@@ -60,7 +60,7 @@ def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model | No
             made = [grams.sparse(t.lower()) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array([a.tobytes() for a, _ in made]), pa.array([v.tobytes() for _, v in made])], names=["doc_id", "lang", "at", "val"])
 
-    got = rows.mapInArrow(run, "doc_id long, lang string, at binary, val binary").toArrow()
+    got = rows.mapInArrow(released(run), "doc_id long, lang string, at binary, val binary").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
@@ -79,6 +79,8 @@ def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model | No
         pairs.append((level, a, b))
         weights.append((w * scale).astype(np.float32))
         offsets.append(offset)
+    del x
+    release()
     return Model(langs, pairs, np.array(weights, dtype=np.float32).reshape(len(pairs), grams.DIMS), np.array(offsets))
 
 
@@ -152,4 +154,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
             pred, _ = predict_batch(texts, shared.value)
             yield part.filter(pa.array(pred != "und", pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewalk.llm import grams
-from zonewalk.llm.common import chunks, fold, sample_by_label, segment_sums, starts_of
+from zonewalk.llm.common import chunks, fold, release, released, sample_by_label, segment_sums, starts_of
 from zonewalk.llm.linear import Rows, ordinal, sigmoid
 
 #: Labelled documents of each grade that the fit takes, about; it does not grow with the input.
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE)
             val = [np.append(v, p).astype(np.float32) for (_, v), p in zip(made, own)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array([x.tobytes() for x in at]), pa.array([x.tobytes() for x in val])], names=["doc_id", "grade", "at", "val"])
 
-    got = rows.mapInArrow(run, "doc_id long, grade int, at binary, val binary").toArrow()
+    got = rows.mapInArrow(released(run), "doc_id long, grade int, at binary, val binary").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by("doc_id").combine_chunks()
@@ -86,6 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_grade: int = MAX_PER_GRADE)
     of = {g: i for i, g in enumerate(g for g in range(GRADES) if g in share)}
     weight = weight[[of[g] for g in grades.tolist()]]
     w, thresholds = ordinal(raw.scaled(scale), grades, GRADES, weight / weight.mean())
+    del raw
+    release()
     return Model((w * scale)[: grams.DIMS].astype(np.float32), (w * scale)[grams.DIMS :], thresholds)
 
 
@@ -129,4 +131,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, min_tail: float = 0.5) -> Data
             good = (rate(texts, shared.value)[:, 0] >= min_tail) & np.array([bool(t.strip()) for t in texts])
             yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
