@@ -4,33 +4,22 @@ import sys
 #: Prints what a Python worker holds, in MB: at most while it works, beyond what it had, and after the task.
 WORKER = """
 import ctypes, re
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
-from zonewalk.llm import shingles
+from zonewalk.llm import minhash
 
 
 def held():
     return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read()).group(1)) / 1024
 
 
-class Frame:
-    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
-
-    def select(self, *columns):
-        return self
-
-    def mapInArrow(self, run, schema):
-        return run
-
-
 rng = np.random.default_rng(5)
 words = [f"word{i}" for i in range(50000)]
 text = [" ".join(words[j] for j in rng.integers(0, len(words), 250)) for _ in range(6000)]
-batch = pa.RecordBatch.from_pydict({"node": list(range(len(text))), "text": text})
-run = shingles.prefixes(Frame(), np.zeros(1 << shingles.SLOT_BITS, np.uint8))
+batch = pa.RecordBatch.from_pydict({"row": list(range(len(text))), "doc_id": list(range(len(text))), "text": text})
+run = minhash.marks(5)
 del words, text
 pa.default_memory_pool().release_unused()
 ctypes.CDLL(None).malloc_trim(0)

@@ -77,21 +77,22 @@ def semi_join(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return (chosen.passed(rows) if chosen else rows).join(keys.hint("merge"), keys.columns, "left_semi")
 
 
-def drop_rows(docs: DataFrame, key: list[Column], gone: DataFrame, again: DataFrame) -> DataFrame:
-    """The rows of `docs` whose `key` is not in `gone`, and of those whose key is in `again` one; a null key is in neither.
+def drop_rows(docs: DataFrame, key: dict[str, Column], gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of `docs` whose `key` (columns by name) is not in `gone`, and of those whose key is in `again` one; a null key is in neither.
 
-    gone and again are written tables. Rows that their filter does not pass stay where they are.
+    gone and again are written tables. Rows that their filter does not pass stay where they are. A row is carried as one
+    value beside its key, so columns of `docs` may have any names.
     """
-    names, rows = gone.columns, docs.select("*", *key)
-    both = gone.union(again.select(*names))
+    names, rows = list(key), docs.select(*[v.alias(k) for k, v in key.items()], F.struct("*").alias("row"))
+    both = gone.select(*names).union(again.select(*names))
     chosen = Filter.of(both, both.count())
     flagged = chosen.flagged(rows) if chosen else rows.withColumn("_may", F.lit(True))
     left = flagged.where("_may").join(gone.hint("merge"), names, "left_anti")
-    sure = flagged.where("not _may").select(*docs.columns)
+    out = flagged.where("not _may").select("row")
     if again.isEmpty():
-        return sure.union(left.select(*docs.columns))
-    repeated = left.join(again, names, "left_semi").groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return sure.union(left.join(again, names, "left_anti").select(*docs.columns)).union(repeated.select("_row.*"))
+        return out.union(left.select("row")).select("row.*")
+    repeated = left.join(again, names, "left_semi").groupBy(*names).agg(F.first("row").alias("row"))
+    return out.union(left.join(again, names, "left_anti").select("row")).union(repeated.select("row")).select("row.*")
 
 
 def fold(doc_id: Column, m: int) -> Column:

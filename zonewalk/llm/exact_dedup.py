@@ -168,10 +168,11 @@ def _verdicts(docs: DataFrame, digest_bytes: int) -> DataFrame:
 def drop_copies(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     """The rows of `docs` that stay, one of each group of equal texts; all columns stay.
 
-    Each row has its own verdict, by doc_id and text. Of rows equal in both one stays; a row without doc_id stays.
+    Each row has its own verdict, by doc_id and text. Of rows equal in both one stays; a row without doc_id stays. Further
+    columns may have any names; an empty table gives an empty result.
     """
     verdicts = materialise(_verdicts(docs.select("doc_id", "text"), digest_bytes).where("doc_id is not null and group_size > 1"), "digest-verdicts")
-    key = [F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("_sha"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("_n")]
-    of = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n_chars").alias("_n"))
+    key = {"id": F.col("doc_id").cast("long"), "sha": F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)), "n": F.length(F.coalesce("text", F.lit(""))).cast("long")}
+    of = lambda rows: rows.select(F.col("doc_id").alias("id"), "sha", F.col("n_chars").alias("n"))
     again = materialise(verdicts.where("kept").groupBy("doc_id", "sha", "n_chars").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "digest-repeats")
     return drop_rows(docs, key, of(verdicts.where("not kept")), of(again))

@@ -1,6 +1,6 @@
 """One query for each operator of this subpackage, over whole tables, and the SQL for those that SQL can express.
 
-Each gives one row for every row of `documents`: none for an empty table, one each for rows that repeat a doc_id, a null
+Each but op11 and op12 gives one row for every row of `documents`: none for an empty table, one each for rows that repeat a doc_id, a null
 doc_id as null. Further columns are ignored, texts of any length are taken whole, and null text counts as empty.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from zonewalk.llm import bpe, exact_dedup, language, lm, packing, quality, rules, simhash, token_counts, toxicity
+from zonewalk.llm import bpe, divergence, exact_dedup, language, lm, minhash, packing, quality, rules, search, simhash, token_counts, toxicity
 from zonewalk.llm.common import fold, table
 
 #: The tokenizer of the encoding and counting queries, and its end-of-document id.
@@ -79,7 +79,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_simhash, op2_bpe, op3_language_id, op4_toxicity, op5_token_counts, op6_quality_classifier, op7_lm_scoring, op8_quality_rules, op9_packing, op10_exact_dedup)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of each language, all of them, and the terms that a source has more of, ten at most; one row for each, not for each document."""
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every item of `benchmark`; rows are those of items, and an item without terms has none."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share at least 0.8 of their two-word shingles; texts without words are in none."""
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_simhash, op2_bpe, op3_language_id, op4_toxicity, op5_token_counts, op6_quality_classifier, op7_lm_scoring, op8_quality_rules, op9_packing, op10_exact_dedup, op11_source_divergence, op12_ranked_search, op13_minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,7 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_ranked_search": OP12_SQL}
 
 
 OP10_SQL = r"""
@@ -102,3 +117,52 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AND n = most AS kept, text_sha256 FROM g
 """
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), groups AS (SELECT DISTINCT lang, source FROM d
+), counted AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), priced AS (
+  SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // (sum(n) OVER g + 2 * count(*) OVER g) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * (total + 2)) // (sum(total) OVER g + 2 * count(*) OVER g) AS q
+  FROM full_counts WINDOW g AS (PARTITION BY lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM priced WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tf AS (SELECT id, doc_id, term, count(*) AS tf FROM d GROUP BY ALL
+), sizes AS (SELECT id, count(*) AS n FROM d GROUP BY id
+), whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (id), whole GROUP BY item_id, id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""

@@ -1,263 +1,54 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, found exactly.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
 SimHash fingerprints of the sets within two bits, found by pigeonring filtering, give the first candidates: close copies.
 No Hamming radius on 64 bits finds the rest: at similarity 0.8 two fingerprints differ in about ten bits, with a spread of
-three, and no segments long enough to be keys stay equal. So further candidates come from prefix filtering: with shingles
-in one global order, two similar sets share a shingle among the first n - ceil(0.8 n) + 1 of each. The order is by a
-bounded sketch of the counts of all shingles, rarest first; it decides how many candidates there are, never which pairs
-are found. Every candidate is checked on the sets themselves.
-
-Pairs of a bucket are not listed. A document is compared first with the most central one that it shares a key with: of
-many copies of a text, all with the text itself. Where buckets still hold several components, documents outside the largest
-one are compared with its most central member, and only what then is left apart with the documents of other components. There
-a bitmap of each set is compared within the join: pairs that it rules out, nearly all, never become rows.
+three, and no segments long enough to be keys stay equal. So the bands of circulant MinHash signatures give further
+candidates, all but 2 in 10^8 of the pairs at 0.8. Every candidate is checked on the sets themselves (64-bit hashes).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from zonewalk.llm.common import drop_rows, flat_values, lower_words, materialise, pieces, released, semi_join, starts_of, sum_blocks, values_of
-from zonewalk.llm.components import connected
-from zonewalk.llm.simhash import links, majority, word_hashes
+from zonewalk.llm.common import drop_rows, materialise
+from zonewalk.llm.minhash import components, marked, row_key
+from zonewalk.llm.simhash import links
 
 SHINGLE = 5
-#: Least similarity, as a fraction.
-PART, WHOLE = 4, 5
-#: Counters of the sketch, and how many travel together. The more, the better rare shingles are told from those of passages
-#: that some documents share; a counter reaches the workers as one byte, an eighth of a power of two.
-SLOT_BITS, BLOCK = 22, 1 << 17
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text whose shingles a Python worker holds at once; one longer text makes a piece of its own.
-PIECE_BYTES = 1 << 20
-#: Cells of the profile of a set.
-CELLS = 128
-#: Longs of the bitmap of a set: a bit is 1 if an odd number of shingles fall on it.
-LONGS = 4
-BITMAP = [f"odd{i}" for i in range(LONGS)]
-#: A shingle is common if its counter is so high at least: its bucket may be too large for one task.
-COMMON = 1_000_000
-NODE = ["node long", "n int"]
-
-
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit hashes of the shingles of each text, sorted, end to end, and how many each has.
-
-    A text with fewer words is one shingle; one without words too, that of no words.
-    """
-    flat, sizes = lower_words(texts)
-    held = flat.dictionary_encode()
-    h = word_hashes(values_of(held.dictionary))[held.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-    starts, out = starts_of(sizes), []
-    rolled = h[: max(len(h) - SHINGLE + 1, 0)].copy()
-    for i in range(1, SHINGLE):
-        rolled = rolled * FACTOR + h[i : len(rolled) + i]
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        if b - a >= SHINGLE:
-            out.append(np.unique(rolled[a : b - SHINGLE + 1]))
-        else:
-            short = np.uint64(b - a)
-            for x in h[a:b]:
-                short = short * FACTOR + x
-            out.append(np.array([short], dtype=np.uint64))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array([len(x) for x in out], dtype=np.int64)
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def node_key() -> Column:
-    """A row by its doc_id and text: rows equal in both are one node."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-
-
-def marks(rows: DataFrame) -> DataFrame:
-    """(node, doc_id, fp, n, cells, odd0, ...) of rows (node, doc_id, text): SimHash and size of the set, how many shingles fall in each cell, its bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, PIECE_BYTES):
-            hashes, sizes = shingle_sets(texts)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            cells = np.minimum(np.bincount(of * CELLS + (hashes % np.uint64(CELLS)).astype(np.int64), minlength=len(sizes) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
-            bits = np.bincount(of * 64 * LONGS + (hashes >> np.uint64(7)).astype(np.int64) % (64 * LONGS), minlength=len(sizes) * 64 * LONGS) & 1
-            odd = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(-1, LONGS)
-            fp = majority(hashes, sizes).view(np.int64) if len(sizes) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(sizes.astype(np.int32)), pa.array([c.tobytes() for c in cells], pa.binary()), *(pa.array(odd[:, i]) for i in range(LONGS))], names=["node", "doc_id", "fp", "n", "cells", *BITMAP])
-
-    return materialise(rows.mapInArrow(released(run), "node long, doc_id long, fp long, n int, cells binary, " + ", ".join(f"{c} long" for c in BITMAP)), "near-marks")
-
-
-def _level(count: np.ndarray | float) -> np.ndarray:
-    return np.minimum(np.rint(8 * np.log2(1 + count)), 255)
-
-
-def commonness(rows: DataFrame) -> np.ndarray:
-    """For each slot of the sketch, the level of how many documents its shingles are in; all documents count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        own = np.zeros(1 << SLOT_BITS, dtype=np.int32)
-        for _, texts in pieces(batches, PIECE_BYTES):
-            slots, n = np.unique(_slot(shingle_sets(texts)[0]), return_counts=True)
-            own[slots] += n.astype(np.int32)
-        for b in range(0, len(own), BLOCK):
-            if own[b : b + BLOCK].any():
-                yield b, np.minimum(own[b : b + BLOCK], 65535)
-
-    out = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-    for b, n in sum_blocks(rows.select("text"), released(run), (1 << SLOT_BITS) // BLOCK, "<u2", _level).items():
-        out[b : b + BLOCK] = n
-    return out
-
-
-def prefixes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, node, n, common): the rarest shingles of each document, one of which any similar document has among its own; n is the size of the set."""
-    shared = rows.sparkSession.sparkContext.broadcast((counts, _level(COMMON)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_slot, limit = shared.value
-        for part, texts in pieces(batches, PIECE_BYTES):
-            hashes, sizes = shingle_sets(texts)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            count = of_slot[_slot(hashes)]
-            order = np.lexsort((hashes, count, doc))
-            place = np.arange(len(hashes)) - np.repeat(starts_of(sizes)[:-1], sizes)
-            use = order[place < np.repeat(sizes - (PART * sizes + WHOLE - 1) // WHOLE + 1, sizes)]
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64)), pa.array(ids[doc[use]], pa.int64()), pa.array(sizes[doc[use]], pa.int32()), pa.array(count[use] >= limit)], names=["key", "node", "n", "common"])
-
-    return rows.select("node", "text").mapInArrow(released(run), "key long, node long, n int, common boolean")
-
-
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """(key, node, n) of the keys that several nodes have.
-
-    Rows move once, by key; those of common shingles, of which a bucket may hold a large part of all documents, are
-    joined with the list of shared ones instead, so that they stay spread.
-    """
-    own = Window.partitionBy("key")
-    few = keyed.where("not common").withColumns({"hub": F.min("node").over(own), "last": F.max("node").over(own)}).where("hub < last")
-    many = keyed.where("common")
-    hubs = many.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    return materialise(few.select("key", "node", "n").union(many.join(hubs, "key", "left_semi").select("key", "node", "n")), "near-candidates")
-
-
-def central(found: DataFrame) -> DataFrame:
-    """`found` with `score`: the share of a node's prefix that other nodes have too, and a smaller node first, for comparison."""
-    prefix = F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1
-    own = found.groupBy("node").agg((F.count(F.lit(1)) / F.max(prefix)).alias("share")).select("node", F.struct("share", (-F.col("node")).alias("less")).alias("score"))
-    return materialise(found.join(own, "node"), "near-scored")
-
-
-def best_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(u, v): each of `members` (key, node) with the most central of the hubs (key, hub, score) of its keys, once."""
-    pairs = members.join(hubs, "key").where("node <> hub").groupBy("node").agg(F.max_by("hub", "score").alias("hub"))
-    return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
-
-
-def _of_both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
-    for side in ("u", "v"):
-        pairs = pairs.join(of.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
-    return pairs.select("u", "v", *(f"{c}_{side}" for c in columns for side in ("u", "v")))
-
-
-def may_be_similar(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The pairs (u, v) but those that sizes and profiles rule out: sets differ by as many shingles as their cells do, at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
-                # Similar sets differ by (1 - s) / (1 + s) of their sizes at most.
-                differ = np.maximum(np.abs(x - y).sum(axis=1, dtype=np.int64), np.abs(n - m))
-                yield batch.select([0, 1]).filter(pa.array((PART + WHOLE) * differ <= (WHOLE - PART) * (n + m)))
-
-    return _of_both(pairs, profiles, "n", "cells").mapInArrow(released(run), "u long, v long")
-
-
-def similar(pairs: DataFrame, rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar. Sets are made only of texts in pairs that their profiles allow."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, PIECE_BYTES):
-            hashes, sizes = shingle_sets(texts)
-            cuts = (starts_of(sizes) * 8).tolist()
-            data = hashes.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["node", "shingles"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (x, n), (y, m) = (flat_values(batch.column(i), "<u8") for i in (2, 3))
-            a, b, keep = starts_of(n).tolist(), starts_of(m).tolist(), []
-            for i in range(batch.num_rows):
-                own, other = x[a[i] : a[i + 1]], y[b[i] : b[i + 1]]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append((PART + WHOLE) * both >= PART * (len(own) + len(other)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    few = materialise(may_be_similar(pairs, profiles).distinct(), "near-pairs")
-    ends = few.select(F.col("u").alias("node")).union(few.select("v")).distinct()
-    sets = semi_join(rows.select("node", "text"), materialise(ends, "near-ends")).mapInArrow(released(made), "node long, shingles binary")
-    return materialise(_of_both(few, materialise(sets, "near-sets"), "shingles").mapInArrow(released(run), "u long, v long"), "near-links")
-
-
-def open_buckets(found: DataFrame, near: DataFrame) -> DataFrame:
-    """(key, node, n, score, component, main) of the buckets in which links leave several components; main is the largest there."""
-    members = found.join(connected(near), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = materialise(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
-    parts = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main"))
-    return materialise(members.join(parts.where("parts > 1").drop("parts"), "key").select("key", "node", "n", "score", "component", "main"), "near-open")
 
 
-def bitmaps_fit(a: str, b: str) -> Column:
-    """Whether sizes and bitmaps of rows `a` and `b` allow similar sets: each shingle that only one has changes one bit, so sets differ by as many shingles as bits, at least."""
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITMAP), F.lit(0))
-    sized = F.least(f"{a}.n", f"{b}.n") * WHOLE >= F.greatest(f"{a}.n", f"{b}.n") * PART
-    return sized & (differ * (PART + WHOLE) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (WHOLE - PART))
+def close_fingerprints(seen: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of nodes: those with one fingerprint, each with the first of them, and fingerprints within two bits."""
+    classes = materialise(seen.where("node is not null and doc_id is not null").groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("last")), "near-classes")
+    same = seen.select("fp", "node").join(classes.where("rep < last"), "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    near = links(classes.select("fp", F.col("rep").alias("node"))).union(same)
+    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, keep_id, kept) for every text of `docs` (doc_id, text) that has a near copy.
+    """(row, doc_id, keep_id, kept) for every text of `docs` (doc_id, text) that has a near copy.
 
     Of a group the row with the smallest doc_id is kept, of several rows with that doc_id one. Null text counts as empty;
     texts without words are near copies of each other; rows without doc_id are in no group; rows equal in doc_id and text
-    are one node; an empty table gives an empty result. A text of any length is compared whole.
+    share one verdict; an empty table gives an empty result. A text of any length is compared whole.
     """
-    rows = docs.where("doc_id is not null").select(node_key().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = marks(rows)
-    profiles = seen.dropDuplicates(["node"])
-    classes = seen.groupBy("fp").agg(F.min("node").alias("rep"))
-    close = links(classes.withColumnRenamed("rep", "node")).union(seen.join(classes, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v")))
-    found = central(shared_keys(prefixes(rows, commonness(rows))))
-    hubs = found.groupBy("key").agg(F.max_by("node", "score").alias("hub"), F.max("score").alias("score"))
-    first = close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(best_hubs(found.select("key", "node"), hubs)).distinct()
-    near = similar(first, rows, profiles)
-    left = open_buckets(found, near)
-    mains = left.where("component = main").groupBy("key").agg(F.max_by("node", "score").alias("hub"), F.max("score").alias("score"))
-    near = near.union(similar(best_hubs(left.where("component <> main").select("key", "node"), mains), rows, profiles))
-    left = materialise(open_buckets(found, near).join(profiles.select("node", *BITMAP), "node"), "near-marked")
-    a, b = left.where("component <> main").alias("a"), left.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    rest = a.join(b, apart & bitmaps_fit("a", "b")).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    groups = materialise(connected(near.union(similar(rest, rows, profiles))), "near-groups")
-    of = groups.join(seen.select("node", "doc_id").distinct(), "node")
-    keep = of.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("keep"))
-    return of.join(keep, "component").select("node", "doc_id", F.col("keep.doc_id").alias("keep_id"), (F.col("keep.node") == F.col("node")).alias("kept"))
+    seen = marked(docs, SHINGLE)
+    groups = components(seen, close_fingerprints(seen))
+    # Texts of one set are near copies too, whether or not another set is near; those without words are one group.
+    node = F.coalesce("component", "node", F.lit(0))
+    of = seen.where("doc_id is not null").select("row", "doc_id", "node").join(groups, "node", "left").select("row", "doc_id", node.alias("group")).distinct()
+    keep = of.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return of.join(keep, "group").select("row", "doc_id", F.col("keep.doc_id").alias("keep_id"), (F.col("keep.row") == F.col("row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, one of each group of near copies, and those in no group; all columns stay.
 
-    Each row has its own verdict, by doc_id and text; of rows equal in both one stays. A row without doc_id stays.
+    Each row has its own verdict, by doc_id and text; of rows equal in both one stays. A row without doc_id stays. Further
+    columns may have any names; an empty table gives an empty result.
     """
-    gone = materialise(similar_groups(docs.select("doc_id", "text")).where("not kept").select(F.col("node").alias("_node")), "near-gone")
-    key = F.when(F.col("doc_id").isNotNull(), node_key()).alias("_node")
-    again = materialise(docs.select(key).where("_node is not null").groupBy("_node").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("_node"), "near-repeats")
-    return drop_rows(docs, [key], gone, again)
+    gone = materialise(similar_groups(docs.select("doc_id", "text")).where("not kept").select(F.col("row").alias("id")), "near-gone")
+    key = F.when(F.col("doc_id").isNotNull(), row_key())
+    again = materialise(docs.select(key.alias("id")).where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id"), "near-repeats")
+    return drop_rows(docs, {"id": key}, gone, again)
