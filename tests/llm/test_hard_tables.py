@@ -56,3 +56,15 @@ def test_queries_and_pipeline_take_hard_tables(spark, tmp_path, kind):
         kept = corpus_pipeline.run(spark, str(tmp_path)).collect()
         assert len({(r.bucket, r.batch, r.place) for r in kept}) == len(kept) and {str(r.doc_id) for r in kept} <= set(ids)
         assert bool(kept) == (kind == "odd")
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    rng = helpers.random.Random(2)
+    texts = [helpers.prose(rng, "en", 80) for _ in range(4)]
+    names = ["doc_id", "text", "_may", "_id", "_node", "a.b", "row", "id", "digest", "_bits", "sha", "n"]
+    rows = [(i, t, *[f"{c}{i}" for c in names[2:]]) for i, t in enumerate([texts[0], texts[0], texts[1], texts[1] + " end", texts[2], texts[3]])] + [(5, texts[3], *[f"{c}5" for c in names[2:]])]
+    docs = spark.createDataFrame(rows, names).repartition(3)
+    for stage, left in ((corpus_pipeline.exact_copies, [0, 2, 3, 4, 5]), (corpus_pipeline.near_copies, [0, 2, 4, 5])):
+        kept = stage(spark, docs, "")
+        assert kept.columns == names
+        assert sorted(tuple(r) for r in kept.collect()) == [rows[i] for i in left]

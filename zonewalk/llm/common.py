@@ -36,6 +36,11 @@ def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of what finished steps hold: the driver removes broadcasts and shuffle files when their handles are collected as garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @dataclass
 class Filter:
     """Bitmaps (map, bits) of keys: the columns `names` of a table."""

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewalk.llm.common import Filter, drop_rows, materialise, remove, shared_dir
+from zonewalk.llm.common import Filter, drop_rows, forget, materialise, remove, shared_dir
 
 #: Memtables of one table.
 MEMTABLES = 4
@@ -63,6 +63,11 @@ class MergeIndex:
     buckets: int
     runs: list[Run] = field(default_factory=list)
 
+    @staticmethod
+    def empty(rows: DataFrame) -> MergeIndex:
+        """An index with as many buckets as the log `rows` needs."""
+        return MergeIndex(rows.sparkSession, max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS)))
+
     def _write(self, rows: DataFrame, level: int) -> Run:
         table = f"digest_run_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{table}"
@@ -112,11 +117,16 @@ class MergeIndex:
         self._drop(list(self.runs))
 
 
-def index(rows: DataFrame) -> MergeIndex:
-    """The index of a log, memtable by memtable."""
-    made = MergeIndex(rows.sparkSession, max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS)))
+def fill(made: MergeIndex, rows: DataFrame) -> None:
+    """Insert a log, memtable by memtable."""
     for m in range(MEMTABLES):
         made.insert(rows.where(F.col("memtable") == m))
+
+
+def index(rows: DataFrame) -> MergeIndex:
+    """The index of a log."""
+    made = MergeIndex.empty(rows)
+    fill(made, rows)
     return made
 
 
@@ -147,9 +157,13 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
 def _verdicts(docs: DataFrame, digest_bytes: int) -> DataFrame:
     """(doc_id, sha, n_chars, keep_id, group_size, kept) for every row."""
     rows = log(docs, digest_bytes)
-    made = index(rows)
-    hits = materialise(made.whole().where("size > 1"), "digest-hits")
-    made.clear()
+    made = MergeIndex.empty(rows)
+    try:
+        fill(made, rows)
+        hits = materialise(made.whole().where("size > 1"), "digest-hits")
+    finally:
+        made.clear()
+    forget(rows.sparkSession)
     found, clashes = verify(docs, hits, digest_bytes)
     light = rows.drop("memtable")
     if clashes.isEmpty():

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonewalk.llm.common import Filter, flat_values, lower_words, materialise, pieces, released, semi_join, starts_of, values_of
+from zonewalk.llm.common import Filter, flat_values, forget, lower_words, materialise, pieces, released, semi_join, starts_of, values_of
 from zonewalk.llm.components import connected
 from zonewalk.llm.simhash import majority, word_hashes
 
@@ -259,16 +259,20 @@ def components(seen: DataFrame, close: DataFrame | None = None) -> DataFrame:
     hubs = found.groupBy("key").agg(F.max_by("node", "score").alias("hub"), F.max("score").alias("score"))
     first = best_hubs(found.select("key", "node"), hubs)
     near = similar(first.union(close) if close is not None else first, seen)
+    forget(seen.sparkSession)
     left = open_buckets(found, near)
     mains = left.where("label = main").groupBy("key").agg(F.max_by("node", "score").alias("hub"), F.max("score").alias("score"))
     near = near.union(similar(best_hubs(left.where("label <> main").select("key", "node"), mains), seen))
     left = open_buckets(left.select("key", "node", "score"), near)
+    forget(seen.sparkSession)
     profiles = semi_join(seen.select("node", *PROFILE), materialise(left.select("node").distinct(), "near-ends")).dropDuplicates(["node"])
     left = materialise(left.join(profiles, "node"), "near-apart")
     a, b = left.where("label <> main").alias("a"), left.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     rest = a.join(b, apart & bitmaps_fit("a", "b")).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
-    return materialise(connected(near.union(similar(rest, seen))), "near-groups")
+    groups = materialise(connected(near.union(similar(rest, seen))), "near-groups")
+    forget(seen.sparkSession)
+    return groups
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
