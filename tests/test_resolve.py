@@ -1,6 +1,7 @@
 import pytest
 
 from tests import world
+from zonewalk.operators import fetch
 from zonewalk.operators.report import report
 from zonewalk.plans import resolve as R
 
@@ -140,3 +141,42 @@ def test_names_above_are_asked_once_however_many_hosts(spark):
     asked = done.asked.select("name", "who", "pass", "ip").collect()
     assert len(asked) == len(set(asked)) and len([r for r in asked if r.name in ("com.", "x.com.")]) == 4
     assert {r.query for r in R.reached(spark.createDataFrame([(h,) for h in hosts], "query string"), done).where("name = 'com.'").collect()} == set(hosts)
+
+
+def walk(spark, rows, host):
+    """Facts of `host` and the questions asked, call by call, of a world of rows (domain, server, lines or code)."""
+    calls = []
+    table = spark.createDataFrame([(d, s, 0 if isinstance(x, list) else x, False, i, t) for d, s, x in rows for i, t in (enumerate(x) if isinstance(x, list) and x else [(0, None)])], world.SCHEMA)
+
+    def port(questions):
+        calls.append([(q.domain, q.nameserver) for q in questions.collect()])
+        return table.join(questions, ["domain", "nameserver"], "left_semi")
+
+    facts, trouble = R.reports(spark.createDataFrame([(host,)], "query string"), port, spark.createDataFrame([("com.",)], "suffix string"), spark.createDataFrame(world.ROOTS, "ns string, ip string"))
+    return {(r.category, r.value) for r in facts.collect()}, trouble.collect(), calls
+
+
+@pytest.mark.parametrize("silence", ["empty", "missing"])
+def test_silence_above_is_asked_again_by_the_whole_name(spark, silence):
+    below = [*world.ns("a.b.com.", "ns.b.com."), *world.ns("b.com.", "ns.b.com."), world.a("ns.b.com.", "10.9.0.1")]
+    rows = [("com.", world.ROOT, world.COM_ANSWER), ("com.", world.COM, world.COM_ANSWER), ("a.b.com.", world.COM, below), ("b.com.", "10.9.0.1", below), ("a.b.com.", "10.9.0.1", below)]
+    rows += [("b.com.", world.COM, [])] if silence == "empty" else []
+    facts, trouble, calls = walk(spark, rows, "a.b.com.")
+    assert {("ns", "ns.b.com."), ("ipv4", "10.9.0.1"), ("sld", "b.com.")} <= facts and not trouble
+    every = [q for c in calls for q in c]
+    assert len(every) == len(set(every))
+    assert set(every) == {("com.", world.ROOT), ("com.", world.COM), ("b.com.", world.COM), ("a.b.com.", world.COM), ("b.com.", "10.9.0.1"), ("a.b.com.", "10.9.0.1")}
+
+
+def test_questions_follow_the_answers(spark):
+    questions, port = [], fetch.table_port(world.responses(spark))
+
+    def asking(q):
+        questions.extend((r.domain, r.nameserver) for r in q.collect())
+        return port(q)
+
+    hosts = spark.createDataFrame([("ok.com.",), ("gone.com.",)], "query string")
+    facts, trouble = R.reports(hosts, asking, spark.createDataFrame(world.SUFFIXES, "suffix string"), spark.createDataFrame(world.ROOTS, "ns string, ip string"))
+    assert len(questions) == len(set(questions))
+    assert {d for d, _ in questions} == {"com.", "ok.com.", "gone.com."}
+    assert {(r.query, r.kind) for r in trouble.collect()} == {("gone.com.", "hazardous")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def recorded(questions: DataFrame, responses: DataFrame) -> DataFrame:
     return found.withColumn("timeout", F.coalesce("timeout", F.lit(True)))
 
 
+def table_port(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A port that answers questions (domain, nameserver) from a table of recorded responses."""
+    return lambda questions: responses.join(questions, ["domain", "nameserver"], "left_semi")
+
+
 def is_nxdomain(rcode: Column, timeout: Column) -> Column:
     return ~F.coalesce(timeout, F.lit(False)) & F.coalesce(rcode == NXDOMAIN, F.lit(False))
 

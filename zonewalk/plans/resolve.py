@@ -6,16 +6,21 @@ that come without an address and lie under another registrable name are resolved
 Each round joins only what the round before found. Sets only grow, so the result does not depend on any order; what
 stays empty is classified afterwards, and facts reach the hosts at the end, along the names that each depends on.
 
-An empty answer is asked again by the whole name of the walk, so there the states of a name differ by who asks. Walks for
-which the table holds such an answer are resolved under their own name (`who`); all others share one state (`who` is empty).
+Questions are asked as they come up: each round asks the port what its new states need and no store has, so a question is
+asked once and none that nobody needs. The port is a table of recorded answers or any function of questions, a live one too.
+
+An empty answer, a missing one too, is asked again by the whole name of the walk, so there the states of a name differ by
+who asks. When a round meets such an answer, the walks below it ask by their own names; those that are told something leave
+the shared states (`who` is empty) and are walked again under their own name (`who`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +31,9 @@ from zonewalk.plans.closure import on_cycles, reachable
 from zonewalk.plans.storage import Growing, stored
 
 MAX_ROUNDS = 200
+#: Gives the answers (readers.RESPONSES) to questions (domain, nameserver); what it leaves out has timed out.
+Port = Callable[[DataFrame], DataFrame]
+QUESTION = ["domain", "nameserver"]
 NAME = ["name", "who"]
 STATE = [*NAME, "pass"]
 
@@ -54,35 +62,79 @@ def _chain(origins: DataFrame) -> DataFrame:
     return chain.withColumns({"depth": F.col("depth") + 1, "parent": names.parent_name(names.labels(F.col("name")))})
 
 
-def _asking(origins: DataFrame, silent: DataFrame, answers: DataFrame) -> DataFrame:
-    """`origins` (origin, is_ns) with `who`: the origin itself if a server that has nothing for a name above it has an answer for it, else empty."""
-    above = _chain(origins.select("origin")).where("name <> origin").join(silent, "name")
-    said = answers.where("n > 0 or nx").select(F.col("domain").alias("origin"), F.col("nameserver").alias("ip"))
-    own = above.join(said, ["origin", "ip"], "left_semi").select("origin", F.col("origin").alias("who")).distinct()
-    return origins.join(own, "origin", "left").withColumn("who", F.coalesce("who", F.lit("")))
+class Asked:
+    """What a port was asked and what it said: the memo of a resolution."""
+
+    def __init__(self, spark: SparkSession, port: Port, compat: bool) -> None:
+        self.port, self.compat = port, compat
+        self.answers, self.records = Growing(spark, "answers"), Growing(spark, "records")
+
+    def ask(self, questions: DataFrame) -> None:
+        """Ask those of `questions` (domain, nameserver) that were not asked before."""
+        fresh = questions.select(*QUESTION).distinct()
+        if self.answers.schema:
+            fresh = fresh.join(self.answers.all().select(*QUESTION), QUESTION, "left_anti")
+        fresh = stored(fresh, "questions")
+        if self.answers.schema and fresh.isEmpty():
+            return
+        said = stored(self.port(fresh), "said")
+        self.answers.add(fresh.join(fetch.summaries(said), QUESTION, "left").na.fill({"n": 0, "nx": False, "timeout": True}))
+        rows = records.tokenise(said.select(*QUESTION, "seq", "rr_text"))
+        rows = records.last_wins(rows, QUESTION) if self.compat else rows
+        self.records.add(rows.select(F.col("domain").alias("answer"), F.col("nameserver").alias("ip"), F.col("name").alias("owner"), "type", "data"))
+
+    def silent(self, questions: DataFrame) -> DataFrame:
+        """Those of `questions` (name, ip, ...) that were answered with nothing."""
+        none = self.answers.all().where("n = 0 and not nx").select(F.col("domain").alias("name"), F.col("nameserver").alias("ip"))
+        return questions.join(none, ["name", "ip"], "left_semi")
+
+
+class Shared:
+    """Walks that share states, and the silent servers above them: which of the walks must be walked by themselves."""
+
+    def __init__(self, spark: SparkSession, asked: Asked) -> None:
+        self.asked, self.servers, self.left = asked, Growing(spark, "silent"), Growing(spark, "left")
+
+    def leaving(self, serving: DataFrame, new_origins: DataFrame, origins: DataFrame) -> DataFrame | None:
+        """Of `origins` (origin, is_ns, who) those that a server says something to by their own name which is silent above them.
+
+        serving: (name, who, ip, ...) of this round. Only the round's silent servers meet all walks; known ones meet new walks.
+        """
+        now = self.asked.silent(serving.where("who = ''").select("name", "ip").distinct())
+        known = self.servers.all() if self.servers.schema else None
+        now = stored(now.join(known, ["name", "ip"], "left_anti") if known else now, "silent")
+        if now.isEmpty() and not known:
+            return None
+        self.servers.add(now)
+        below = lambda walks, servers: _chain(walks.where("who = ''").select("origin").distinct()).where("name <> origin").join(servers, "name").select("origin", "ip")
+        met = [below(origins, now)] + ([below(new_origins, known)] if known else [])
+        own = stored(_union(met).distinct(), "own-questions")
+        if own.isEmpty():
+            return None
+        self.asked.ask(own.select(F.col("origin").alias("domain"), F.col("ip").alias("nameserver")))
+        told = self.asked.answers.all().where("n > 0 or nx").select(F.col("domain").alias("origin"), F.col("nameserver").alias("ip"))
+        leave = own.join(told, ["origin", "ip"], "left_semi").select("origin").distinct()
+        return self.left.add(leave.join(self.left.all(), "origin", "left_anti") if self.left.schema else leave)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def resolve(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False) -> Resolution:
-    """Resolve `hosts` (query) with responses (readers.RESPONSES) and roots (ns, ip).
+def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False) -> Resolution:
+    """Resolve `hosts` (query) with responses (readers.RESPONSES, or a port that is asked for them) and roots (ns, ip).
 
     compat: owners match as substrings, records of one response with the same data collapse, and a query with addresses
     but no nameservers is not its own nameserver. Blank names and the root name are skipped. Raises RuntimeError if
     there is no fixed point in MAX_ROUNDS rounds.
     """
     spark, suffixes = hosts.sparkSession, prepared(suffixes)
-    rows = records.tokenise(responses.select("domain", "nameserver", "seq", "rr_text"))
-    rows = stored(records.last_wins(rows, ["domain", "nameserver"]) if compat else rows, "records")
-    in_answer = rows.select(F.col("domain").alias("answer"), F.col("nameserver").alias("ip"), F.col("name").alias("owner"), "type", "data")
-    answers = stored(fetch.summaries(responses), "answers")
-    silent = answers.where("n = 0 and not nx").select(F.col("domain").alias("name"), F.col("nameserver").alias("ip"))
+    memo = Asked(spark, fetch.table_port(responses) if isinstance(responses, DataFrame) else responses, compat)
+    shared = Shared(spark, memo)
     root = roots.orderBy("ns", "ip").first()  # the choice of a root server is the first by name
     origins, visited, asked, used, told, auth, needs, reused = (Growing(spark, n) for n in ("origins", "visited", "asked", "used", "told", "auth", "needs", "reused"))
     start = hosts.select(names.norm_host(F.col("query")).alias("origin")).where("origin is not null and origin <> '.'").distinct()
-    new_origins = origins.add(_asking(start.withColumn("is_ns", F.lit(not compat)), silent, answers))
+    new_origins = origins.add(start.select("origin", F.lit(not compat).alias("is_ns"), F.lit("").alias("who")))
     told.add(roots.select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("who"), F.lit(None).cast("int").alias("pass"), F.lower("ns").alias("ns"), "ip").distinct())
     new_auth = None
     for _ in range(MAX_ROUNDS):
@@ -100,8 +152,15 @@ def resolve(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules,
         serving = _union(servers).distinct()
         if asked.schema:
             serving = serving.join(asked.all().select(*STATE, "ns", "ip"), [*STATE, "ns", "ip"], "left_anti")
+        serving = stored(serving, "serving")
+        memo.ask(serving.select(F.col("name").alias("domain"), F.col("ip").alias("nameserver")))
+        if shared.left.schema:
+            again = memo.silent(serving.where("who not in ('', name)"))
+            memo.ask(again.select(F.col("who").alias("domain"), F.col("ip").alias("nameserver")))
+        leaving = shared.leaving(serving, new_origins, origins.all())
         original = F.when(F.col("who") == "", F.col("name")).otherwise(F.col("who")).alias("original")
-        now = asked.add(fetch.outcomes(serving.select("*", original), answers))
+        now = asked.add(fetch.outcomes(serving.select("*", original), memo.answers.all()))
+        in_answer = memo.records.all()
         # Records that count, and the nameservers and addresses in them.
         own = now.where("answer is not null").select(*STATE, "answer", "ip").distinct()
         if used.schema:
@@ -130,9 +189,22 @@ def resolve(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules,
         wanted = with_suffix(bare, "ns", suffixes).where(records.out_of_bailiwick(F.col("registrable"), F.col("from"))).select(*NAME, "from", "ns", "registrable")
         wanted = needs.add(wanted.join(needs.all(), [*NAME, "ns"], "left_anti") if needs.schema else wanted)
         starts = wanted.select(F.col("ns").alias("origin"), F.lit(True).alias("is_ns")).distinct().join(origins.all().where("is_ns"), "origin", "left_anti")
-        new_origins = origins.add(_asking(starts, silent, answers))
+        starts = starts.withColumn("who", F.lit(""))
+        if leaving is not None:
+            starts = starts.unionByName(origins.all().where("who = ''").join(leaving, "origin", "left_semi").withColumn("who", F.col("origin")))
+            late = starts.where("who = ''").join(shared.left.all(), "origin", "left_semi")  # known to leave, met again as a nameserver
+        elif shared.left.schema:
+            late = starts.join(shared.left.all(), "origin", "left_semi")
+        else:
+            late = None
+        if late is not None:
+            starts = starts.unionByName(late.withColumn("who", F.col("origin"))).distinct()
+        new_origins = origins.add(starts)
         if new_origins.isEmpty() and new_auth.isEmpty():
-            return Resolution(visited.all(), asked.all(), auth.all(), told.all().where("name is not null").select(*STATE, "ns"), used.all(), needs.all(), origins.all().select("origin", "who").distinct(), compat)
+            walks = stored(origins.all().groupBy("origin").agg(F.max("who").alias("who")), "walks")
+            walked = stored(_chain(walks).select(*NAME).distinct(), "walked")
+            of_walks = lambda rows: rows.join(walked, NAME, "left_semi")
+            return Resolution(visited.all(), of_walks(asked.all()), auth.all(), told.all().where("name is not null").select(*STATE, "ns"), used.all(), of_walks(needs.all()), walks, compat)
     raise RuntimeError(f"no fixed point in {MAX_ROUNDS} rounds")
 
 
@@ -202,10 +274,14 @@ def host_facts(reach: DataFrame, rows: DataFrame) -> DataFrame:
     return attributed(reach, rows).select("query", names.ps_prefix(F.col("mark"), F.col("category")).alias("category"), "value").distinct()
 
 
-def reports(hosts: DataFrame, responses: DataFrame, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+def reports(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(facts, problems) of every query: (query, category, value) and (query, kind, name, nameserver, codes)."""
     suffixes = prepared(suffixes)
-    done = resolve(hosts, responses, suffixes, roots, compat)
+    return told(hosts, resolve(hosts, responses, suffixes, roots, compat), suffixes)
+
+
+def told(hosts: DataFrame, done: Resolution, suffixes: DataFrame | Rules) -> tuple[DataFrame, DataFrame]:
+    """What `reports` gives, of a finished resolution of `hosts`."""
     bad, reach = stored(problems(done), "problems"), reached(hosts, done)
     trouble = attributed(reach, bad).select("query", "kind", "name", "nameserver", *fetch.CODES).distinct()
     return host_facts(reach, facts(done, suffixes, bad)), trouble

@@ -12,7 +12,7 @@ from zonewalk.functions import names, suffix
 from zonewalk.operators import analysis, fetch, joins, records, report
 from zonewalk.plans import batch, resolve
 from zonewalk.plans.closure import on_cycles, reachable
-from zonewalk.plans.storage import shared_dir
+from zonewalk.plans.storage import Growing, shared_dir
 from zonewalk.queries import world
 from zonewalk.queries.world import SQL
 from zonewalk.sources import readers
@@ -488,10 +488,35 @@ def _reports(spark, d):
 def full_report(spark, d):
     """Every host resolved; sets and problems of its report in long form."""
     _, facts, trouble = _reports(spark, d)
+    return _found_by_host(facts, trouble)
+
+
+def _found_by_host(facts, trouble):
     rows = facts.union(trouble.select("query", F.col("kind").alias("category"), F.col("name").alias("value")))
     return rows.groupBy("query", "category").agg(joined(F.collect_set("value")).alias("found"))
 
 
+@query(REPORT.replace("AS found FROM", "AS found, 0 AS asked_again, 0 AS in_vain FROM"))
+def demand_fetch(spark, d):
+    """The report of every host, from answers that are asked for as the resolution comes to need them.
+
+    asked_again: questions that were asked more than once; in_vain: those whose server no state was asked at, by its own name or by
+    that of the walk.
+    """
+    answers, log = fetch.table_port(world.responses(spark, d)), Growing(spark, "asked-of-port")
+    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
+    rules, roots = suffix.prepared(world.suffixes(spark)), readers.root_hints(spark)
+    done = resolve.resolve(hosts, lambda questions: answers(log.add(questions)), rules, roots)
+    asked = log.all()
+    again = asked.groupBy("domain", "nameserver").count().where("count > 1").count()
+    needed = done.asked.select(F.col("name").alias("domain"), F.col("ip").alias("nameserver"))
+    below = done.asked.where("answer is null or answer <> name").select("name", F.col("ip").alias("nameserver")).distinct()
+    walks = done.origins.select(F.col("origin").alias("domain"), F.explode(names.superdomains(names.labels(F.col("origin")))).alias("name"))
+    vain = asked.join(needed, ["domain", "nameserver"], "left_anti").join(walks.join(below, "name"), ["domain", "nameserver"], "left_anti").count()
+    facts, trouble = resolve.told(hosts, done, rules)
+    return _found_by_host(facts, trouble).withColumns({"asked_again": F.lit(int(again)), "in_vain": F.lit(int(vain))})
+
+
 def _codes(q: Column) -> Column:
     return F.concat_ws(":", q.getField("nameserver"), *[q.getField("rcodes").getField(t).cast("string") for t in report.RECORD_TYPES])
 
