@@ -34,7 +34,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with a similarity of 0.8 or more in five-word shingles, directly or through others, the one with the smallest doc_id.
 
-    Candidates are the SimHash links of operator 1 on those shingles, and those of prefix filtering beyond its two bits.
+    Candidates are the SimHash links of operator 1 on those shingles, and those that share a MinHash band beyond its two bits.
     """
     return shingles.keep_one(docs)
 
