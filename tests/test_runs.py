@@ -8,7 +8,8 @@ import pytest
 
 from zonewalk.operators import analysis
 from zonewalk.plans import batch
-from zonewalk.plans.closure import on_cycles, reachable
+from zonewalk.plans.closure import reachable
+from zonewalk.plans.components import on_cycles, strong_parts
 from zonewalk.sources import live, readers
 from zonewalk.streaming.hosts import crawl_stream, host_stream
 
@@ -32,7 +33,7 @@ def test_a_step_is_run_once_a_pass(spark, tmp_path):
     assert sorted(done + [r.query for r in left.collect()]) == sorted(f"h{i}" for i in range(40))
 
 
-def test_long_chains_are_trimmed_before_cycles_are_sought(spark):
+def test_cycles_between_long_chains(spark):
     edges = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c12", "x"), ("x", "y"), ("y", "x"), ("y", "d0")] + [(f"d{i}", f"d{i + 1}") for i in range(5)] + [("s", "s")]
     assert {r.src for r in on_cycles(frame(spark, edges, "src string, dst string")).collect()} == {"x", "y", "s"}
     assert on_cycles(frame(spark, edges[:5], "src string, dst string")).count() == 0
@@ -45,6 +46,40 @@ def test_closure_of_a_cyclic_graph(spark):
     assert {r.dst for r in reachable(edges, frame(spark, ["d"], "src string")).collect()} == set()
 
 
+def test_strong_parts_as_by_brute_force(spark):
+    """Sparse and dense graphs, with names on themselves, repeated edges and nulls; dense ones are coloured."""
+    rng, edges = random.Random(5), set()
+    for g in range(60):
+        n = rng.randrange(2, 14)
+        edges |= {(f"g{g}.{rng.randrange(n)}", f"g{g}.{rng.randrange(n)}") for _ in range(rng.randrange(1, 4 * n))}
+    to = {}
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+        to.setdefault(b, set())
+
+    def reach(v):
+        seen, open_ = set(), [v]
+        while open_:
+            more = to[open_.pop()] - seen
+            seen |= more
+            open_ += more
+        return seen
+
+    far = {v: reach(v) for v in to}
+    given = frame(spark, [*sorted(edges), *sorted(edges)[:9], ("g0.0", None), (None, "g0.0")], "src string, dst string")
+    assert {r.name: r.part for r in strong_parts(given).collect()} == {v: min([v, *(w for w in far[v] if v in far[w])]) for v in to}
+    assert {r.src for r in on_cycles(given).collect()} == {v for v in to if v in far[v]}
+    assert strong_parts(given.limit(0)).count() == 0
+
+
+def test_a_ring_of_many_names_is_one_part(spark):
+    n = 100_000
+    ring = spark.range(n).selectExpr("concat('r', id) AS src", f"concat('r', (id + 1) % {n}) AS dst")
+    tail = frame(spark, [("t", "r5"), ("r7", "u")], "src string, dst string")
+    got = strong_parts(ring.union(tail)).groupBy("part").count().collect()
+    assert {(r.part, r["count"]) for r in got} == {("r0", n), ("t", 1), ("u", 1)}
+
+
 def test_batch_resumes_and_retries(spark, tmp_path):
     tried = []
 

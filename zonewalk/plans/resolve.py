@@ -27,7 +27,8 @@ from pyspark.sql.window import Window
 from zonewalk.functions import names
 from zonewalk.functions.suffix import Rules, prepared, sld, tld, with_suffix
 from zonewalk.operators import fetch, records, report
-from zonewalk.plans.closure import on_cycles, reachable
+from zonewalk.plans.closure import reachable
+from zonewalk.plans.components import on_cycles
 from zonewalk.plans.storage import Growing, stored
 
 MAX_ROUNDS = 200

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from zonewalk.functions import names, suffix
 from zonewalk.operators import analysis, fetch, joins, records, report
 from zonewalk.plans import batch, resolve
-from zonewalk.plans.closure import on_cycles, reachable
+from zonewalk.plans.closure import reachable
+from zonewalk.plans.components import on_cycles, strong_parts
 from zonewalk.plans.storage import Growing, shared_dir
 from zonewalk.queries import world
 from zonewalk.queries.world import SQL
@@ -390,6 +391,13 @@ def cycle_semi(spark, d):
     return joins.in_progress(world.zones(spark, d).select("zone"), active, "zone")
 
 
+@query(f"""{EDGES} SELECT n.name, least(n.name, coalesce(min(p.dst), n.name)) AS part FROM (SELECT src AS name FROM edges UNION SELECT dst FROM edges) n
+LEFT JOIN (SELECT p.src, p.dst FROM paths p JOIN paths q ON q.src = p.dst AND q.dst = p.src) p ON p.src = n.name GROUP BY n.name""")
+def strong_components(spark, d):
+    """Names that depend on each other, by the first of them; every other name is a part of its own."""
+    return strong_parts(_edges(spark, d))
+
+
 # Classes and reports
 
 KIND = "CASE klass WHEN 2 THEN 'hazardous' WHEN 3 THEN 'missing_ns_records' WHEN 4 THEN 'hazardous' WHEN 5 THEN CASE WHEN next = zone THEN 'hazardous' ELSE 'cyclic' END END"
