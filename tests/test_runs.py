@@ -3,6 +3,7 @@ import random
 import socket
 import struct
 import threading
+import time
 
 import pytest
 
@@ -196,6 +197,133 @@ def test_whois_lookup():
     link.close()
 
 
-def test_registered(spark):
-    got = live.registered(frame(spark, ["a.com.", "b.com.", "a.com."], "domain string"), lambda d: d.startswith("a"))
-    assert sorted((r.domain, r.registered) for r in got.collect()) == [("a.com.", True), ("b.com.", False)]
+def registry(host, port, reply):
+    """A registration server; it answers as `reply` says, or not at all where that gives None. Gives the port and what was asked."""
+    link, asked = socket.create_server((host, port)), []
+
+    def run():
+        held = []
+        while True:
+            own, _ = link.accept()
+            asked.append(own.recv(100).decode().strip())
+            text = reply(asked[-1])
+            if text is None:
+                held.append(own)
+                continue
+            own.sendall(text.encode())
+            own.close()
+
+    threading.Thread(target=run, daemon=True).start()
+    return link.getsockname()[1], asked
+
+
+def test_lookups_go_by_server_and_lose_no_row(spark):
+    """127.0.0.2 answers, .3 stalls, nobody listens at .4, .5 sends on to .2, .6 says nothing the first time; .1 knows the registries."""
+    at = {"good": 2, "slow": 3, "gone": 4, "far": 5, "late": 6}
+    port, first = registry("127.0.0.1", 0, lambda tld: f"domain: {tld}\nrefer:  127.0.0.{at[tld]}\n" if tld in at else "nothing here\n")
+    _, good = registry("127.0.0.2", port, lambda d: "No match for it\n" if d.startswith("free") else "Domain Name: TAKEN\n")
+    registry("127.0.0.3", port, lambda d: None)
+    registry("127.0.0.5", port, lambda d: "refer: 127.0.0.2\n")
+    turns = iter([""] + ["Domain Name: TAKEN\n"] * 9)
+    registry("127.0.0.6", port, lambda d: next(turns))
+    asked = ["free.good.", "a.good.", "b.good.", "a.good.", "a.slow.", "a.gone.", "free.far.", "a.late.", "a.nowhere.", "x" * 70 + ".good.", None]
+    got = {r.domain: r for r in analysis.registration(live.lookups(frame(spark, asked, "domain string"), first="127.0.0.1", rate=50.0, port=port, timeout=0.4)).collect()}
+    assert {d: (r.status, r.tries, r.registered) for d, r in got.items()} == {
+        "free.good.": ("answered", 1, False), "a.good.": ("answered", 1, True), "b.good.": ("answered", 1, True),
+        "a.slow.": ("timeout", live.TRIES, None), "a.gone.": ("refused", live.TRIES, None), "free.far.": ("answered", 1, False),
+        "a.late.": ("answered", 2, True), "a.nowhere.": ("no server", 0, None), "x" * 70 + ".good.": ("failed", 1, None),
+    }
+    assert sorted(first) == ["far", "gone", "good", "late", "nowhere", "slow"] and sorted(good) == ["a.good", "b.good", "free.far", "free.good"]
+    given = live.lookups(frame(spark, ["a.good."], "domain string"), frame(spark, [("good.", "127.0.0.2")], "tld string, server string"), first="127.0.0.9", port=port)
+    assert [(r.server, r.status) for r in given.collect()] == [("127.0.0.2", "answered")] and len(first) == 6
+
+
+def test_a_server_is_asked_at_its_rate():
+    port, _ = registry("127.0.0.1", 0, lambda d: "Domain Name: TAKEN\n")
+    began = time.monotonic()
+    rows = live.Lane().run([(f"d{i}.com.", "127.0.0.1", 0.1) for i in range(6)], port, 1.0)
+    assert time.monotonic() - began >= 0.5 and [r[2] for r in rows] == ["answered"] * 6
+
+
+def proxy(login=None):
+    """A SOCKS version 5 proxy that relays datagrams and streams; gives its port and the commands that it was given."""
+    link, commands = socket.create_server(("127.0.0.1", 0)), []
+
+    def pump(a, b):
+        while data := a.recv(65536):
+            b.sendall(data)
+        b.shutdown(socket.SHUT_WR)
+
+    def relay(own):
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as inner, socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as outer:
+            inner.bind(("127.0.0.1", 0))
+            own.sendall(b"\5\0\0\1" + bytes(4) + struct.pack(">H", inner.getsockname()[1]))
+            data, client = inner.recvfrom(65536)
+            outer.sendto(data[10:], (socket.inet_ntoa(data[4:8]), struct.unpack(">H", data[8:10])[0]))
+            reply, _ = outer.recvfrom(65536)
+            other = bytes(3) + b"\1" + bytes([9, 9, 9, 9]) + data[8:10]
+            for head in (other, b"\0\0\1" + data[3:10], data[:10]):  # of another server, a piece, and the reply
+                inner.sendto(head + reply, client)
+
+    def serve_one(own):
+        own.recv(own.recv(2)[1])
+        if login:
+            own.sendall(b"\5\2")
+            own.recv(1)
+            name = own.recv(own.recv(1)[0])
+            word = own.recv(own.recv(1)[0])
+            own.sendall(b"\1" + bytes([(name, word) != login]))
+        else:
+            own.sendall(b"\5\0")
+        head = own.recv(10)
+        if len(head) < 10:
+            return
+        commands.append(head[1])
+        if head[1] == 3:
+            relay(own)
+        else:
+            far = socket.create_connection((socket.inet_ntoa(head[4:8]), struct.unpack(">H", head[8:10])[0]))
+            own.sendall(b"\5\0\0\1" + bytes(6))
+            threading.Thread(target=pump, args=(own, far), daemon=True).start()
+            pump(far, own)
+        own.close()
+
+    def run():
+        while True:
+            own, _ = link.accept()
+            threading.Thread(target=serve_one, args=(own,), daemon=True).start()
+
+    threading.Thread(target=run, daemon=True).start()
+    return link.getsockname()[1], commands
+
+
+def test_questions_go_through_a_proxy(monkeypatch):
+    record = b"\xc0\x0c" + struct.pack(">2HIH", 1, 1, 60, 4) + socket.inet_aton("10.0.0.1")
+    link, port = serve(lambda asked: [asked[:2] + struct.pack(">5H", 0x8400, 1, 1, 0, 0) + asked[12:] + record])
+    at, commands = proxy()
+    assert live.ask("a.com.", "127.0.0.1", [live.relay("127.0.0.1", at)], port) == [("a.com.", "127.0.0.1", 0, 0, 0, False, i, "a.com. 60 IN A 10.0.0.1") for i in range(3)]
+    assert commands == [3, 3, 3]
+    at, commands = proxy(login=(b"me", b"word"))
+    assert len(live.ask("a.com.", "127.0.0.1", [live.relay("127.0.0.1", at, "me", "word")], port)) == 3
+    assert live.ask("a.com.", "127.0.0.1", [live.relay("127.0.0.1", at, "me", "wrong")], port)[0][5] and commands == [3, 3, 3]
+    link.close()
+
+
+def test_cut_replies_are_fetched_through_the_proxy():
+    record = b"\xc0\x0c" + struct.pack(">2HIH", 1, 1, 60, 4) + socket.inet_aton("10.0.0.1")
+    link, port = serve(lambda asked: [asked[:2] + struct.pack(">5H", 0x8600, 1, 0, 0, 0) + asked[12:]])
+    whole = socket.create_server(("127.0.0.1", port))
+
+    def run():
+        while True:
+            own, _ = whole.accept()
+            asked = own.recv(4096)[2:]
+            reply = asked[:2] + struct.pack(">5H", 0x8400, 1, 1, 0, 0) + asked[12:] + record
+            own.sendall(struct.pack(">H", len(reply)) + reply)
+            own.close()
+
+    threading.Thread(target=run, daemon=True).start()
+    at, commands = proxy()
+    rows = live.ask("a.com.", "127.0.0.1", [live.relay("127.0.0.1", at)], port)
+    assert [r[7] for r in rows] == ["a.com. 60 IN A 10.0.0.1"] * 3 and commands == [3, 1] * 3
+    link.close()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,16 @@ def available(domains: DataFrame, registered: DataFrame) -> DataFrame:
     return domains.join(registered.select("domain").distinct(), "domain", "left_anti")
 
 
+#: Words by which registries say that a name is not registered.
+UNREGISTERED = ("no match", "not found", "no data found", "no entries found", "status: free", "status: available")
+
+
+def registration(lookups: DataFrame) -> DataFrame:
+    """Adds `registered` to look-ups (status, text): null where there was no answer, so such names count as neither."""
+    free = reduce(Column.__or__, [F.lower("text").contains(x) for x in UNREGISTERED])
+    return lookups.withColumn("registered", F.when(F.col("status") == "answered", ~free))
+
+
 def row_at(rows: DataFrame, key: str, value: int) -> DataFrame:
     """The row with this label in an explicit key column."""
     return rows.where(F.col(key) == value)

@@ -146,6 +146,16 @@ def whois_available(spark, d):
     return analysis.available(z.where("klass = 2").select(F.col("zone").alias("domain")), z.where("zid % 4 = 0").select(F.col("zone").alias("domain")))
 
 
+@query("SELECT zone AS domain, CASE WHEN zid % 7 = 0 THEN 'timeout' ELSE 'answered' END AS status, CASE WHEN zid % 7 <> 0 THEN klass <> 2 END AS registered FROM zones")
+def registration_status(spark, d):
+    """What recorded look-ups say of every zone: zones of class 2 are free, and a server that did not answer says neither."""
+    z = world.zones(spark, d)
+    text = F.when(F.col("klass") == 2, F.concat(F.lit("No match for "), "zone")).otherwise(F.concat(F.lit("Domain Name: "), F.upper("zone")))
+    status = F.when(F.col("zid") % 7 == 0, "timeout").otherwise("answered")
+    said = z.select(F.col("zone").alias("domain"), status.alias("status"), F.when(F.col("zid") % 7 != 0, text).alias("text"))
+    return analysis.registration(said).select("domain", "status", "registered")
+
+
 @query("SELECT zone, zone LIKE '%.example.org.' AS under FROM zones WHERE klass = 4")
 def gov_sld_filter(spark, d):
     z = world.zones(spark, d).withColumn("named", F.when(F.col("klass") == 4, F.concat("octet", F.lit(".9."))).otherwise(F.col("zone")))

@@ -5,12 +5,17 @@ from __future__ import annotations
 import random
 import socket
 import struct
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from zonewalk.functions import names
+from zonewalk.operators.analysis import UNREGISTERED
 from zonewalk.plans.storage import stored
 from zonewalk.sources.readers import RESPONSES
 
@@ -28,6 +33,98 @@ def _direct() -> socket.socket:
     return socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
 
 
+class Relayed:
+    """A way to the network through a SOCKS version 5 proxy, used as a datagram socket that is connected to one server.
+
+    `stream` opens a stream to a server through the same proxy, so nothing goes past it. Pass `relay(...)` as an Open.
+    """
+
+    def __init__(self, host: str, port: int, user: str | None = None, password: str = "") -> None:
+        self.host, self.port, self.user, self.password = host, port, user, password
+        self.link, self.control, self.target = _direct(), None, b""
+
+    def __enter__(self) -> Relayed:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.link.close()
+        if self.control:
+            self.control.close()
+
+    def settimeout(self, seconds: float) -> None:
+        self.link.settimeout(seconds)
+
+    def _asked(self, command: int, target: bytes) -> tuple[socket.socket, tuple[str, int]]:
+        """A connection to the proxy on which `command` was granted, and the address that it gave."""
+        control = socket.create_connection((self.host, self.port), timeout=TIMEOUT_S)
+        try:
+            method = 2 if self.user else 0
+            control.sendall(bytes([5, 1, method]))
+            if _exactly(control, 2) != bytes([5, method]):
+                raise OSError("proxy takes no such login")
+            if self.user:
+                user, word = self.user.encode(), self.password.encode()
+                control.sendall(bytes([1, len(user)]) + user + bytes([len(word)]) + word)
+                if _exactly(control, 2)[1]:
+                    raise OSError("proxy refuses the login")
+            control.sendall(bytes([5, command, 0]) + target)
+            granted = _exactly(control, 4)
+            if granted[1]:
+                raise OSError(f"proxy says {granted[1]}")
+            size = {1: 4, 4: 16}.get(granted[3]) or _exactly(control, 1)[0]
+            where, port = _exactly(control, size), struct.unpack(">H", _exactly(control, 2))[0]
+        except BaseException:
+            control.close()
+            raise
+        name = where.decode() if granted[3] == 3 else socket.inet_ntop(socket.AF_INET if size == 4 else socket.AF_INET6, where)
+        return control, (name, port)
+
+    def connect(self, server: tuple[str, int]) -> None:
+        self.target = _socks_address(*server)
+        self.control, (host, port) = self._asked(3, _socks_address("0.0.0.0", 0))
+        host = self.host if host in ("0.0.0.0", "::") else host
+        family, _, _, _, relay = socket.getaddrinfo(host, port, type=socket.SOCK_DGRAM)[0]
+        if family != self.link.family:
+            seconds = self.link.gettimeout()
+            self.link.close()
+            self.link = socket.socket(family, socket.SOCK_DGRAM)
+            self.link.settimeout(seconds)
+        self.link.connect(relay)
+
+    def send(self, message: bytes) -> None:
+        self.link.send(bytes(3) + self.target + message)
+
+    def recv(self, size: int) -> bytes:
+        """The next datagram of the server; those in pieces or of others are passed over."""
+        head = bytes(3) + self.target
+        while not (data := self.link.recv(size + len(head))).startswith(head):
+            pass
+        return data[len(head) :]
+
+    def stream(self, server: str, port: int) -> socket.socket:
+        return self._asked(1, _socks_address(server, port))[0]
+
+
+def _socks_address(server: str, port: int) -> bytes:
+    kind, family = (4, socket.AF_INET6) if ":" in server else (1, socket.AF_INET)
+    return bytes([kind]) + socket.inet_pton(family, server) + struct.pack(">H", port)
+
+
+def _exactly(link: socket.socket, size: int) -> bytes:
+    data = b""
+    while len(data) < size:
+        part = link.recv(size - len(data))
+        if not part:
+            raise OSError("proxy hung up")
+        data += part
+    return data
+
+
+def relay(host: str, port: int, user: str | None = None, password: str = "") -> Open:
+    """An Open that goes through the SOCKS version 5 proxy at `host`."""
+    return partial(Relayed, host, port, user, password)
+
+
 def question(domain: str, kind: str, number: int) -> bytes:
     """A query message without recursion."""
     name = b"".join(bytes([len(x)]) + x for x in domain.rstrip(".").encode("idna").split(b".") if x)
@@ -68,9 +165,13 @@ def answer(data: bytes) -> tuple[int, list[str]]:
     return flags & 15, sections[0] + sections[2] + sections[1]
 
 
-def _whole(message: bytes, server: str, port: int) -> bytes:
+def _stream(server: str, port: int) -> socket.socket:
+    return socket.create_connection((server, port), timeout=TIMEOUT_S)
+
+
+def _whole(message: bytes, server: str, port: int, stream: Callable[[str, int], socket.socket]) -> bytes:
     """The reply over a stream, where the datagram was cut off."""
-    with socket.create_connection((server, port), timeout=TIMEOUT_S) as link, link.makefile("rb") as reply:
+    with stream(server, port) as link, link.makefile("rb") as reply:
         link.sendall(struct.pack(">H", len(message)) + message)
         size = struct.unpack(">H", reply.read(2))[0]
         data = reply.read(size)
@@ -89,7 +190,8 @@ def exchange(message: bytes, server: str, opens: list[Open], port: int = 53) ->
             data = link.recv(65535)
             if len(data) >= 12 and data[:2] == message[:2] and data[2] & 0x80:
                 break
-    return _whole(message, server, port) if data[2] & 2 else data
+        stream = getattr(link, "stream", _stream)
+    return _whole(message, server, port, stream) if data[2] & 2 else data
 
 
 def ask(domain: str, server: str, opens: list[Open], port: int = 53) -> list[tuple]:
@@ -129,16 +231,28 @@ def fetch(questions: DataFrame, opens: list[Open] | None = None) -> DataFrame:
     return asked.repartition(tasks, "domain", "nameserver").mapInPandas(run, RESPONSES)
 
 
-#: Words by which registries say that a name is not registered.
-UNREGISTERED = ("no match", "not found", "no data found", "no entries found", "status: free", "status: available")
+#: Rows of registration look-ups. status: answered, silent (nothing was said), timeout, refused, failed, or no server.
+LOOKUPS = "domain string, server string, status string, tries int, text string"
+#: Questions a second that a registry's server is sent, and servers that one look-up is sent on to, at most.
+RATE, HOPS = 5.0, 3
+
+
+def said(domain: str, server: str, port: int = 43, timeout: float = TIMEOUT_S) -> str:
+    """What a registration server says of `domain`, all of it within `timeout` seconds of the first word sent."""
+    asked = domain.rstrip(".").encode("idna") + b"\r\n"
+    with socket.create_connection((server, port), timeout=timeout) as link:
+        link.sendall(asked)
+        until, parts = time.monotonic() + timeout, []
+        while part := link.recv(65536):
+            parts.append(part)
+            link.settimeout(max(until - time.monotonic(), 0.001))
+    return b"".join(parts).decode("utf-8", "replace")
 
 
 def whois(domain: str, server: str = "whois.iana.org", port: int = 43) -> bool:
-    """Whether `domain` is registered, by the registry's lookup service; the first server may refer to another."""
-    for _ in range(3):
-        with socket.create_connection((server, port), timeout=TIMEOUT_S) as link:
-            link.sendall(domain.rstrip(".").encode("idna") + b"\r\n")
-            text = b"".join(iter(lambda: link.recv(65536), b"")).decode("utf-8", "replace").lower()
+    """Whether one `domain` is registered, asked from here; the server may refer to another. For many, see `lookups`."""
+    for _ in range(HOPS):
+        text = said(domain, server, port).lower()
         refer = [line.split(":", 1)[1].strip() for line in text.splitlines() if line.startswith("refer:")]
         if not refer:
             return bool(text.strip()) and not any(x in text for x in UNREGISTERED)
@@ -146,11 +260,79 @@ def whois(domain: str, server: str = "whois.iana.org", port: int = 43) -> bool:
     return True
 
 
-def registered(domains: DataFrame, lookup: Callable[[str], bool] = whois) -> DataFrame:
-    """(domain, registered) by a lookup, each domain once."""
+def look_up(domain: str, server: str, pause: Callable[[], None], port: int = 43, timeout: float = TIMEOUT_S) -> tuple:
+    """A row of LOOKUPS. Begun again after a failure, TRIES times in all; `pause` waits for the server's turn before each."""
+    for tries in range(1, TRIES + 1):
+        pause()
+        try:
+            text = said(domain, server, port, timeout)
+        except UnicodeError:  # no such name can be registered
+            return domain, server, "failed", tries, None
+        except OSError as error:
+            status = "timeout" if isinstance(error, TimeoutError) else "refused" if isinstance(error, ConnectionRefusedError) else "failed"
+        else:
+            if text.strip():
+                return domain, server, "answered", tries, text
+            status = "silent"
+    return domain, server, status, TRIES, None
+
+
+class Lane:
+    """Questions to one server, one at a time, `pace` seconds apart."""
+
+    def __init__(self) -> None:
+        self.next = 0.0
+
+    def run(self, rows: list[tuple], port: int, timeout: float) -> list[tuple]:
+        def pause() -> None:
+            time.sleep(max(self.next - time.monotonic(), 0))
+            self.next = time.monotonic() + pace
+
+        out = []
+        for domain, server, pace in rows:
+            out.append(look_up(domain, server, pause, port, timeout))
+        return out
+
+
+def _by_server(questions: DataFrame, rate: float, port: int, timeout: float) -> DataFrame:
+    """LOOKUPS of questions (domain, server). A server's questions go in lanes of PER_TASK, about, that share its rate."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(registered=[lookup(d) for d in frame.domain])
+        lanes: dict[tuple, Lane] = {}
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for frame in frames:
+                groups = [(key, list(zip(g.domain, g.server, g.pace))) for key, g in frame.groupby(["server", "lane"])]
+                parts = pool.map(lambda x: lanes.setdefault(x[0], Lane()).run(x[1], port, timeout), groups)
+                yield pd.DataFrame([r for rows in parts for r in rows], columns=[c.split()[0] for c in LOOKUPS.split(", ")]).astype({"tries": "int32"})
+
+    questions = stored(questions.select("domain", "server"), "lookups")
+    lanes = questions.groupBy("server").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("lanes"))
+    spread = questions.join(lanes, "server").select("domain", "server", F.pmod(F.xxhash64("domain"), "lanes").alias("lane"), (F.col("lanes") / rate).alias("pace"))
+    tasks = max(questions.sparkSession.sparkContext.defaultParallelism, -(-questions.count() // PER_TASK))
+    return stored(spread.repartition(tasks, "server", "lane").mapInPandas(run, LOOKUPS), "looked-up")
 
-    return domains.select("domain").distinct().mapInPandas(run, "domain string, registered boolean")
+
+def lookups(domains: DataFrame, servers: DataFrame | None = None, first: str = "whois.iana.org", rate: float = RATE, port: int = 43, timeout: float = TIMEOUT_S) -> DataFrame:
+    """LOOKUPS of `domains` (domain), one row each: what the registry of the top-level name says, or why it says nothing.
+
+    servers: (tld, server) known already; the server of any other top-level name is asked for at `first`, once for all names
+    under it. Look-ups go to many servers at a time, to each at `rate` a second; a server that stalls or refuses holds up
+    only its own. An answer that refers to another server is asked again there, HOPS times at most. Null names are left out.
+    """
+    refers = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?im)^refer:[ \t]*(\S+)", 1)
+    asked = stored(domains.select("domain").where("domain is not null").distinct().withColumn("tld", names.last_labels(names.labels(names.norm_host(F.col("domain"))), 1)), "domains")
+    known = servers.select("tld", "server") if servers is not None else asked.select("tld", F.lit(None).cast("string").alias("server")).limit(0)
+    unknown = asked.select("tld").where("tld is not null").distinct().join(known, "tld", "left_anti")
+    told = _by_server(unknown.select(F.col("tld").alias("domain"), F.lit(first).alias("server")), rate, port, timeout)
+    known = known.union(told.select(F.col("domain").alias("tld"), refers.alias("server")).where("server <> ''"))
+    known = known.groupBy("tld").agg(F.min("server").alias("server"))
+    routed = stored(asked.join(known, "tld", "left").select("domain", "server"), "routed")
+    lost = routed.where("server is null").select("domain", "server", F.lit("no server").alias("status"), F.lit(0).alias("tries"), F.lit(None).cast("string").alias("text"))
+    done, going = lost, routed.where("server is not null")
+    for hop in range(HOPS):
+        got = _by_server(going, rate, port, timeout).withColumn("to", refers)
+        on = F.lit(hop + 1 < HOPS) & (F.col("to") != "") & (F.col("to") != F.col("server"))
+        done, going = done.union(got.where(~on).drop("to")), got.where(on).select("domain", F.col("to").alias("server"))
+        if going.isEmpty():
+            break
+    return done
