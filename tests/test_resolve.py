@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests import world
 from zonewalk.operators import fetch
@@ -180,3 +181,27 @@ def test_questions_follow_the_answers(spark):
     assert len(questions) == len(set(questions))
     assert {d for d, _ in questions} == {"com.", "ok.com.", "gone.com."}
     assert {(r.query, r.kind) for r in trouble.collect()} == {("gone.com.", "hazardous")}
+
+
+def test_answers_are_kept_from_run_to_run(spark, tmp_path):
+    """gone.com. comes to exist; only its question, and those that follow from its answer, are asked in the second run."""
+    hosts = spark.createDataFrame([("ok.com.",), ("gone.com.",), ("dangling.com.",)], "query string")
+    suffixes, roots = spark.createDataFrame(world.SUFFIXES, "suffix string"), spark.createDataFrame(world.ROOTS, "ns string, ip string")
+    before = world.responses(spark)
+    new = [*world.ns("gone.com.", "ns.gone.com."), world.a("ns.gone.com.", "10.9.0.1")]
+    rows = [(d, s, 0, False, i, line) for d, s in (("gone.com.", world.COM), ("gone.com.", "10.9.0.1")) for i, line in enumerate(new)]
+    after = before.where("domain <> 'gone.com.'").unionByName(spark.createDataFrame(rows, world.SCHEMA))
+    changed = fetch.changed(before.withColumns({c: F.lit(None).cast("int") for c in fetch.CODES[1:3]}), after.withColumns({c: F.lit(None).cast("int") for c in fetch.CODES[1:3]}))
+    assert {(r.domain, r.nameserver) for r in changed.collect()} == {("gone.com.", world.COM), ("gone.com.", "10.9.0.1")}
+    R.resolve(hosts, before, suffixes, roots).answers.write(str(tmp_path / "kept"))
+    kept, asked = R.Answers.read(spark, str(tmp_path / "kept")), []
+
+    def port(questions):
+        asked.extend((r.domain, r.nameserver) for r in questions.collect())
+        return fetch.table_port(after)(questions)
+
+    known = {(r.domain, r.nameserver) for r in kept.questions.collect()}
+    done = R.resolve(hosts, port, suffixes, roots, kept=kept.without(changed))
+    assert ("gone.com.", world.COM) in asked and not set(asked) & (known - {("gone.com.", world.COM)})
+    rows_of = lambda frames: [sorted(map(str, f.collect())) for f in frames]
+    assert rows_of(R.told(hosts, done, suffixes)) == rows_of(R.reports(hosts, after, suffixes, roots))

@@ -33,6 +33,13 @@ def table_port(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda questions: responses.join(questions, ["domain", "nameserver"], "left_semi")
 
 
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(domain, nameserver) whose recorded answers differ, or stand in one table only."""
+    said = lambda rows: rows.groupBy("domain", "nameserver").agg(F.array_sort(F.collect_list(F.struct("seq", "rr_text", *CODES))).alias("said"))
+    both = said(before).withColumnRenamed("said", "was").join(said(after), ["domain", "nameserver"], "full")
+    return both.where(~F.col("was").eqNullSafe(F.col("said"))).select("domain", "nameserver")
+
+
 def is_nxdomain(rcode: Column, timeout: Column) -> Column:
     return ~F.coalesce(timeout, F.lit(False)) & F.coalesce(rcode == NXDOMAIN, F.lit(False))
 

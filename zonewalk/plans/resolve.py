@@ -39,12 +39,33 @@ NAME = ["name", "who"]
 STATE = [*NAME, "pass"]
 
 
+@dataclass
+class Answers:
+    """What a port said: questions with the summary of their answer, and the records in it. Kept from run to run."""
+
+    questions: DataFrame
+    records: DataFrame
+
+    def without(self, changed: DataFrame) -> Answers:
+        """All but what was said to `changed` (domain, nameserver)."""
+        gone = changed.select(*QUESTION).distinct()
+        return Answers(self.questions.join(gone, QUESTION, "left_anti"), self.records.join(gone.toDF("answer", "ip"), ["answer", "ip"], "left_anti"))
+
+    def write(self, path: str) -> None:
+        self.questions.write.mode("overwrite").parquet(f"{path}/questions")
+        self.records.write.mode("overwrite").parquet(f"{path}/records")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Answers:
+        return Answers(spark.read.parquet(f"{path}/questions"), spark.read.parquet(f"{path}/records"))
+
+
 @dataclass
 class Resolution:
     """visited: names with their suffix split; asked: questions with their outcome; auth: servers with addresses by state;
 
     found: nameservers named by state; used: records that counted; needs: nameservers that a name waits for; origins: who
-    each origin asks as.
+    each origin asks as; answers: what the port said, for the next run.
     """
 
     visited: DataFrame
@@ -54,6 +75,7 @@ class Resolution:
     used: DataFrame
     needs: DataFrame
     origins: DataFrame
+    answers: Answers
     compat: bool
 
 
@@ -64,11 +86,14 @@ def _chain(origins: DataFrame) -> DataFrame:
 
 
 class Asked:
-    """What a port was asked and what it said: the memo of a resolution."""
+    """What a port was asked and what it said, in earlier runs too (`kept`): the memo of a resolution."""
 
-    def __init__(self, spark: SparkSession, port: Port, compat: bool) -> None:
+    def __init__(self, spark: SparkSession, port: Port, compat: bool, kept: Answers | None = None) -> None:
         self.port, self.compat = port, compat
         self.answers, self.records = Growing(spark, "answers"), Growing(spark, "records")
+        if kept:
+            self.answers.add(kept.questions)
+            self.records.add(kept.records)
 
     def ask(self, questions: DataFrame) -> None:
         """Ask those of `questions` (domain, nameserver) that were not asked before."""
@@ -122,15 +147,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False) -> Resolution:
+def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False, kept: Answers | None = None) -> Resolution:
     """Resolve `hosts` (query) with responses (readers.RESPONSES, or a port that is asked for them) and roots (ns, ip).
 
+    kept: answers of an earlier run with the same `compat`, without those that no longer hold: the port is asked for what
+    they lack, and what they say too much has no effect.
+
     compat: owners match as substrings, records of one response with the same data collapse, and a query with addresses
     but no nameservers is not its own nameserver. Blank names and the root name are skipped. Raises RuntimeError if
     there is no fixed point in MAX_ROUNDS rounds.
     """
     spark, suffixes = hosts.sparkSession, prepared(suffixes)
-    memo = Asked(spark, fetch.table_port(responses) if isinstance(responses, DataFrame) else responses, compat)
+    memo = Asked(spark, fetch.table_port(responses) if isinstance(responses, DataFrame) else responses, compat, kept)
     shared = Shared(spark, memo)
     root = roots.orderBy("ns", "ip").first()  # the choice of a root server is the first by name
     origins, visited, asked, used, told, auth, needs, reused = (Growing(spark, n) for n in ("origins", "visited", "asked", "used", "told", "auth", "needs", "reused"))
@@ -205,7 +233,7 @@ def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame |
             walks = stored(origins.all().groupBy("origin").agg(F.max("who").alias("who")), "walks")
             walked = stored(_chain(walks).select(*NAME).distinct(), "walked")
             of_walks = lambda rows: rows.join(walked, NAME, "left_semi")
-            return Resolution(visited.all(), of_walks(asked.all()), auth.all(), told.all().where("name is not null").select(*STATE, "ns"), used.all(), of_walks(needs.all()), walks, compat)
+            return Resolution(visited.all(), of_walks(asked.all()), auth.all(), told.all().where("name is not null").select(*STATE, "ns"), used.all(), of_walks(needs.all()), walks, Answers(memo.answers.all(), memo.records.all()), compat)
     raise RuntimeError(f"no fixed point in {MAX_ROUNDS} rounds")
 
 

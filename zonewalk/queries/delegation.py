@@ -535,6 +535,22 @@ def demand_fetch(spark, d):
     return _found_by_host(facts, trouble).withColumns({"asked_again": F.lit(int(again)), "in_vain": F.lit(int(vain))})
 
 
+@query(f"{world.later_sql(7)} {REPORT.replace('AS found FROM', 'AS found, 0 AS asked_again FROM')}", plain=True)
+def reresolve(spark, d):
+    """The report of every host after a seventh of the zones went, with the answers of the run before that still hold.
+
+    asked_again: questions of the second run that the first one had an answer to which still holds.
+    """
+    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
+    rules, roots, log = suffix.prepared(world.suffixes(spark)), readers.root_hints(spark), Growing(spark, "asked-of-port")
+    before, after = world.responses(spark, d), world.responses(spark, d, gone=7)
+    kept = resolve.resolve(hosts, before, rules, roots).answers.without(fetch.changed(before, after))
+    answers = fetch.table_port(after)
+    done = resolve.resolve(hosts, lambda questions: answers(log.add(questions)), rules, roots, kept=kept)
+    again = log.all().join(kept.questions, ["domain", "nameserver"], "left_semi").count()
+    return _found_by_host(*resolve.told(hosts, done, rules)).withColumn("asked_again", F.lit(int(again)))
+
+
 def _codes(q: Column) -> Column:
     return F.concat_ws(":", q.getField("nameserver"), *[q.getField("rcodes").getField(t).cast("string") for t in report.RECORD_TYPES])
 

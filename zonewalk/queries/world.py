@@ -36,10 +36,11 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).withColumn("zone", zone)
 
 
-def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(zone, zid, klass, octet, next): next is set for class 5."""
+def zones(spark: SparkSession, sf_dir: str, gone: int | None = None) -> DataFrame:
+    """(zone, zid, klass, octet, next): next is set for class 5. Zones whose number `gone` divides no longer exist (class 2)."""
+    klass = F.col("zid") % 6 if gone is None else F.when(F.col("zid") % gone == 0, 2).otherwise(F.col("zid") % 6)
     first = hosts(spark, sf_dir).where("zone <> ''").groupBy("zone").agg(F.min("page_id").alias("zid"))
-    out = first.select("zone", "zid", (F.col("zid") % 6).alias("klass"), F.concat(F.lit("10."), F.floor(F.col("zid") / 256).cast("string"), F.lit("."), (F.col("zid") % 256).cast("string")).alias("octet"))
+    out = first.select("zone", "zid", klass.alias("klass"), F.concat(F.lit("10."), F.floor(F.col("zid") / 256).cast("string"), F.lit("."), (F.col("zid") % 256).cast("string")).alias("octet"))
     ring = Window.partitionBy("klass", F.floor(F.col("zid") / RING)).orderBy("zid")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return out.withColumn("next", F.when(F.col("klass") == 5, F.coalesce(F.lead("zone").over(ring), F.first("zone").over(whole))))
@@ -50,9 +51,9 @@ def _line(owner: Column | str, kind: str, data: Column | str) -> Column:
     return F.concat(as_column(owner), F.lit(f" 3600 IN {kind} "), as_column(data))
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str, gone: int | None = None) -> DataFrame:
     """All answers of the world as readers.RESPONSES."""
-    z, zone, octet = zones(spark, sf_dir), F.col("zone"), F.col("octet")
+    z, zone, octet = zones(spark, sf_dir, gone), F.col("zone"), F.col("octet")
     ns1, ns2, klass = F.concat(F.lit("ns1."), zone), F.concat(F.lit("ns2."), zone), F.col("klass")
     none = F.array().cast("array<string>")
     two = F.array(_line(zone, "NS", ns1), _line(zone, "NS", ns2), _line(ns1, "A", F.concat(octet, F.lit(".1"))), _line(ns2, "A", F.concat(octet, F.lit(".2"))))
@@ -125,3 +126,8 @@ WITH RECURSIVE hosts AS (
   SELECT domain, nameserver, count(rr_text) AS n, max(rcode) AS rcode, bool_or(rcode = 3) AS nx FROM responses GROUP BY domain, nameserver
 )
 """
+
+
+def later_sql(gone: int) -> str:
+    """SQL of the world when zones whose number `gone` divides no longer exist."""
+    return SQL.replace("min(page_id) % 6 AS klass", f"CASE WHEN min(page_id) % {gone} = 0 THEN 2 ELSE min(page_id) % 6 END AS klass")
