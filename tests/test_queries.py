@@ -8,7 +8,7 @@ from zonewalk.queries import delegation
 
 SF = "/root/testdata/sf0.001"
 #: Whole resolutions, minutes each; the rows of demand_fetch are those of full_report with two counts.
-SLOW = {"report_row", "reuse_all_servers", "demand_fetch", "reresolve"}
+SLOW = {"report_row", "reuse_all_servers", "demand_fetch", "reresolve", "limited_report"}
 
 
 def canonical(rows, columns):

@@ -5,6 +5,7 @@ from tests import world
 from zonewalk.operators import fetch
 from zonewalk.operators.report import report
 from zonewalk.plans import resolve as R
+from zonewalk.sources.readers import TIMED
 
 
 def run(spark, compat=False):
@@ -205,3 +206,38 @@ def test_answers_are_kept_from_run_to_run(spark, tmp_path):
     assert ("gone.com.", world.COM) in asked and not set(asked) & (known - {("gone.com.", world.COM)})
     rows_of = lambda frames: [sorted(map(str, f.collect())) for f in frames]
     assert rows_of(R.told(hosts, done, suffixes)) == rows_of(R.reports(hosts, after, suffixes, roots))
+
+
+def test_walks_over_the_limit_leave_the_frontier(spark):
+    """w.n.com. is over the limit by itself. What n.com. still asks then waits until late.com., which is within it, comes to need n.com.
+
+    both.com. is over it only together with the name that it needs, and unlike w.n.com. was followed to the end.
+    """
+    far, own = "10.8.0.1", "10.8.0.2"
+    told = {
+        ("com.", world.ROOT): world.COM_ANSWER, ("com.", world.COM): world.COM_ANSWER,
+        ("n.com.", world.COM): [*world.ns("n.com.", "ns1.n.com.", "ns.far.com."), world.a("ns1.n.com.", own)],
+        ("n.com.", own): [*world.ns("n.com.", "ns1.n.com.")], ("n.com.", far): world.ns("n.com.", "ns1.n.com."),
+        ("w.n.com.", own): world.ns("w.n.com.", "ns.lost.com."), ("b.n.com.", own): [world.a("b.n.com.", "10.8.0.4")],
+        ("far.com.", world.COM): [*world.ns("far.com.", "x.far.com."), world.a("x.far.com.", "10.8.0.3")],
+        ("ns.far.com.", "10.8.0.3"): [world.a("ns.far.com.", far)],
+        **{(f"{a}.com.", world.COM): world.ns(f"{a}.com.", f"a.{b}.com.") for a, b in (("late", "mid"), ("mid", "more"), ("more", "most"), ("most", "last"), ("both", "late"))},
+        ("last.com.", world.COM): world.ns("last.com.", "b.n.com."), ("lost.com.", world.COM): world.ns("lost.com.", "ns.lost.com."),
+    }
+    seconds = {("w.n.com.", own): 20.0, ("late.com.", world.COM): 6.0, ("both.com.", world.COM): 5.0}
+    rows = [(d, s, 0, 0, 0, False, i, line, seconds.get((d, s))) for (d, s), lines in told.items() for i, line in enumerate(lines)]
+    answers, calls = fetch.table_port(spark.createDataFrame(rows, TIMED)), []
+
+    def port(questions):
+        calls.append({(r.domain, r.nameserver) for r in questions.collect()})
+        return answers(questions)
+
+    hosts = spark.createDataFrame([("w.n.com.",), ("late.com.",), ("both.com.",)], "query string")
+    done = R.resolve(hosts, port, spark.createDataFrame(world.SUFFIXES, "suffix string"), spark.createDataFrame(world.ROOTS, "ns string, ip string"), limit=10.0)
+    asked_in = {q: i for i, c in enumerate(calls) for q in c}
+    assert asked_in[("n.com.", far)] == asked_in[("b.n.com.", own)] > asked_in[("ns.far.com.", "10.8.0.3")] + 1
+    assert ("lost.com.", world.COM) not in asked_in and ("mid.com.", world.COM) in asked_in
+    reach = R.reached(hosts, done)
+    took = {r.query: r.seconds for r in R.spent(reach, done).collect()}
+    assert took == {"w.n.com.": 20.0, "late.com.": 6.0, "both.com.": 11.0}
+    assert [r.query for r in R.within(hosts, reach, done, 10.0).collect()] == ["late.com."]

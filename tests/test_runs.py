@@ -6,8 +6,10 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from zonewalk.operators import analysis
+from tests import world
+from zonewalk.operators import analysis, fetch
 from zonewalk.plans import batch
 from zonewalk.plans.closure import reachable
 from zonewalk.plans.components import on_cycles, strong_parts
@@ -103,6 +105,23 @@ def test_batch_resumes_and_retries(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/retry").count() == 3
 
 
+def test_hosts_over_their_time_are_tried_again_with_what_was_answered(spark, tmp_path):
+    """gone.com. takes 20 of 10 seconds in the first pass, and none in the second, which has its answer."""
+    asked, answers = [], fetch.table_port(world.responses(spark).withColumn("elapsed", F.expr("if(domain = 'gone.com.', 20D, 1D)")))
+
+    def port(questions):
+        asked.extend(r.domain for r in questions.collect())
+        return answers(questions)
+
+    suffixes, roots = frame(spark, world.SUFFIXES, "suffix string"), frame(spark, world.ROOTS, "ns string, ip string")
+    left = batch.crawl(spark, frame(spark, ["ok.com.", "gone.com."], "query string"), str(tmp_path), batch.reporting(port, suffixes, roots, 10.0))
+    assert left.isEmpty() and asked.count("gone.com.") == 1
+    assert [r.value for r in spark.read.text(f"{tmp_path}/retry").collect()] == ["gone.com."]
+    reports = {r.query: r for r in readers.read_reports(spark, f"{tmp_path}/reports").collect()}
+    assert set(reports) == {"ok.com.", "gone.com."} and reports["ok.com."].ns == ["ns1.ok.com.", "ns2.ok.com."]
+    assert list(reports["gone.com."].hazardous_domains) == ["gone.com."]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "hosts").write_text("a.com\n\nB.com.\n")
     assert [r.query for r in readers.read_hosts(spark, str(tmp_path / "hosts")).collect()] == ["a.com", "B.com."]

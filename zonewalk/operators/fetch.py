@@ -53,15 +53,18 @@ def last_attempt(attempts: DataFrame, keys: list[str], attempt: str, values: lis
 def summaries(responses: DataFrame) -> DataFrame:
     """Per (domain, nameserver): how many records it gave, whether it says that the name does not exist, and its codes.
 
-    The NS question's code says whether a name exists. Tables without codes of the other questions have null for them.
+    The NS question's code says whether a name exists. Tables without codes of the other questions have null for them, and
+    without `elapsed`, the seconds that an answer took, no answer takes any.
     """
+    elapsed = F.col("elapsed").cast("double") if "elapsed" in responses.columns else F.lit(0.0)
     codes = [F.max(c if c in responses.columns else F.lit(None).cast("int")).alias(c) for c in CODES[:3]]
     return responses.groupBy("domain", "nameserver").agg(
-        F.count("rr_text").alias("n"), F.bool_or(is_nxdomain(F.col("rcode"), F.col("timeout"))).alias("nx"), *codes, F.bool_or(F.coalesce("timeout", F.lit(False))).alias("timeout")
+        F.count("rr_text").alias("n"), F.bool_or(is_nxdomain(F.col("rcode"), F.col("timeout"))).alias("nx"), *codes, F.bool_or(F.coalesce("timeout", F.lit(False))).alias("timeout"),
+        F.coalesce(F.max(elapsed), F.lit(0.0)).alias("elapsed"),
     )
 
 
-def over_limit(spent: DataFrame, key: str, seconds: str, limit: float) -> DataFrame:
+def over_limit(spent: DataFrame, key: str | list[str], seconds: str, limit: float) -> DataFrame:
     """(key) whose questions took over `limit` seconds in all: their pass has failed."""
     return spent.groupBy(key).agg(F.sum(seconds).alias("_s")).where(F.col("_s") > limit).select(key)
 

@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonewalk.functions.suffix import Rules, prepared
+from zonewalk.operators.report import report
+from zonewalk.plans import resolve
 from zonewalk.sources import readers
 
+#: Seconds that the questions of one host may take in all.
+HOST_SECONDS = 60.0
+
 
 def pending(hosts: DataFrame, done: DataFrame) -> DataFrame:
     """Hosts (query) without a finished report."""
@@ -48,3 +54,23 @@ def crawl(spark: SparkSession, hosts: DataFrame, target: str, step: Callable[[Da
             break
         write_retries(left, f"{target}/retry")
     return left
+
+
+def reporting(port: DataFrame | resolve.Port, suffixes: DataFrame | Rules, roots: DataFrame, limit: float | None = HOST_SECONDS, compat: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A step for `crawl`: reports of the hosts whose questions took `limit` seconds at most in all; the rest have failed.
+
+    What was answered is kept from pass to pass and costs nothing again, so the next pass asks, and is charged for, only what
+    timed out or was not asked before a host was over its limit.
+    """
+    rules, kept = prepared(suffixes), None
+
+    def step(hosts: DataFrame) -> DataFrame:
+        nonlocal kept
+        done = resolve.resolve(hosts, port, rules, roots, compat, kept, limit)
+        kept = done.answers.without(done.answers.questions.where("timeout"))
+        reach = resolve.reached(hosts, done)
+        through = hosts if limit is None else readers.stored(resolve.within(hosts, reach, done, limit), "through")
+        facts, trouble = resolve.told(hosts, done, rules, reach)
+        return report(through, *(rows.join(through, "query", "left_semi") for rows in (facts, trouble)))
+
+    return step

@@ -12,6 +12,9 @@ asked once and none that nobody needs. The port is a table of recorded answers o
 An empty answer, a missing one too, is asked again by the whole name of the walk, so there the states of a name differ by
 who asks. When a round meets such an answer, the walks below it ask by their own names; those that are told something leave
 the shared states (`who` is empty) and are walked again under their own name (`who`).
+
+Answers may come with the seconds that they took. A question is asked once but charged to every host that needs it (`spent`).
+With a limit, walks that are over it by themselves leave the frontier: what only they need is not asked.
 """
 
 from __future__ import annotations
@@ -92,7 +95,7 @@ class Asked:
         self.port, self.compat = port, compat
         self.answers, self.records = Growing(spark, "answers"), Growing(spark, "records")
         if kept:
-            self.answers.add(kept.questions)
+            self.answers.add(kept.questions.withColumn("elapsed", F.lit(0.0)))  # no time of this run
             self.records.add(kept.records)
 
     def ask(self, questions: DataFrame) -> None:
@@ -104,7 +107,7 @@ class Asked:
         if self.answers.schema and fresh.isEmpty():
             return
         said = stored(self.port(fresh), "said")
-        self.answers.add(fresh.join(fetch.summaries(said), QUESTION, "left").na.fill({"n": 0, "nx": False, "timeout": True}))
+        self.answers.add(fresh.join(fetch.summaries(said), QUESTION, "left").na.fill({"n": 0, "nx": False, "timeout": True, "elapsed": 0.0}))
         rows = records.tokenise(said.select(*QUESTION, "seq", "rr_text"))
         rows = records.last_wins(rows, QUESTION) if self.compat else rows
         self.records.add(rows.select(F.col("domain").alias("answer"), F.col("nameserver").alias("ip"), F.col("name").alias("owner"), "type", "data"))
@@ -147,12 +150,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False, kept: Answers | None = None) -> Resolution:
+def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame | Rules, roots: DataFrame, compat: bool = False, kept: Answers | None = None, limit: float | None = None) -> Resolution:
     """Resolve `hosts` (query) with responses (readers.RESPONSES, or a port that is asked for them) and roots (ns, ip).
 
     kept: answers of an earlier run with the same `compat`, without those that no longer hold: the port is asked for what
     they lack, and what they say too much has no effect.
 
+    limit: seconds that the questions of one host may take in all (see `within`). Walks over it by themselves are not
+    followed further, as no host that needs them is within it; addresses that only they would have met are not known.
+
     compat: owners match as substrings, records of one response with the same data collapse, and a query with addresses
     but no nameservers is not its own nameserver. Blank names and the root name are skipped. Raises RuntimeError if
     there is no fixed point in MAX_ROUNDS rounds.
@@ -165,7 +171,8 @@ def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame |
     start = hosts.select(names.norm_host(F.col("query")).alias("origin")).where("origin is not null and origin <> '.'").distinct()
     new_origins = origins.add(start.select("origin", F.lit(not compat).alias("is_ns"), F.lit("").alias("who")))
     told.add(roots.select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("who"), F.lit(None).cast("int").alias("pass"), F.lower("ns").alias("ns"), "ip").distinct())
-    new_auth = None
+    new_auth = over = None
+    held = Growing(spark, "held")
     for _ in range(MAX_ROUNDS):
         # Names not visited yet, with their split.
         fresh = _chain(new_origins.select("origin", "who")).select("name", "who", "parent", (F.col("depth") == 1).alias("top")).distinct()
@@ -178,10 +185,14 @@ def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame |
         below = lambda children, known: children.select(*NAME, "parent").join(known.where("pass = 1").select(F.col("name").alias("parent"), "who", "ns", "ip"), ["parent", "who"]).select(*NAME, F.lit(0).alias("pass"), "ns", "ip")
         if new_auth is not None:
             servers += [new_auth.where("pass = 0").select(*NAME, F.lit(1).alias("pass"), "ns", "ip"), below(every, new_auth), below(new_names, auth.all())]
-        serving = _union(servers).distinct()
+        serving = _union([*servers, held.all()] if held.schema else servers).distinct()
         if asked.schema:
             serving = serving.join(asked.all().select(*STATE, "ns", "ip"), [*STATE, "ns", "ip"], "left_anti")
         serving = stored(serving, "serving")
+        if over is not None:  # what a later walk within the limit comes to need is asked then
+            live = _live(origins.all(), over)
+            held.add(serving.join(live, NAME, "left_anti"))
+            serving = stored(serving.join(live, NAME, "left_semi"), "serving")
         memo.ask(serving.select(F.col("name").alias("domain"), F.col("ip").alias("nameserver")))
         if shared.left.schema:
             again = memo.silent(serving.where("who not in ('', name)"))
@@ -189,6 +200,9 @@ def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame |
         leaving = shared.leaving(serving, new_origins, origins.all())
         original = F.when(F.col("who") == "", F.col("name")).otherwise(F.col("who")).alias("original")
         now = asked.add(fetch.outcomes(serving.select("*", original), memo.answers.all()))
+        if limit is not None:
+            over = stored(_over(origins.all(), asked.all(), memo.answers.all(), limit), "over")
+            over = None if over.isEmpty() else over
         in_answer = memo.records.all()
         # Records that count, and the nameservers and addresses in them.
         own = now.where("answer is not null").select(*STATE, "answer", "ip").distinct()
@@ -217,6 +231,7 @@ def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame |
         bare = bare.select(*NAME, "ns").distinct().join(every.where("not top").select(*NAME, F.col("registrable").alias("from")), NAME)
         wanted = with_suffix(bare, "ns", suffixes).where(records.out_of_bailiwick(F.col("registrable"), F.col("from"))).select(*NAME, "from", "ns", "registrable")
         wanted = needs.add(wanted.join(needs.all(), [*NAME, "ns"], "left_anti") if needs.schema else wanted)
+        wanted = wanted if over is None else needs.all().join(_live(origins.all(), over), NAME, "left_semi")
         starts = wanted.select(F.col("ns").alias("origin"), F.lit(True).alias("is_ns")).distinct().join(origins.all().where("is_ns"), "origin", "left_anti")
         starts = starts.withColumn("who", F.lit(""))
         if leaving is not None:
@@ -237,6 +252,19 @@ def resolve(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame |
     raise RuntimeError(f"no fixed point in {MAX_ROUNDS} rounds")
 
 
+def _over(origins: DataFrame, asked: DataFrame, answers: DataFrame, limit: float) -> DataFrame:
+    """(origin, who) of walks whose own questions took over `limit` seconds."""
+    slow = answers.where("elapsed > 0").select(*QUESTION, "elapsed")
+    questions = asked.select(*NAME, F.col("name").alias("domain"), F.col("ip").alias("nameserver")).distinct()
+    took = questions.join(slow, QUESTION).groupBy(*NAME).agg(F.sum("elapsed").alias("elapsed"))
+    return fetch.over_limit(_chain(origins).join(took, NAME), ["origin", "who"], "elapsed", limit)
+
+
+def _live(origins: DataFrame, over: DataFrame) -> DataFrame:
+    """(name, who) on walks that are not in `over`."""
+    return _chain(origins.join(over, ["origin", "who"], "left_anti").select("origin", "who")).select(*NAME).distinct()
+
+
 def _found(got: DataFrame, used: DataFrame, new_origins: DataFrame, origins: DataFrame, compat: bool) -> DataFrame:
     """Nameservers by state: NS records of the answered name or above it, and names that are nameservers themselves and have an address."""
     named = records.nameservers(got.withColumnRenamed("name", "of").withColumnRenamed("owner", "name"), "answer", not compat).select(F.col("of").alias("name"), "who", "pass", "ns")
@@ -293,6 +321,27 @@ def reached(hosts: DataFrame, done: Resolution) -> DataFrame:
     return stored(reach.join(walks.withColumn("dst", key("origin", "ps")), "dst").select("query", *NAME, "mark").distinct(), "reached")
 
 
+def spent(reach: DataFrame, done: Resolution) -> DataFrame:
+    """(query, seconds): the time of all questions that a query depends on, each once however many of its names ask it.
+
+    A question is charged to all that need it, whoever made it be asked. Those that a walk asked by its own name below a
+    silent server are charged with that name. Queries whose questions took no time are left out.
+    """
+    slow = done.answers.questions.where("elapsed > 0").select(*QUESTION, "elapsed")
+    plain = done.asked.select(*NAME, F.col("name").alias("domain"), F.col("ip").alias("nameserver"))
+    silent = done.asked.where("answer is null or answer <> name").select(*NAME, "ip").distinct()
+    below = _chain(done.origins).where("name <> origin").join(silent, NAME)
+    own = below.select(F.col("origin").alias("name"), "who", F.col("origin").alias("domain"), F.col("ip").alias("nameserver"))
+    questions = plain.union(own).distinct().join(slow, QUESTION)
+    each = reach.select("query", *NAME).distinct().join(questions, NAME).groupBy("query", *QUESTION).agg(F.max("elapsed").alias("elapsed"))
+    return each.groupBy("query").agg(F.sum("elapsed").alias("seconds"))
+
+
+def within(hosts: DataFrame, reach: DataFrame, done: Resolution, limit: float) -> DataFrame:
+    """The `hosts` (query) whose questions took `limit` seconds at most in all; the rest have failed."""
+    return hosts.join(fetch.over_limit(spent(reach, done), "query", "seconds", limit), "query", "left_anti")
+
+
 def attributed(reach: DataFrame, rows: DataFrame) -> DataFrame:
     """`rows` of names (name, who, ...) for each query that depends on them: (query, ..., mark); the name stays."""
     return reach.join(rows, NAME).drop("who").distinct()
@@ -309,8 +358,8 @@ def reports(hosts: DataFrame, responses: DataFrame | Port, suffixes: DataFrame |
     return told(hosts, resolve(hosts, responses, suffixes, roots, compat), suffixes)
 
 
-def told(hosts: DataFrame, done: Resolution, suffixes: DataFrame | Rules) -> tuple[DataFrame, DataFrame]:
-    """What `reports` gives, of a finished resolution of `hosts`."""
-    bad, reach = stored(problems(done), "problems"), reached(hosts, done)
+def told(hosts: DataFrame, done: Resolution, suffixes: DataFrame | Rules, reach: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What `reports` gives, of a finished resolution of `hosts`; `reach`: what `reached` gives of them, if it is there already."""
+    bad, reach = stored(problems(done), "problems"), reached(hosts, done) if reach is None else reach
     trouble = attributed(reach, bad).select("query", "kind", "name", "nameserver", *fetch.CODES).distinct()
     return host_facts(reach, facts(done, suffixes, bad)), trouble

@@ -551,6 +551,23 @@ def reresolve(spark, d):
     return _found_by_host(*resolve.told(hosts, done, rules)).withColumn("asked_again", F.lit(int(again)))
 
 
+#: Seconds that a host may take in the world, where the registry takes zid % 50 seconds to answer for a zone and others take none.
+HOST_SECONDS = 45
+TIMED = f"""SELECT DISTINCT host AS query FROM hosts JOIN (
+  SELECT zone, CASE WHEN klass = 5 THEN sum(zid % 50) OVER (PARTITION BY klass, CAST(floor(zid / {world.RING}) AS BIGINT)) ELSE zid % 50 END AS seconds FROM zones
+) USING (zone) WHERE seconds > {HOST_SECONDS}"""
+
+
+@query(TIMED)
+def limited_report(spark, d):
+    """Hosts that took over the limit in a resolution that gives up on walks over it; a host of a ring is charged for all of the ring."""
+    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
+    took = world.zones(spark, d).select(F.col("zone").alias("domain"), F.lit(world.REGISTRY_IP).alias("nameserver"), (F.col("zid") % 50).cast("double").alias("elapsed"))
+    answers = world.responses(spark, d).join(took, ["domain", "nameserver"], "left")
+    done = resolve.resolve(hosts, answers, world.suffixes(spark), readers.root_hints(spark), limit=HOST_SECONDS)
+    return fetch.over_limit(resolve.spent(resolve.reached(hosts, done), done), "query", "seconds", HOST_SECONDS)
+
+
 def _codes(q: Column) -> Column:
     return F.concat_ws(":", q.getField("nameserver"), *[q.getField("rcodes").getField(t).cast("string") for t in report.RECORD_TYPES])
 

@@ -29,6 +29,8 @@ SUMMARIES = f"array<struct<nameserver:string,rcodes:{RCODES}>>"
 SETS = ", ".join(f"{p}{c} array<string>" for p in ("", "ps_") for c in ("ns", "ipv4", "ipv6", "tld", "sld"))
 REPORT = f"query string, misconfigured_domains map<string,map<string,{SUMMARIES}>>, hazardous_domains map<string,{SUMMARIES}>, {SETS}"
 RESPONSES = "domain string, nameserver string, rcode int, rcode_a int, rcode_aaaa int, timeout boolean, seq int, rr_text string"
+#: The same with the seconds that each answer took.
+TIMED = f"{RESPONSES}, elapsed double"
 
 
 def root_hints(spark: SparkSession) -> DataFrame:
@@ -51,7 +53,8 @@ def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESPONSES).parquet(path)
+    """Recorded answers; those recorded without their time have none (null)."""
+    return spark.read.schema(TIMED).parquet(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
