@@ -13,7 +13,7 @@ from zonewalk.operators import analysis, fetch
 from zonewalk.plans import batch
 from zonewalk.plans.closure import reachable
 from zonewalk.plans.components import on_cycles, strong_parts
-from zonewalk.sources import live, readers
+from zonewalk.sources import live, readers, table
 from zonewalk.streaming.hosts import crawl_stream, host_stream
 
 
@@ -186,6 +186,40 @@ def test_replies_to_other_questions_are_passed_over():
     link.close()
 
 
+def test_recorded_answers_are_read_by_name(spark, tmp_path):
+    rows = world.responses(spark).withColumns({c: F.lit(None).cast("int") for c in fetch.CODES[1:3]})
+    table.write_responses(rows, str(tmp_path / "recorded"))
+    said = lambda **named: table.dns_responses(spark, str(tmp_path / "recorded"), **named)
+    columns = ["domain", "nameserver", "rcode", "timeout", "seq", "rr_text"]
+    flat = lambda df: sorted(map(str, df.select(*columns).collect()))
+    every, of_com, of_two = said(), said(nameservers=[world.COM]), said(nameservers=[world.COM, world.UK])
+    assert flat(every) == flat(rows)
+    assert flat(of_com) == flat(rows.where(f"nameserver = '{world.COM}'"))
+    assert flat(of_two.where("domain <> 'ok.com.'")) == flat(rows.where(f"nameserver in ('{world.COM}', '{world.UK}') and domain <> 'ok.com.'"))
+    assert flat(said(domains=["ok.com."], nameservers=["10.1.0.2"])) == flat(rows.where("domain = 'ok.com.' and nameserver = '10.1.0.2'"))
+    assert flat(said(types=["AAAA"])) == flat(rows.where("rr_text like '% IN AAAA %'"))
+    assert said(nameservers=["none"]).isEmpty() and said(domains=[]).isEmpty()
+    assert flat(of_com.union(every).union(of_two.where("type = 'NS'"))) == sorted(flat(of_com) + flat(every) + flat(of_two.where("type = 'NS'")))
+    assert of_com.rdd.getNumPartitions() < every.rdd.getNumPartitions()
+
+
+def test_servers_are_asked_for_what_is_named(spark):
+    record = b"\xc0\x0c" + struct.pack(">2HIH", 1, 1, 60, 4) + socket.inet_aton("10.0.0.1")
+    asked = []
+
+    def replies(data):
+        asked.append(data[12:-4])
+        return [data[:2] + struct.pack(">5H", 0x8400, 1, 1, 0, 0) + data[12:] + record]
+
+    link, port = serve(replies)
+    got = table.dns_responses(spark, domains=["a.com.", "b.com."], nameservers=["127.0.0.1"], types=["A"], port=port).collect()
+    assert sorted((r.domain, r.seq, r.rr_text) for r in got) == [(f"{x}.com.", i, f"{x}.com. 60 IN A 10.0.0.1") for x in "ab" for i in range(3)]
+    assert len(asked) == 6 and all(r.elapsed > 0 and not r.timeout for r in got)
+    with pytest.raises(Exception, match="must be named"):
+        table.dns_responses(spark, domains=["a.com."]).collect()
+    link.close()
+
+
 def test_ask_gives_a_timeout_row_after_all_tries(monkeypatch):
     monkeypatch.setattr(live, "TIMEOUT_S", 0.05)
     assert live.ask("a.com.", "127.0.0.1", [live._direct]) == [("a.com.", "127.0.0.1", None, None, None, True, 0, None)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zonewalk.functions.suffix import Rules, prepared
 from zonewalk.operators.report import report
 from zonewalk.plans import resolve
+from zonewalk.plans.storage import exists
 from zonewalk.sources import readers
 
 #: Seconds that the questions of one host may take in all.
@@ -41,11 +42,8 @@ def crawl(spark: SparkSession, hosts: DataFrame, target: str, step: Callable[[Da
     """
     left = hosts.select("query").distinct()
     for _ in range(passes):
-        try:
+        if exists(spark, f"{target}/reports"):
             left = pending(left, readers.read_reports(spark, f"{target}/reports"))
-        except Exception as error:  # no report yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         left = readers.stored(left, "asked")
         done = readers.stored(step(left), "pass")
         readers.write_reports(done, f"{target}/reports")

@@ -16,7 +16,7 @@ from zonewalk.plans.components import on_cycles, strong_parts
 from zonewalk.plans.storage import Growing, shared_dir
 from zonewalk.queries import world
 from zonewalk.queries.world import SQL
-from zonewalk.sources import readers
+from zonewalk.sources import readers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,6 +273,15 @@ def rr_fetch_join(spark, d):
     return fetch.recorded(asked, world.responses(spark, d)).select("domain", "nameserver", "rcode", "seq", "rr_text")
 
 
+@query(f"SELECT domain, nameserver, seq, rr_text FROM responses WHERE {PARENT} AND domain IN (SELECT zone FROM zones) AND rr_text LIKE '% IN NS %'")
+def recorded_source(spark, d):
+    """The registry's NS records for the zones, read through the data source, which opens that server's bucket alone."""
+    where = f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}"
+    table.write_responses(world.responses(spark, d), where)
+    said = table.dns_responses(spark, where, nameservers=[world.REGISTRY_IP], types=["NS"])
+    return said.join(fetch.distinct_questions(_questions(spark, d)), ["domain", "nameserver"], "left_semi").select("domain", "nameserver", "seq", "rr_text")
+
+
 @query(f"SELECT zone AS domain, '{world.REGISTRY_IP}' AS nameserver FROM zones")
 def query_dedupe(spark, d):
     return fetch.distinct_questions(_questions(spark, d))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from zonewalk.functions import names
 from zonewalk.operators.analysis import UNREGISTERED
 from zonewalk.plans.storage import stored
-from zonewalk.sources.readers import TIMED
+from zonewalk.sources.readers import RESPONSES, TIMED
 
 TIMEOUT_S, TRIES = 2.0, 3
 #: Questions that a task has open at a time, and questions of a task, about: a silent server holds up no other.
@@ -213,28 +213,33 @@ def ask(domain: str, server: str, opens: list[Open], port: int = 53) -> list[tup
     return []
 
 
-def fetch(questions: DataFrame, opens: list[Open] | None = None) -> DataFrame:
-    """Live answers to distinct questions (domain, nameserver), as readers.TIMED. `opens`: ways to the network, one drawn per message.
+def timed_ask(domain: str, server: str, opens: list[Open] | None = None, port: int = 53) -> list[tuple]:
+    """Rows of readers.TIMED: those of `ask`, with the seconds that they took."""
+    begun = time.monotonic()
+    rows = ask(domain, server, opens or [_direct], port)
+    took = time.monotonic() - begun
+    return [(*r, took) for r in rows]
+
+
+def fetch(questions: DataFrame, opens: list[Open] | None = None, timed: bool = False) -> DataFrame:
+    """Live answers to distinct questions (domain, nameserver), as readers.RESPONSES, or readers.TIMED if `timed`. `opens`: ways to the network, one drawn per message.
 
     Questions are spread over tasks by their number, and a task has many open at a time.
     """
 
-    def timed(asked: tuple[str, str]) -> list[tuple]:
-        begun = time.monotonic()
-        rows = ask(*asked, opens or [_direct])
-        took = time.monotonic() - begun
-        return [(*r, took) for r in rows]
+    schema = TIMED if timed else RESPONSES
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(AT_ONCE) as pool:
             for frame in frames:
-                rows = [r for got in pool.map(timed, zip(frame.domain, frame.nameserver)) for r in got]
+                rows = [r for got in pool.map(lambda q: timed_ask(*q, opens), zip(frame.domain, frame.nameserver)) for r in got]
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in TIMED.split(", ")])
-                yield out.astype({c: "Int32" for c in ("rcode", "rcode_a", "rcode_aaaa", "seq")})
+                yield out.astype({c: "Int32" for c in ("rcode", "rcode_a", "rcode_aaaa", "seq")})[columns]
 
     asked = stored(questions.select("domain", "nameserver").distinct(), "questions")
     tasks = max(asked.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // PER_TASK))
-    return asked.repartition(tasks, "domain", "nameserver").mapInPandas(run, TIMED)
+    return asked.repartition(tasks, "domain", "nameserver").mapInPandas(run, schema)
 
 
 #: Rows of registration look-ups. status: answered, silent (nothing was said), timeout, refused, failed, or no server.
