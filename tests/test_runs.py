@@ -234,6 +234,12 @@ def test_fetch_asks_each_question_once(spark):
     assert got.columns == [c.split()[0] for c in readers.RESPONSES.split(", ")]
 
 
+def test_fetch_tells_the_time_of_each_answer(spark):
+    got = live.fetch(frame(spark, [("a.com.", "127.0.0.1")], "domain string, nameserver string"), timed=True)
+    assert [f.name for f in got.schema] == [c.split()[0] for c in readers.TIMED.split(", ")]
+    assert all(r.elapsed >= 0 for r in got.collect())
+
+
 def test_whois_lookup():
     link = socket.create_server(("127.0.0.1", 0))
 
