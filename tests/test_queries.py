@@ -2,8 +2,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
 
 import __spark_entry__
+from zonewalk.operators import fetch
 from zonewalk.queries import delegation
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +30,31 @@ def test_same_as_sql(spark, name):
     assert canonical(got, columns) == canonical(want, columns)
 
 
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["reuse_all_servers", "full_report", "report_row", "demand_fetch", "limited_report"])
+def test_resolutions_do_not_read_the_pages_again(spark, monkeypatch, name):
+    """Hosts and answers that a resolution reads in every round come from what was written of the pages, not from the pages."""
+    given, table_port = [], fetch.table_port
+
+    def port(responses):
+        given.append(responses)
+        return table_port(responses)
+
+    def stop(hosts, responses, *args, **kwargs):
+        given.extend(x for x in (hosts, responses) if isinstance(x, DataFrame))
+        raise Stop
+
+    monkeypatch.setattr(fetch, "table_port", port)
+    monkeypatch.setattr(delegation.resolve, "resolve", stop)
+    with pytest.raises(Stop):
+        delegation.QUERIES[name](spark, SF)
+    assert len(given) == 2 and all(frame.inputFiles() and not any("pages.parquet" in f for f in frame.inputFiles()) for frame in given)
+
+
 def test_entry(spark):
     if os.path.isdir(SF):
         assert __spark_entry__.entry(spark).count() > 0

@@ -184,6 +184,21 @@ def test_questions_follow_the_answers(spark):
     assert {(r.query, r.kind) for r in trouble.collect()} == {("gone.com.", "hazardous")}
 
 
+def test_a_port_derives_its_table_once(spark):
+    """The recorded answers are derived once, however often the port is asked."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(domain):
+        read.add(1)
+        return domain
+
+    answers = world.responses(spark)
+    port = fetch.table_port(answers.withColumn("domain", noted("domain")))
+    questions = answers.select("domain", "nameserver").distinct()
+    assert port(questions).count() == port(questions).count() == answers.count() == read.value
+
+
 def test_answers_are_kept_from_run_to_run(spark, tmp_path):
     """gone.com. comes to exist; only its question, and those that follow from its answer, are asked in the second run."""
     hosts = spark.createDataFrame([("ok.com.",), ("gone.com.",), ("dangling.com.",)], "query string")

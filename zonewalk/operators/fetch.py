@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonewalk.plans.storage import stored
+
 NXDOMAIN = 3
 #: What is kept of a response's codes: those of the NS, A and AAAA questions, and whether it was given up.
 CODES = ("rcode", "rcode_a", "rcode_aaaa", "timeout")
@@ -29,7 +31,11 @@ def recorded(questions: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def table_port(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A port that answers questions (domain, nameserver) from a table of recorded responses."""
+    """A port that answers questions (domain, nameserver) from a table of recorded responses.
+
+    The table is written once, as each call reads all of it: what it is derived from is read once, however many calls there are.
+    """
+    responses = stored(responses, "responses")
     return lambda questions: responses.join(questions, ["domain", "nameserver"], "left_semi")
 
 

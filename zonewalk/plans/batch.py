@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewalk.functions.suffix import Rules, prepared
+from zonewalk.operators import fetch
 from zonewalk.operators.report import report
 from zonewalk.plans import resolve
 from zonewalk.plans.storage import exists
@@ -61,6 +62,7 @@ def reporting(port: DataFrame | resolve.Port, suffixes: DataFrame | Rules, roots
     timed out or was not asked before a host was over its limit.
     """
     rules, kept = prepared(suffixes), None
+    port = fetch.table_port(port) if isinstance(port, DataFrame) else port
 
     def step(hosts: DataFrame) -> DataFrame:
         nonlocal kept

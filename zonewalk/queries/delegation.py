@@ -13,7 +13,7 @@ from zonewalk.operators import analysis, fetch, joins, records, report
 from zonewalk.plans import batch, resolve
 from zonewalk.plans.closure import reachable
 from zonewalk.plans.components import on_cycles, strong_parts
-from zonewalk.plans.storage import Growing, shared_dir
+from zonewalk.plans.storage import Growing, shared_dir, stored
 from zonewalk.queries import world
 from zonewalk.queries.world import SQL
 from zonewalk.sources import readers, table
@@ -505,10 +505,16 @@ SELECT query, category, string_agg(DISTINCT value, ',' ORDER BY value) AS found
 """
 
 
+def _queries(spark, d):
+    """The hosts to resolve (query), and what the world is derived from; neither reads the pages again."""
+    known = world.seen(spark, d)
+    return known.where("zone <> ''").select(F.col("host").alias("query")), known
+
+
 def _reports(spark, d):
     """(hosts, facts, problems) of every host, resolved against the world's answers."""
-    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
-    return hosts, *resolve.reports(hosts, world.responses(spark, d), world.suffixes(spark), readers.root_hints(spark))
+    hosts, known = _queries(spark, d)
+    return hosts, *resolve.reports(hosts, world.responses(spark, d, known=known), world.suffixes(spark), readers.root_hints(spark))
 
 
 @query(REPORT)
@@ -530,8 +536,8 @@ def demand_fetch(spark, d):
     asked_again: questions that were asked more than once; in_vain: those whose server no state was asked at, by its own name or by
     that of the walk.
     """
-    answers, log = fetch.table_port(world.responses(spark, d)), Growing(spark, "asked-of-port")
-    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
+    hosts, known = _queries(spark, d)
+    answers, log = fetch.table_port(world.responses(spark, d, known=known)), Growing(spark, "asked-of-port")
     rules, roots = suffix.prepared(world.suffixes(spark)), readers.root_hints(spark)
     done = resolve.resolve(hosts, lambda questions: answers(log.add(questions)), rules, roots)
     asked = log.all()
@@ -570,9 +576,9 @@ TIMED = f"""SELECT DISTINCT host AS query FROM hosts JOIN (
 @query(TIMED)
 def limited_report(spark, d):
     """Hosts that took over the limit in a resolution that gives up on walks over it; a host of a ring is charged for all of the ring."""
-    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
-    took = world.zones(spark, d).select(F.col("zone").alias("domain"), F.lit(world.REGISTRY_IP).alias("nameserver"), (F.col("zid") % 50).cast("double").alias("elapsed"))
-    answers = world.responses(spark, d).join(took, ["domain", "nameserver"], "left")
+    hosts, known = _queries(spark, d)
+    took = world.zones(spark, d, known=known).select(F.col("zone").alias("domain"), F.lit(world.REGISTRY_IP).alias("nameserver"), (F.col("zid") % 50).cast("double").alias("elapsed"))
+    answers = world.responses(spark, d, known=known).join(took, ["domain", "nameserver"], "left")
     done = resolve.resolve(hosts, answers, world.suffixes(spark), readers.root_hints(spark), limit=HOST_SECONDS)
     return fetch.over_limit(resolve.spent(resolve.reached(hosts, done), done), "query", "seconds", HOST_SECONDS)
 
@@ -636,13 +642,14 @@ def compile_jsonl(spark, d):
 @query("SELECT 'a.ent.' || zone AS query, 'ns.a.ent.' || zone AS ns FROM zones WHERE klass = 0")
 def reuse_all_servers(spark, d):
     """Of the two servers of a zone one has nothing for a name, the other says that it does not exist; both stay in charge, and the second knows of a zone below."""
-    z, zone = world.zones(spark, d).where("klass = 0"), F.col("zone")
+    known = world.seen(spark, d)
+    z, zone = stored(world.zones(spark, d, known=known).where("klass = 0"), "zones"), F.col("zone")
     below, server = F.concat(F.lit("a.ent."), zone), F.concat(F.lit("10.253."), F.col("zid").cast("string"), F.lit(".1"))
     lines = F.array(F.concat(below, F.lit(" 60 IN NS ns."), below), F.concat(F.lit("ns."), below, F.lit(" 60 IN A "), server))
     none = F.array().cast("array<string>")
     said = [(F.concat(F.lit("ent."), zone), F.concat("octet", F.lit(".1")), 0, none), (F.concat(F.lit("ent."), zone), F.concat("octet", F.lit(".2")), 3, none), (below, F.concat("octet", F.lit(".2")), 0, lines), (below, server, 0, lines)]
     rows = [z.select(n.alias("domain"), s.alias("nameserver"), *[F.lit(code).alias(c) for c in fetch.CODES[:3]], F.lit(False).alias("timeout"), F.posexplode_outer(x).alias("seq", "rr_text")) for n, s, code, x in said]
-    every = world.responses(spark, d)
+    every = world.responses(spark, d, known=known)
     for r in rows:
         every = every.unionByName(r.withColumn("seq", F.coalesce("seq", F.lit(0))))
     facts, _ = resolve.reports(z.select(below.alias("query")), every, world.suffixes(spark), readers.root_hints(spark))

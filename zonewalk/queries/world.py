@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonewalk.functions import names
+from zonewalk.plans.storage import stored
 from zonewalk.sources import readers
 
 SUFFIXES = ("com.", "net.", "org.", "example.com.", "example.net.", "example.org.")
@@ -36,10 +37,18 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).withColumn("zone", zone)
 
 
-def zones(spark: SparkSession, sf_dir: str, gone: int | None = None) -> DataFrame:
-    """(zone, zid, klass, octet, next): next is set for class 5. Zones whose number `gone` divides no longer exist (class 2)."""
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`hosts` with one row for each host, its first page, written once: what is derived of it does not read the pages again."""
+    return stored(hosts(spark, sf_dir).groupBy("host", "zone").agg(F.min("page_id").alias("page_id")).select("page_id", "host", "zone"), "seen")
+
+
+def zones(spark: SparkSession, sf_dir: str, gone: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(zone, zid, klass, octet, next): next is set for class 5. Zones whose number `gone` divides no longer exist (class 2).
+
+    known: what `seen` gave of the same pages.
+    """
     klass = F.col("zid") % 6 if gone is None else F.when(F.col("zid") % gone == 0, 2).otherwise(F.col("zid") % 6)
-    first = hosts(spark, sf_dir).where("zone <> ''").groupBy("zone").agg(F.min("page_id").alias("zid"))
+    first = (hosts(spark, sf_dir) if known is None else known).where("zone <> ''").groupBy("zone").agg(F.min("page_id").alias("zid"))
     out = first.select("zone", "zid", klass.alias("klass"), F.concat(F.lit("10."), F.floor(F.col("zid") / 256).cast("string"), F.lit("."), (F.col("zid") % 256).cast("string")).alias("octet"))
     ring = Window.partitionBy("klass", F.floor(F.col("zid") / RING)).orderBy("zid")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -51,9 +60,9 @@ def _line(owner: Column | str, kind: str, data: Column | str) -> Column:
     return F.concat(as_column(owner), F.lit(f" 3600 IN {kind} "), as_column(data))
 
 
-def responses(spark: SparkSession, sf_dir: str, gone: int | None = None) -> DataFrame:
-    """All answers of the world as readers.RESPONSES."""
-    z, zone, octet = zones(spark, sf_dir, gone), F.col("zone"), F.col("octet")
+def responses(spark: SparkSession, sf_dir: str, gone: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """All answers of the world as readers.RESPONSES; `known` as in `zones`."""
+    z, zone, octet = zones(spark, sf_dir, gone, known), F.col("zone"), F.col("octet")
     ns1, ns2, klass = F.concat(F.lit("ns1."), zone), F.concat(F.lit("ns2."), zone), F.col("klass")
     none = F.array().cast("array<string>")
     two = F.array(_line(zone, "NS", ns1), _line(zone, "NS", ns2), _line(ns1, "A", F.concat(octet, F.lit(".1"))), _line(ns2, "A", F.concat(octet, F.lit(".2"))))
@@ -66,7 +75,7 @@ def responses(spark: SparkSession, sf_dir: str, gone: int | None = None) -> Data
     nx = F.when(klass.isin(2, 3), 3).otherwise(0)
     at_parent = z.select(zone.alias("domain"), F.lit(REGISTRY_IP).alias("nameserver"), F.when(klass == 2, 3).otherwise(0).alias("rcode"), parent.alias("lines"))
     at_own = z.select(zone.alias("domain"), F.explode(own_ips).alias("nameserver"), nx.alias("rcode"), own.alias("lines"))
-    below = hosts(spark, sf_dir).where("zone <> '' and host <> zone").select("host", "zone").distinct().join(z, "zone")
+    below = (hosts(spark, sf_dir) if known is None else known).where("zone <> '' and host <> zone").select("host", "zone").distinct().join(z, "zone")
     at_host = below.select(F.col("host").alias("domain"), F.explode(own_ips).alias("nameserver"), F.lit(0).alias("rcode"), none.alias("lines"))
     fixed = []
     for t in TLDS:
