@@ -1,4 +1,5 @@
 import os
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import DataFrame
 
 import __spark_entry__
 from zonewalk.operators import fetch
+from zonewalk.plans import resolve
 from zonewalk.queries import delegation
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +57,31 @@ def test_resolutions_do_not_read_the_pages_again(spark, monkeypatch, name):
     assert len(given) == 2 and all(frame.inputFiles() and not any("pages.parquet" in f for f in frame.inputFiles()) for frame in given)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_second_resolution_does_not_read_the_pages_again(spark, monkeypatch):
+    """Neither run of reresolve reads the pages, and what changed between them is worked out once."""
+    given, kept, table_port = [], [], fetch.table_port
+
+    def port(responses):
+        given.append(responses)
+        return table_port(responses)
+
+    def resolved(hosts, responses, *args, **kwargs):
+        given.extend(x for x in (hosts, responses) if isinstance(x, DataFrame))
+        if "kept" in kwargs:
+            kept.append(kwargs["kept"])
+            raise Stop
+        rows = spark.createDataFrame([("com.", "10.0.0.1")], "domain string, nameserver string")
+        return SimpleNamespace(answers=resolve.Answers(rows, rows.toDF("answer", "ip")))
+
+    monkeypatch.setattr(fetch, "table_port", port)
+    monkeypatch.setattr(delegation.resolve, "resolve", resolved)
+    with pytest.raises(Stop):
+        delegation.QUERIES["reresolve"](spark, SF)
+    assert len(given) == 4 and all(frame.inputFiles() and not any("pages.parquet" in f for f in frame.inputFiles()) for frame in given)
+    assert [f.split("/")[-2].startswith("changed-") for f in kept[0].questions.inputFiles()] == [True]
+
+
 def test_entry(spark):
     if os.path.isdir(SF):
         assert __spark_entry__.entry(spark).count() > 0

@@ -46,13 +46,17 @@ class Growing:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path, self.schema = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", None
+        self._all = None
 
     def add(self, df: DataFrame) -> DataFrame:
         """Appends `df`; gives back just its rows."""
         own = f"{self.path}/part={uuid.uuid4().hex}"
         df.write.parquet(own)
-        self.schema = self.schema or df.schema
+        self.schema, self._all = self.schema or df.schema, None
         return self.spark.read.schema(self.schema).parquet(own)
 
     def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        """All rows so far; the folder is listed once after each `add`."""
+        if self._all is None:
+            self._all = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        return self._all

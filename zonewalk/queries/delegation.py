@@ -556,10 +556,10 @@ def reresolve(spark, d):
 
     asked_again: questions of the second run that the first one had an answer to which still holds.
     """
-    hosts = world.hosts(spark, d).where("zone <> ''").select(F.col("host").alias("query")).distinct()
+    hosts, known = _queries(spark, d)
     rules, roots, log = suffix.prepared(world.suffixes(spark)), readers.root_hints(spark), Growing(spark, "asked-of-port")
-    before, after = world.responses(spark, d), world.responses(spark, d, gone=7)
-    kept = resolve.resolve(hosts, before, rules, roots).answers.without(fetch.changed(before, after))
+    before, after = world.responses(spark, d, known=known), world.responses(spark, d, gone=7, known=known)
+    kept = resolve.resolve(hosts, before, rules, roots).answers.without(stored(fetch.changed(before, after), "changed"))
     answers = fetch.table_port(after)
     done = resolve.resolve(hosts, lambda questions: answers(log.add(questions)), rules, roots, kept=kept)
     again = log.all().join(kept.questions, ["domain", "nameserver"], "left_semi").count()
